@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import lines, simhash, substring
 from .common import table
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -15,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_substring_dedup": substring.SQL, "op6_line_dedup": lines.SQL}
