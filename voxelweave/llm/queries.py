@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, simhash, substring
+from . import bpe, lines, simhash, substring, tokenfile
 from .common import table
 
 
@@ -10,10 +10,18 @@ def op2_substring_dedup(spark, sf_dir):
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark, sf_dir):
+    return tokenfile.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
