@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, simhash, substring, tokenfile
+from . import bpe, lines, mixing, sharding, simhash, substring, tokenfile
 from .common import table
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark, sf_dir):
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
