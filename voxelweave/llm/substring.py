@@ -145,9 +145,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
         held, length = _held(next_anchors(texts, length, longer, window)), longer
     rows = cut(whole_windows(texts, length, window))
-    starts = rows.join(_repeated(rows, ["h1", "h2"]), ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
+    # As a table of its own, so that the join of a very common passage can be split.
+    again = cut(_repeated(rows, ["h1", "h2"]))
+    starts = rows.join(small(again), ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
     out = cut(starts.select("did", "rk", F.lit(False).alias("whole"), "starts").unionByName(copies.select("did", "rk", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))))
-    for t in (own, held, rows, copies):
+    for t in (own, held, rows, again, copies):
         drop_cut(t)
     return out
 
