@@ -45,14 +45,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Tables of their own, so that Spark can split the joins of vertices with many links.
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        drop_cut(least)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         after = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
         after = cut(after.distinct())
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_cut(large)
+        drop_cut(least)
         drop_cut(now)
         now = after
         if tuple(mark) == seen:
