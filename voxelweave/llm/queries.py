@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, sharding, simhash, substring, tokenfile
+from . import bpe, lines, mixing, pqdedup, quality, sharding, simhash, substring, tokenfile, topk
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return pqdedup.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,14 @@ def op7_token_files(spark, sf_dir):
     return tokenfile.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark, sf_dir):
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -39,4 +51,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": substring.SQL, "op6_line_dedup": lines.SQL}
+    return {"op2_substring_dedup": substring.SQL, "op3_embedding_dedup": pqdedup.SQL, "op6_line_dedup": lines.SQL, "op8_top_k": topk.SQL}
