@@ -186,9 +186,8 @@ def mirrored(voxels: DataFrame, grid: Grid, n: int, axes=AXES) -> DataFrame:
     for axis, low, high in zip(AXES, grid.origin, grid.end, strict=True):
         if axis in axes:
             a = F.col(axis)
-            before = out.where(a < low + n).withColumn(axis, F.lit(2 * low - 1) - a)
-            after = out.where(a >= high - n).withColumn(axis, F.lit(2 * high - 1) - a)
-            out = out.unionByName(before).unionByName(after)
+            images = F.array(a, F.when(a < low + n, F.lit(2 * low - 1) - a), F.when(a >= high - n, F.lit(2 * high - 1) - a))
+            out = out.withColumn(axis, F.explode(F.filter(images, lambda i: i.isNotNull())))
     return out.withColumn("v", F.lit(SET))
 
 
@@ -271,8 +270,9 @@ def diameters(field: DataFrame, version: int = 1) -> DataFrame:
         raise ValueError(f"version is 1, 2 or 3, not {version}")
     unit = F.when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s"))
     own = own.withColumns({f"t{a}": -F.rint(F.col(f"p{a}") / unit) for a in AXES})
-    across = field.select("vol_id", *[F.col(a).alias(f"y{a}") for a in AXES], *[p[a].alias(f"q{a}") for a in AXES], F.lit(1).alias("object"))
-    both = own.join(across, [own["vol_id"] == across["vol_id"], *[own[a] + own[f"t{a}"].cast("int") == across[f"y{a}"] for a in AXES]], "left").drop(across["vol_id"])
+    across = field.select(F.col("vol_id").alias("w"), *[F.col(a).alias(f"y{a}") for a in AXES], *[p[a].alias(f"q{a}") for a in AXES], F.lit(1).alias("object"))
+    there = [F.col("vol_id") == F.col("w"), *[F.col(a) + F.col(f"t{a}").cast("int") == F.col(f"y{a}") for a in AXES]]
+    both = own.join(across, there, "left")
     both = both.withColumns({f"q{a}": F.coalesce(f"q{a}", F.lit(0.0)) for a in AXES}).withColumn("object", F.coalesce("object", F.lit(0)))
     far = lambda a: F.col(f"t{a}") + F.col(f"q{a}")
     full = F.floor(F.sqrt(sum(((F.col(f"p{a}") - far(a)) * (F.col(f"p{a}") - far(a)) for a in AXES), F.lit(0.0))) + F.lit(0.5) + F.lit(1e-9)).cast("int")

@@ -335,14 +335,14 @@ def gauss_separable(spark, sf):
     return V.gauss(_bright(spark, sf), GRID).withColumn("v", F.col("v").cast("int"))
 
 
-@query(f"SELECT vol_id, z, y, x, 127 AS v FROM {_SMOOTH} WHERE v BETWEEN 900 AND 1300 AND z BETWEEN 3 AND 8 AND y BETWEEN 3 AND 20 AND x BETWEEN 3 AND 20")
+@query(f"SELECT vol_id, z, y, x, 127 AS v FROM {_SMOOTH} WHERE v BETWEEN 1500 AND 1900 AND z BETWEEN 3 AND 8 AND y BETWEEN 3 AND 20 AND x BETWEEN 3 AND 20")
 def seg_gauss(spark, sf):
-    return V.gauss_band(_bright(spark, sf), GRID, 900, 1300)
+    return V.gauss_band(_bright(spark, sf), GRID, 1500, 1900)
 
 
-@query(f"SELECT vol_id, z, y, x, 127 AS v FROM {_SMOOTH} WHERE v BETWEEN 900 AND 1300 AND z BETWEEN 3 AND 8 AND y BETWEEN 3 AND 20 AND x BETWEEN 3 AND 20")
+@query(f"SELECT vol_id, z, y, x, 127 AS v FROM {_SMOOTH} WHERE v BETWEEN 1500 AND 1900 AND z BETWEEN 3 AND 8 AND y BETWEEN 3 AND 20 AND x BETWEEN 3 AND 20")
 def seg_gauss_kernel(spark, sf):
-    return W.gauss_band(_bright(spark, sf), GRID, 900, 1300)
+    return W.gauss_band(_bright(spark, sf), GRID, 1500, 1900)
 
 
 def _near_sql(source: str, n: int) -> str:
