@@ -44,7 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and how many of them decode to the text again (all)."""
-    out = bpe.decode(bpe.encode(docs))
+    out = bpe.encode(docs, decoded_col="decoded")
     back = F.coalesce("text", F.lit("")) == F.col("decoded")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
 
