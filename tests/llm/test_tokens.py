@@ -30,6 +30,19 @@ def test_like_the_library(text):
         ids = np.frombuffer(codec.encode(text), "<u4")
         assert ids.tolist() == library_ids(text)
         assert codec.decode(ids) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
+        assert codec.encode_all([text]) == [ids.tobytes()]
+
+
+def test_many_at_once():
+    rng = random.Random(8)
+    pieces = sorted({"".join(rng.choice("thereandingoßé .,|#") for _ in range(rng.randrange(1, 65))).encode()[:64] for _ in range(3000)})
+    codec = bpe.Codec(PATH)
+    assert codec.merges(pieces) == [np.asarray(codec.of_piece(p), "<u4").tobytes() for p in pieces]
+    assert codec.merges([]) == []
+    texts = ["".join(rng.choice(ODD + ["the ", "under ", "wordé, "]) for _ in range(40)) for _ in range(60)]
+    for own in (codec, bpe.Codec(PATH, False)):
+        own.units.most = own.pieces.most = 50
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [library_ids(t) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
@@ -42,17 +55,18 @@ def test_any_text(text):
 
 def test_merge_is_leftmost_lowest():
     rng = random.Random(2)
-    ranks = {a << 32 | b: (r, 10 + r) for r, (a, b) in enumerate((a, b) for a in range(14) for b in range(14))}
-    for _ in range(200):
-        symbols = [rng.randrange(4) for _ in range(rng.randrange(1, 30))]
+    pairs = [(a, b) for a in range(14) for b in range(14)]
+    ranks, made = {a << 20 | b: r for r, (a, b) in enumerate(pairs)}, [10 + r for r in range(len(pairs))]
+    for n in [*range(1, 40), *range(1, 40), 500]:
+        symbols = [rng.randrange(4) for _ in range(n)]
         plain = list(symbols)
         while True:
-            pairs = [(ranks[a << 32 | b][0], i) for i, (a, b) in enumerate(zip(plain, plain[1:])) if a << 32 | b in ranks]
-            if not pairs:
+            found = [(ranks[a << 20 | b], i) for i, (a, b) in enumerate(zip(plain, plain[1:])) if a << 20 | b in ranks]
+            if not found:
                 break
-            _, i = min(pairs)
-            plain[i : i + 2] = [ranks[plain[i] << 32 | plain[i + 1]][1]]
-        assert bpe.merge(list(symbols), ranks) == plain
+            rank, i = min(found)
+            plain[i : i + 2] = [made[rank]]
+        assert bpe.merge(list(symbols), ranks, made) == plain
 
 
 def test_cache_keeps_results():

@@ -12,25 +12,34 @@ the cache.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import struct
+from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
 
 _INF = 1 << 62
-_PLACE = (1 << 32) - 1
+_NONE = 1 << 30
+_END = (1 << 20) - 1
 #: Units that a worker keeps in each of the two generations of its cache.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 100_000
+#: Bytes of the longest piece that is merged together with others.
+LONGEST = 64
 #: Unicode white space.
 _WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: Fixed value: the pre-tokenizer's pattern inside a unit.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def vocabulary_path() -> str:
@@ -39,55 +48,148 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def merge(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
     """Apply the merges to a list of symbol ids.
 
-    ``ranks`` maps ``left << 32 | right`` to the pair's rank and the merged symbol's id.
+    ``ranks`` maps ``left << 20 | right`` to the pair's rank, ``made`` a rank to the id of
+    the merged symbol.
     """
     n = len(symbols)
-    if n < 2:
+    get = ranks.get
+    if n < 3:
+        if n == 2 and (rank := get(symbols[0] << 20 | symbols[1], -1)) >= 0:
+            return [made[rank]]
         return symbols
-    size = 1 << (n - 1).bit_length()
-    get, absent = ranks.get, (_INF, 0)
-    tree = [_INF] * (2 * size)
-    made = [0] * n
-    for i in range(n - 1):
-        rank, made[i] = get(symbols[i] << 32 | symbols[i + 1], absent)
-        if rank != _INF:
-            tree[size + i] = rank << 32 | i
+    bits = (n - 2).bit_length()
+    size = 1 << bits
+    mask = size - 1
+    # Leaf i: rank and place of the pair that starts at i; above it the lesser of two.
+    leaves = [rank << bits | i if (rank := get(a << 20 | b, -1)) >= 0 else _INF for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+    tree = [_INF] * size + leaves + [_INF] * (size - n + 1)
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    while (root := tree[1]) < _INF:
-        i = root & _PLACE
-        symbols[i] = made[i]
+    root = tree[1]
+    while root < _INF:
+        i = root & mask
+        own = symbols[i] = made[root >> bits]
         j = after[i]
-        alive[j] = False
         k = after[i] = after[j]
-        changes = [(j, _INF)]
+        symbols[j] = -1
         if k < n:
             before[k] = i
-            rank, made[i] = get(symbols[i] << 32 | symbols[k], absent)
-            changes.append((i, _INF if rank == _INF else rank << 32 | i))
+            rank = get(own << 20 | symbols[k], -1)
+            changes = [j, _INF, i, rank << bits | i if rank >= 0 else _INF]
         else:
-            changes.append((i, _INF))
+            changes = [i, _INF]
         h = before[i]
         if h >= 0:
-            rank, made[h] = get(symbols[h] << 32 | symbols[i], absent)
-            changes.append((h, _INF if rank == _INF else rank << 32 | h))
-        for leaf, value in changes:
-            at = size + leaf
-            tree[at] = value
+            rank = get(symbols[h] << 20 | own, -1)
+            changes += (h, rank << bits | h if rank >= 0 else _INF)
+        for c in range(0, len(changes), 2):
+            at, value = size + changes[c], changes[c + 1]
+            if at < 2 * size:
+                tree[at] = value
             while at > 1:
                 other = tree[at ^ 1]
                 at >>= 1
-                value = value if value < other else other
+                if other < value:
+                    value = other
                 if tree[at] == value:
                     break
                 tree[at] = value
-    return [s for s, live in zip(symbols, alive, strict=True) if live]
+        root = tree[1]
+    return [s for s in symbols if s >= 0]
+
+
+class Merges:
+    """The segment-tree merge of many short pieces at once, one array row for each piece.
+
+    Rows of one padded width share a tree layout.  A round takes every row's root, merges
+    there, sets three leaves and repairs the paths above them; rows without a mergeable
+    pair are done.
+    """
+
+    def __init__(self, first: list[int], ranks: dict[int, int], made: list[int]):
+        self.first = np.array(first, np.int64)
+        keys = np.fromiter(ranks, np.int64, len(ranks))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.int64(1) << 60)
+        self.ranks = np.append(np.fromiter(ranks.values(), np.int64, len(ranks))[order], -1)
+        self.made = np.array(made, np.int64)
+        pair = (np.arange(256)[:, None], np.arange(256))
+        self.of_bytes = self.leaf_rank(self.first[pair[0]], self.first[pair[1]])
+
+    def leaf_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the pairs, or a number above all ranks."""
+        key = left << 20 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece of at most LONGEST bytes, as little-endian 32-bit bytes."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = 2
+        low = 0
+        while low < LONGEST:
+            at = np.flatnonzero((sizes > low) & (sizes <= width))
+            for k in range(0, len(at), 8192):
+                some = at[k : k + 8192]
+                for place, ids in zip(some.tolist(), self.rows([pieces[p] for p in some.tolist()], sizes[some], width), strict=True):
+                    out[place] = ids
+            low, width = width, 2 * width
+        return out
+
+    def rows(self, pieces: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        m, bits = len(pieces), width.bit_length() - 1
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
+        # Symbols at 1 .. size; a column on either side stands for the ends.
+        symbols = np.full((m, width + 2), _END, np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        symbols[:, 1:-1] = np.where(inside, self.first[raw], _END)
+        after = np.tile(np.arange(1, width + 3, dtype=np.int64), (m, 1))
+        before = after - 2
+        tree = np.full((m, 2 * width), _NONE << bits, np.int64)
+        ranks = np.where(inside[:, 1:], self.of_bytes[raw[:, :-1], raw[:, 1:]], _NONE)
+        tree[:, width : 2 * width - 1] = ranks << bits | np.arange(width - 1)
+        half = width // 2
+        while half:
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+            half //= 2
+        alive = np.zeros((m, width + 2), bool)
+        alive[:, 1:-1] = inside
+        mask, none = width - 1, _NONE << bits
+        row = np.flatnonzero(tree[:, 1] < none)
+        while len(row):
+            root = tree[row, 1]
+            i = (root & mask) + 1
+            own = self.made[root >> bits]
+            j = after[row, i]
+            k = after[row, j]
+            h = before[row, i]
+            symbols[row, i] = own
+            alive[row, j] = False
+            after[row, i] = k
+            before[row, k] = i
+            right, left = symbols[row, k], symbols[row, h]
+            r = self.leaf_rank(np.concatenate((own, left)), np.concatenate((right, own)))
+            # A leaf of the end columns never merges; it is written to the unused last leaf.
+            leaves = np.stack((j - 1, i - 1, np.where(h > 0, h - 1, mask)))
+            leaves[0] = np.minimum(leaves[0], mask)
+            n = len(row)
+            values = np.stack((np.full(n, none), r[:n] << bits | leaves[1], np.where(h > 0, r[n:] << bits | leaves[2], none)))
+            rows3 = np.broadcast_to(row, (3, n))
+            at = leaves + width
+            tree[rows3, at] = values
+            for _ in range(bits):
+                at = at >> 1
+                tree[rows3, at] = np.minimum(tree[rows3, 2 * at], tree[rows3, 2 * at + 1])
+            row = row[tree[row, 1] < none]
+        flat = symbols[alive].astype("<u4").tobytes()
+        ends = (np.cumsum(alive.sum(axis=1)) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class Units(dict):
@@ -100,7 +202,8 @@ class Units(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            ids = np.asarray(self.encode(unit), "<u4").tobytes()
+            ids = self.encode(unit)
+            ids = ids if isinstance(ids, bytes) else struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -109,6 +212,15 @@ class Units(dict):
         return ids
 
 
+    def know(self, units: set[str], encode_many: Callable[[list[str]], Iterable[bytes]]) -> None:
+        """Put all of the units into the cache, those that are new in one call."""
+        new = [u for u in units.difference(self) if u not in self.old and len(u) < 200]
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(new, encode_many(new), strict=True))
+
+
 class Codec:
     """A byte-level BPE vocabulary file: whole texts to ids and back."""
 
@@ -124,9 +236,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
-        self.symbol = {s: i for s, i in vocab.items() if len(s) == 1}
-        self.pieces = self.library.pre_tokenizer.pre_tokenize_str
+        self.ranks = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.made = [vocab[a + b] for a, b in pairs]
         # The byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -136,17 +247,62 @@ class Codec:
             self.bytes_of[i] = bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode()
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
+        self.byte = byte
+        self.first = [vocab[c] for c in sorted(byte, key=byte.get)]
+        self.letter = {b: c for c, b in byte.items()}
+        self.merges = Merges(self.first, self.ranks, self.made)
+        self.pieces = Units(self.of_piece, CACHE_UNITS // 2)
         self.units = Units(self.by_tree if own_merges else self.by_library)
-
-    def by_tree(self, unit: str) -> list[int]:
-        out: list[int] = []
-        for piece, _ in self.pieces(unit):
-            out += merge([self.symbol[c] for c in piece], self.ranks)
-        return out
+        self.many = self.many_by_tree if own_merges else self.many_by_library
+
+    def of_piece(self, piece: bytes) -> list[int]:
+        return merge([self.first[b] for b in piece], self.ranks, self.made)
+
+    def split(self, unit: str) -> list[bytes]:
+        if max(unit) < "\u0250":
+            body = unit[1:] if unit[0] == " " else unit
+            if body.isalpha():
+                return [unit.encode()]
+            if body[:-1].isalpha() and not body[-1].isalnum():  # a word and one mark behind it
+                return [unit[:-1].encode(), unit[-1].encode()]
+            return [p.encode() for p in _PIECES.findall(unit)]
+        # Beyond the alphabets that never change, the library's own character classes count.
+        return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)]
+
+    def by_tree(self, unit: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.split(unit)])
+
+    def many_by_tree(self, units: list[str]) -> list[bytes]:
+        cut = [self.split(u) for u in units]
+        new = {p for parts in cut for p in parts if len(p) <= LONGEST}
+        self.pieces.know(new, self.merges)
+        of = self.pieces.__getitem__
+        return [of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts)) for parts in cut]
 
     def by_library(self, unit: str) -> list[int]:
         return self.library.encode(unit, add_special_tokens=False).ids
 
+    def many_by_library(self, units: list[str]) -> list[bytes]:
+        """By the library's model; what is not plain Latin also by its pre-tokenizer."""
+        model, letters, out = self.library.model, self.letter, []
+        for u in units:
+            if max(u) < "\u0250":
+                ids = [t.id for p in self.split(u) for t in model.tokenize(p.decode("latin-1").translate(letters))]
+            else:
+                ids = self.by_library(u)
+            out.append(array("I", ids).tobytes())
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of whole texts, with each distinct new unit encoded once."""
+        cut = [None if any(s in t for s in self.special) else _UNITS.findall(t) for t in texts]
+        distinct: set[str] = set()
+        for units in cut:
+            distinct.update(units or ())
+        self.units.know(distinct, self.many)
+        of = self.units.__getitem__
+        return [self.encode(t) if units is None else b"".join(map(of, units)) for t, units in zip(texts, cut, strict=True)]
+
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         of = self.units.__getitem__
@@ -171,28 +327,34 @@ def _spans(lengths: list[int], total: int) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64)))), pa.int64()).cast(pa.int32())
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``out_col``: the ids of each whole text (null: empty) as an array of ints.
 
     No special token is added; strings of special tokens in a text become those tokens,
-    as in the vocabulary's own library.  A column named ``out_col`` is replaced; all
-    others are passed on as they are.
+    as in the vocabulary's own library.  ``decoded_col`` also decodes the ids again in the
+    same pass; without ``keep_text`` the text is not handed on.  Columns with the names of
+    new ones are replaced; all others are passed on as they are.
     """
     prepare(docs.sparkSession)
     path = path or vocabulary_path()
-    rest = [c for c in docs.columns if c != out_col]
-    field = docs.select(*rest).withColumn(out_col, F.lit(None).cast("array<int>"))
+    new = [c for c in (out_col, decoded_col) if c]
+    taken = [c for c in docs.columns if c not in new or c == text_col]
+    rest = [c for c in taken if c not in new and (keep_text or c != text_col)]
+    kinds = {out_col: "array<int>", decoded_col: "string"}
+    schema = docs.select(*rest).withColumns({c: F.lit(None).cast(kinds[c]) for c in new}).schema
 
     def run(batches):
+        gc.disable()  # no cycles are made here, and passes over large caches cost much
         own = codec(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(rest.index(text_col)).to_pylist()]
-            ids = [own.encode(t) for t in texts]
+            ids = own.encode_all([t or "" for t in batch.column(taken.index(text_col)).to_pylist()])
             flat = np.frombuffer(b"".join(ids), "<i4")
-            lists = pa.ListArray.from_arrays(_spans([len(x) // 4 for x in ids], len(flat)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*rest, out_col])
+            out = [pa.ListArray.from_arrays(_spans([len(x) // 4 for x in ids], len(flat)), pa.array(flat, pa.int32()))]
+            if decoded_col:
+                out.append(pa.array([own.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(taken.index(c)) for c in rest], *out], [*rest, *new])
 
-    return docs.select(*rest).mapInArrow(run, field.schema)
+    return docs.select(*taken).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -214,6 +376,6 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", out_
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    out = encode(docs.select("doc_id", "text"), decoded_col="decoded", keep_text=False)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

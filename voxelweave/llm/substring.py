@@ -147,7 +147,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = cut(whole_windows(texts, length, window))
     # As a table of its own, so that the join of a very common passage can be split.
     again = cut(_repeated(rows, ["h1", "h2"]))
-    starts = rows.join(small(again), ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
+    starts = rows.join(again, ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
     out = cut(starts.select("did", "rk", F.lit(False).alias("whole"), "starts").unionByName(copies.select("did", "rk", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))))
     for t in (own, held, rows, again, copies):
         drop_cut(t)
@@ -195,7 +195,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
 dup AS (SELECT win.doc_id, win.i FROM win JOIN (SELECT key, min(doc_id) AS first FROM win GROUP BY key) f USING (key) WHERE win.doc_id > f.first),
 p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),

@@ -18,6 +18,7 @@ run again leaves one file.
 
 from __future__ import annotations
 
+import gc
 import io
 import struct
 import uuid
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, vocabulary_path
-from .common import prepare, public_id, row_id, shared_dir
+from .common import cut, prepare, public_id, row_id, shared_dir
 
 #: Fixed values of the format: magic numbers and fields.
 SKIP_MAGIC = 0x184D2A50
@@ -109,8 +110,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col:
         files = 1 + chars // FILE_CHARS
 
     def run(batches):
+        gc.disable()  # no cycles are made here, and passes over large caches cost much
         own, mark = codec(path, False), struct.pack("<I", end_id)
-        documents = ((d, own.encode(t) + mark) for b in batches for d, t in zip(b.column("did").to_pylist(), b.column("text").to_pylist()))
+        documents = ((d, t + mark) for b in batches for d, t in zip(b.column("did").to_pylist(), own.encode_all(b.column("text").to_pylist())))
         held, size = [], 0
         for part in pack(documents):
             held.append(part)
@@ -168,7 +170,7 @@ def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(reader.table["did"][s]), pa.array([name] * len(counts[s])), pa.array((np.cumsum(counts) - counts)[s]), pa.array(counts[s]), pa.array(crcs[s])], ["did", "file", "before", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").where("length(content) > 0")
-    rows = files.mapInArrow(run, "did long, file string, before long, n_tokens long, ids_crc32 long")
+    rows = cut(files.mapInArrow(run, "did long, file string, before long, n_tokens long, ids_crc32 long"))
     # One row for each file reaches the driver: their number is bounded by input / FILE_CHARS.
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("did").alias("first")).orderBy("first", "file").collect()
     total, starts = 0, []
