@@ -45,6 +45,14 @@ def test_many_at_once():
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [library_ids(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab. \n\t\x1cé", max_size=12), max_size=5))
+def test_tiles(texts):
+    joined, places, heads = bpe.tiles([t.encode() for t in texts])
+    units = [joined[a:b].decode() for a, b in zip(places, [*places[1:], len(joined)])]
+    assert [units[a:b] for a, b in zip(heads, heads[1:])] == [bpe._UNITS.findall(t) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'abcEt<|>")), max_size=60))
 def test_any_text(text):
@@ -73,7 +81,7 @@ def test_cache_keeps_results():
     units = bpe.Units(lambda u: [len(u)], most=3)
     for _ in range(2):
         for k in range(10):
-            assert np.frombuffer(units["x" * k], "<u4").tolist() == [k]
+            assert np.frombuffer(units[b"x" * k], "<u4").tolist() == [k]
     assert len(units) <= 3 and len(units.old) <= 3
 
 

@@ -15,9 +15,8 @@ from __future__ import annotations
 import gc
 import json
 import re
-import struct
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,12 +31,16 @@ _INF = 1 << 62
 _NONE = 1 << 30
 _END = (1 << 20) - 1
 #: Units that a worker keeps in each of the two generations of its cache.
-CACHE_UNITS = 100_000
+CACHE_UNITS = 150_000
+#: Rows and bytes that are encoded at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of the longest piece that is merged together with others.
 LONGEST = 64
 #: Unicode white space.
 _WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_ODD_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Fixed value: the pre-tokenizer's pattern inside a unit.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -193,32 +196,61 @@ class Merges:
 
 
 class Units(dict):
-    """Ids of units as little-endian 32-bit bytes, in two generations of bounded size."""
+    """Ids of units (or pieces) as little-endian 32-bit bytes, in two generations of bounded size."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], most: int = CACHE_UNITS):
+    def __init__(self, encode: Callable[[bytes], Iterable[int] | bytes], most: int = CACHE_UNITS):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.old.get(unit)
-        if ids is None:
-            ids = self.encode(unit)
-            ids = ids if isinstance(ids, bytes) else struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(unit) < 200:
-            self[unit] = ids
-        return ids
-
-
-    def know(self, units: set[str], encode_many: Callable[[list[str]], Iterable[bytes]]) -> None:
-        """Put all of the units into the cache, those that are new in one call."""
-        new = [u for u in units.difference(self) if u not in self.old and len(u) < 200]
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
-            self.clear()
-        self.update(zip(new, encode_many(new), strict=True))
+    def __missing__(self, unit: bytes) -> bytes:
+        return self.all([unit], lambda new: [_packed(self.encode(u)) for u in new])[0]
+
+    def all(self, units: list[bytes], encode_many: Callable[[list[bytes]], Iterable[bytes]]) -> list[bytes]:
+        """Ids of distinct units; those that are new are encoded in one call."""
+        found = list(map(self.get, units))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            new = []
+            for i in gaps:
+                found[i] = self.old.get(units[i])
+                if found[i] is None:
+                    new.append(i)
+            for i, ids in zip(new, encode_many([units[i] for i in new]), strict=True):
+                found[i] = ids
+            if len(self) + len(gaps) > self.most:
+                self.old = dict(self)
+                self.clear()
+            self.update((units[i], found[i]) for i in gaps[: self.most] if len(units[i]) < 200)
+        return found
+
+
+def _packed(ids: Iterable[int] | bytes) -> bytes:
+    return ids if isinstance(ids, bytes) else array("I", ids).tobytes()
+
+
+def tiles(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts in one buffer, where its units start, and the first unit of each text.
+
+    The same cuts as ``_UNITS`` makes in texts whose white space is ASCII alone: a run of
+    white space, its last character apart if a word follows, and a word with the space
+    before it.  Units cover the texts without gaps.
+    """
+    joined = b"".join(texts)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    starts = np.concatenate(([0], ends[:-1])) if len(texts) else np.zeros(0, np.int64)
+    some = ends > starts
+    raw = np.frombuffer(joined, np.uint8)
+    first, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    first[starts[some]] = True
+    last[ends[some] - 1] = True
+    white = _IS_WHITE[raw]
+    before, after, space = np.zeros(len(raw), bool), np.ones(len(raw), bool), np.zeros(len(raw), bool)
+    before[1:], after[:-1], space[1:] = white[:-1], white[1:], raw[:-1] == 32
+    before &= ~first
+    space &= ~first
+    cut = first | (white & ~before) | (white & ~after & ~last) | (~white & before & ~space)
+    places = np.flatnonzero(cut)
+    return joined, places, np.searchsorted(places, np.append(starts, len(raw)))
 
 
 class Codec:
@@ -269,48 +301,69 @@ class Codec:
         # Beyond the alphabets that never change, the library's own character classes count.
         return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)]
 
-    def by_tree(self, unit: str) -> bytes:
-        return b"".join([self.pieces[p] for p in self.split(unit)])
+    def by_tree(self, unit: bytes) -> bytes:
+        return b"".join([self.pieces[p] for p in self.split(unit.decode())])
 
-    def many_by_tree(self, units: list[str]) -> list[bytes]:
-        cut = [self.split(u) for u in units]
-        new = {p for parts in cut for p in parts if len(p) <= LONGEST}
-        self.pieces.know(new, self.merges)
-        of = self.pieces.__getitem__
-        return [of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts)) for parts in cut]
+    def many_by_tree(self, units: list[bytes]) -> list[bytes]:
+        cut = [self.split(u.decode()) for u in units]
+        pieces = list({p for parts in cut for p in parts})
+        ids = dict(zip(pieces, self.pieces.all(pieces, self.many_pieces), strict=True))
+        return [ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for parts in cut]
 
-    def by_library(self, unit: str) -> list[int]:
-        return self.library.encode(unit, add_special_tokens=False).ids
+    def many_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        short = [p for p in pieces if len(p) <= LONGEST]
+        ids = dict(zip(short, self.merges(short), strict=True))
+        return [ids[p] if p in ids else _packed(self.of_piece(p)) for p in pieces]
 
-    def many_by_library(self, units: list[str]) -> list[bytes]:
+    def by_library(self, unit: bytes) -> list[int]:
+        return self.library.encode(unit.decode(), add_special_tokens=False).ids
+
+    def many_by_library(self, units: list[bytes]) -> list[bytes]:
         """By the library's model; what is not plain Latin also by its pre-tokenizer."""
         model, letters, out = self.library.model, self.letter, []
-        for u in units:
+        for unit in units:
+            u = unit.decode()
             if max(u) < "\u0250":
                 ids = [t.id for p in self.split(u) for t in model.tokenize(p.decode("latin-1").translate(letters))]
             else:
-                ids = self.by_library(u)
+                ids = self.by_library(unit)
             out.append(array("I", ids).tobytes())
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """``encode`` of whole texts, with each distinct new unit encoded once."""
-        cut = [None if any(s in t for s in self.special) else _UNITS.findall(t) for t in texts]
-        distinct: set[str] = set()
-        for units in cut:
-            distinct.update(units or ())
-        self.units.know(distinct, self.many)
-        of = self.units.__getitem__
-        return [self.encode(t) if units is None else b"".join(map(of, units)) for t, units in zip(texts, cut, strict=True)]
+        """``encode`` of whole texts: units are cut and told apart by array operations,
+        each distinct one is looked up once, and the ids are gathered."""
+        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special) and (t.isascii() or not _ODD_WHITE.search(t))]
+        out = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self.encode(texts[i])
+        joined, places, heads = tiles([texts[i].encode() for i in plain])
+        if not len(places):
+            return out
+        offsets = np.append(places, len(joined)).astype(np.int32 if len(joined) < 1 << 31 else np.int64)
+        kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+        coded = pa.Array.from_buffers(kind, len(places), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        ids = self.units.all(coded.dictionary.to_pylist(), self.many)
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        unit = np.asarray(coded.indices)
+        n = size[unit]
+        end = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[unit] - (end - n), n) + np.arange(end[-1])
+        tokens = flat[at].tobytes()
+        bounds = (np.concatenate(([0], end))[heads] * 4).tolist()
+        for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
+            out[i] = tokens[a:b]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         of = self.units.__getitem__
+        units = lambda t: b"".join([of(u.encode()) for u in _UNITS.findall(t)])
         if self.cut is None or not any(s in text for s in self.special):
-            return b"".join(map(of, _UNITS.findall(text)))
+            return units(text)
         out = []
         for k, part in enumerate(self.cut.split(text)):
-            out.append(np.asarray([self.special[part]], "<u4").tobytes() if k % 2 else b"".join(map(of, _UNITS.findall(part))))
+            out.append(_packed([self.special[part]]) if k % 2 else units(part))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -323,6 +376,18 @@ def codec(path: str, own_merges: bool = True) -> Codec:
     return Codec(path, own_merges)
 
 
+def larger(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined up to so many rows or bytes: the more text, the fewer distinct units."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _spans(lengths: list[int], total: int) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64)))), pa.int64()).cast(pa.int32())
 
@@ -346,7 +411,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
     def run(batches):
         gc.disable()  # no cycles are made here, and passes over large caches cost much
         own = codec(path)
-        for batch in batches:
+        for batch in larger(batches):
             ids = own.encode_all([t or "" for t in batch.column(taken.index(text_col)).to_pylist()])
             flat = np.frombuffer(b"".join(ids), "<i4")
             out = [pa.ListArray.from_arrays(_spans([len(x) // 4 for x in ids], len(flat)), pa.array(flat, pa.int32()))]

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import codec, vocabulary_path
+from .bpe import codec, larger, vocabulary_path
 from .common import cut, prepare, public_id, row_id, shared_dir
 
 #: Fixed values of the format: magic numbers and fields.
@@ -112,7 +112,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col:
     def run(batches):
         gc.disable()  # no cycles are made here, and passes over large caches cost much
         own, mark = codec(path, False), struct.pack("<I", end_id)
-        documents = ((d, t + mark) for b in batches for d, t in zip(b.column("did").to_pylist(), own.encode_all(b.column("text").to_pylist())))
+        documents = ((d, t + mark) for b in larger(batches) for d, t in zip(b.column("did").to_pylist(), own.encode_all(b.column("text").to_pylist())))
         held, size = [], 0
         for part in pack(documents):
             held.append(part)
