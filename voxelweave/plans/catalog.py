@@ -916,7 +916,7 @@ def log_blocks(spark, sf):
     return b.groupBy("user_id", "block").agg(F.max("run").alias("run"), F.count("*").alias("lines"), F.max((F.col("event_type") == "error").cast("int")).alias("failed"))
 
 
-@query("""~ r AS (SELECT user_id % 50 AS k, event_id AS run, epoch(ts)::BIGINT AS start, epoch(ts)::BIGINT + 40000 AS stop FROM events WHERE event_type = 'signup'), p AS (SELECT user_id % 50 AS k, epoch(ts)::BIGINT AS ts FROM events WHERE event_type = 'error'),
+@query("""~ r AS (SELECT user_id % 50 AS k, event_id AS run, floor(epoch(ts))::BIGINT AS start, floor(epoch(ts))::BIGINT + 40000 AS stop FROM events WHERE event_type = 'signup'), p AS (SELECT user_id % 50 AS k, floor(epoch(ts))::BIGINT AS ts FROM events WHERE event_type = 'error'),
 s AS (SELECT r.k, run, start, stop, count(*) FILTER (WHERE ts BETWEEN start AND stop) AS inside, count(*) FILTER (WHERE ts > stop) AS after FROM r LEFT JOIN p ON r.k = p.k GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN after > 0 THEN 1 ELSE 0 END, inside - after DESC, inside DESC, start DESC, run) AS place FROM s)
 SELECT k, run, start, stop AS "end", inside, after FROM o WHERE place = 1""")
