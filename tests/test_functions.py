@@ -92,3 +92,11 @@ def test_streaming(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.vol_id, r.parameter) for r in got] == [("bad", "error")] and "selects no voxel" in got[0].note
+
+
+def test_decisions(spark):
+    from voxelweave.functions import decisions as D
+
+    df = spark.createDataFrame([(["a", "b"], "Pat L_raduis 3")], "c array<string>, n string")
+    r = df.select(D.section_kind(F.col("c"), {"first": ["a", "x"], "second": ["a"], "third": ["b"]}).alias("k"), D.bone_of(F.col("n"), {"raduis": "radius"}).alias("b"), D.stand_in(F.lit(None).cast("int"), F.lit(3)).alias("s")).first()
+    assert (r.k, r.b, r.s) == ("second", "left radius", 3)

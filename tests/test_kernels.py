@@ -83,6 +83,9 @@ def test_morphology_borders():
     assert R.open_(Raster(~gap), 1).count() == 0
     with pytest.raises(ValueError):
         R.erode(Raster(on), -1)
+    with pytest.warns(R.ThinVolumeWarning):
+        R.open_(Raster(np.ones((2, 9, 9), bool)), 3)
+    assert C.same_ring([1, 2, 3], [3, 1, 2]) and not C.same_ring([1, 2, 3], [1, 3, 2])
 
 
 def test_gauss_in_single_precision():

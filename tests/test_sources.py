@@ -123,3 +123,28 @@ def test_exit_codes(capsys, tmp_path):
     assert cli.main(["version"]) == 0 and cli.main(["params", "--set", "compartments.sigma=1"]) == 0
     assert '"compartments.sigma": 1.0' in capsys.readouterr().out
     assert cli.main(["params", "--set", "compartments.sigm=1"]) == 2 and cli.main(["nonsense"]) == 2 and cli.main(["params", "--params", str(tmp_path / "no.json")]) == 2
+
+
+def test_masks_onto_a_grid():
+    at = np.array([[7, -2, 9], [50, 0, 10]])
+    own = Grid((60, 9, 9), (0, -5, 5), GRID.el)
+    inside, lost = I.onto_grid(at, own, GRID)
+    assert inside.tolist() == [[7, -2, 9]] and lost == 1
+    with pytest.raises(ValueError, match="do not meet"):
+        I.onto_grid(at, Grid((1, 1, 1), (99, 0, 0), GRID.el), GRID)
+    with pytest.raises(ValueError, match="do not match"):
+        I.onto_grid(at, Grid((60, 9, 9), (0, 0, 0), (1.0, 1.0, 1.0)), GRID)
+
+
+def test_segments():
+    data = np.array([[[0, 1, 2]]])
+    two = {"Segment0_Name": "cort", "Segment0_LabelValue": "1", "Segment1_Name": "trab", "Segment1_LabelValue": "2"}
+    assert I.select_segment(data, two, "TRAB").ravel().tolist() == [False, False, True]
+    assert I.select_segment(data, {}, label=1).sum() == 1 and I.select_segment(data, {}).sum() == 2
+    assert I.select_segment(data, {"Segment0_Name": "x", "Segment0_LabelValue": "2"}).sum() == 1
+    for bad in ({"fields": two}, {"fields": two, "name": "none"}):
+        with pytest.raises(ValueError):
+            I.select_segment(data, **bad)
+    for name in ("a.nrrd", "a.nii.gz", "a.aim"):
+        image = I.decode_any(name, I.encode_any(name, np.ones(GRID.shape, np.uint8), GRID))
+        assert image.data.all() and image.origin == GRID.origin

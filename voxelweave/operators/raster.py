@@ -7,6 +7,7 @@ them for each volume or each slice inside Arrow functions.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,10 @@ SET = 127
 _FAR = np.int32(1 << 28)
 
 
+class ThinVolumeWarning(UserWarning):
+    """A volume is thinner than half of the margin it is mirrored into."""
+
+
 @dataclass(frozen=True)
 class Raster:
     data: np.ndarray
@@ -160,6 +165,8 @@ def grown(on: np.ndarray, n: int) -> np.ndarray:
 def bordered(on: np.ndarray, n: int, mirror=(0, 0, 0)) -> np.ndarray:
     """``n`` more voxels on all sides: empty, or mirrored on flagged axes (z, y, x)."""
     for axis, flag in enumerate(mirror):
+        if flag and n > 2 * on.shape[axis]:
+            warnings.warn(f"axis {'zyx'[axis]} of {on.shape[axis]} voxels is mirrored more than once by a margin of {n}", ThinVolumeWarning, stacklevel=3)
         width = [(n, n) if a == axis else (0, 0) for a in range(3)]
         on = np.pad(on, width, mode="symmetric" if flag else "constant")
     return on

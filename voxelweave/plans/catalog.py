@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import decisions as D
 from ..functions import statistics as S
 from ..functions import text as X
 from ..operators import grid as G
@@ -984,3 +985,65 @@ def identifier_scan(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "text")
     found = X.find_identifiers(d, "text", {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]+", "phone": "[0-9]{3}[- ][0-9]{3}[- ][0-9]{4}"})
     return found.select("doc_id", F.array_join("found", " ").alias("found"))
+
+
+# ---- decisions
+
+
+_SCORES = "SELECT l_orderkey AS vol_id, 'p' || l_linenumber AS preset, sum(l_quantity) AS score, l_linenumber = 1 AS first FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@query(f"""~ s AS ({_SCORES}), b AS (SELECT *, max(CASE WHEN first THEN score END) OVER (PARTITION BY vol_id) AS base FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY vol_id ORDER BY CASE WHEN first OR score < 0.5::DOUBLE * base THEN score END ASC NULLS LAST, first::INT DESC, preset) AS place FROM b)
+SELECT vol_id, preset, score FROM r WHERE place = 1""")
+def preset_fallback(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    s = li.groupBy(F.col("l_orderkey").alias("vol_id"), "l_linenumber").agg(F.sum("l_quantity").alias("score"))
+    return D.choose_preset(s.select("vol_id", F.concat(F.lit("p"), "l_linenumber").alias("preset"), "score", (F.col("l_linenumber") == 1).alias("first")))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'derived' WHEN s_nationkey < s_suppkey % 20 THEN 'raw' ELSE 'derived' END AS cortical, CASE WHEN s_suppkey % 3 = 0 THEN 'seg' ELSE 'tight' END AS grid,
+CASE WHEN s_suppkey % 5 = 0 AND s_nationkey % 2 = 0 THEN 'automatic' WHEN s_suppkey % 7 = 0 OR s_nationkey % 2 > 0 THEN 'corrected' ELSE 'undecided' END AS contour FROM supplier""")
+def rule_decisions(spark, sf):
+    s, k, n = _t(spark, sf, "supplier"), F.col("s_suppkey"), F.col("s_nationkey")
+    return s.select("s_suppkey", D.cortical_rule(k % 4 == 0, n, k % 20).alias("cortical"), D.grid_rule(k % 3 == 0).alias("grid"), D.contour_verdict(k % 5, k % 7, n % 2).alias("contour"))
+
+
+@query("SELECT o_custkey, (min(struct_pack(m := o_orderkey % 50, p := o_orderpriority))).p AS choice, min(o_orderkey % 50) AS mismatch FROM orders GROUP BY 1")
+def assembly_best(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("choice"), (F.col("o_orderkey") % 50).alias("mismatch"))
+    return D.best_of(o, "o_custkey", "choice", "mismatch")
+
+
+@query("""~ a AS (SELECT user_id AS k, event_type AS fact, max(event_id % 3) AS value FROM events GROUP BY 1, 2), b AS (SELECT user_id AS k, event_type AS fact, min(event_id % 3) AS value FROM events GROUP BY 1, 2)
+SELECT k, count(*) FILTER (WHERE a.value = b.value) AS agree, count(*) FILTER (WHERE a.value <> b.value) AS disagree FROM a JOIN b USING (k, fact) GROUP BY 1""")
+def chain_votes(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("fact"), (F.col("event_id") % 3).alias("value"))
+    return D.votes(e.groupBy("k", "fact").agg(F.max("value").alias("value")), e.groupBy("k", "fact").agg(F.min("value").alias("value")), "k")
+
+
+_LEVELS = ["exact", "caveat", "manual", "inconsistent", "none"]
+_PICK = lambda e: "['exact', 'caveat', 'manual', 'inconsistent', 'none'][" + e + " % 5 + 1]"
+
+
+@query(f"""~ p AS (SELECT c_custkey, {_PICK('c_custkey')} AS m, {_PICK('(c_custkey // 5)')} AS s, {_PICK('(c_custkey // 25)')} AS t FROM customer)
+SELECT c_custkey, CASE WHEN m = 'none' THEN 'missing' WHEN 'inconsistent' IN (m, s, t) THEN 'inconsistent' WHEN m = 'manual' THEN 'manual masks' WHEN 'none' IN (s, t) THEN 'partial' WHEN 'caveat' IN (m, s, t) OR 'manual' IN (m, s, t) THEN 'usable with a note' ELSE 'complete' END AS status FROM p""")
+def plan_status(spark, sf):
+    level = lambda e: F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.floor(e) % 5 + 1).cast("int"))
+    k = F.col("c_custkey")
+    return _t(spark, sf, "customer").select("c_custkey", D.plan_status(level(k), level(k / 5), level(k / 25)).alias("status"))
+
+
+@query("""~ l AS (SELECT user_id AS k, event_id AS line, 'set ' || event_type || ' = ' || (event_id % 10) AS text FROM events), f AS (SELECT k, line, fact, regexp_extract(text, pattern, 1) AS value FROM l, (VALUES ('clicks', 'set click = (\\d+)'), ('errors', 'set error = (\\d+)')) p(fact, pattern))
+SELECT k, fact, arg_max(value, line) AS value, max(line) AS at FROM f WHERE value <> '' GROUP BY 1, 2""")
+def log_facts(spark, sf):
+    lines = _t(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("line"), F.concat(F.lit("set "), "event_type", F.lit(" = "), F.col("event_id") % 10).alias("text"))
+    return D.log_facts(lines, {"clicks": r"set click = (\d+)", "errors": r"set error = (\d+)"}, "k")
+
+
+@query("""~ d AS (SELECT event_id, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)
+SELECT event_id, CASE WHEN s IS NULL THEN 'unknown' WHEN s < -120 THEN 'older than its source' WHEN s <= 120 THEN 'same run' WHEN s <= 3600 THEN 'within the hour' WHEN s <= 86400 THEN 'same day' ELSE 'later' END AS reading FROM d""")
+def contour_timeline(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = _t(spark, sf, "events").withColumn("t", F.unix_timestamp("ts"))
+    return e.select("event_id", D.interval_reading(F.col("t") - F.lag("t").over(w)).alias("reading"))

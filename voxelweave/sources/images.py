@@ -352,3 +352,44 @@ def read_contours(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array([r[c] for r in rows], pa.int32()) for c in ("z", "contour", "x0", "y0")], pa.array([r["codes"] for r in rows], pa.list_(pa.int32()))], ["path", "z", "contour", "x0", "y0", "codes"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(run, "path string, z int, contour int, x0 int, y0 int, codes array<int>")
+
+
+def onto_grid(at: np.ndarray, own: Grid, onto: Grid) -> tuple[np.ndarray, int]:
+    """Set positions (n, 3) of a mask on its own grid, those on the scan's, and how many are lost.
+
+    Grids of other voxel sizes, and grids that do not meet, are refused.
+    """
+    if any(abs(a - b) > 1e-5 * b for a, b in zip(own.el, onto.el, strict=True)):
+        raise ValueError(f"voxels of {own.el} mm do not match the scan's {onto.el}")
+    if any(a >= d or b <= c for a, b, c, d in zip(own.origin, own.end, onto.origin, onto.end, strict=True)):
+        raise ValueError("the mask's grid and the scan's do not meet")
+    inside = ((at >= onto.origin) & (at < onto.end)).all(axis=1)
+    return at[inside], int((~inside).sum())
+
+
+def select_segment(data: np.ndarray, fields: dict[str, str], name: str | None = None, label: int | None = None) -> np.ndarray:
+    """A mask from a label volume: by the start of a segment's name, by label, the only
+    segment, the two labels of a compartment map, or else what is not zero."""
+    if label is not None:
+        return data == label
+    known = segments(fields)
+    if name is not None:
+        hits = [s for s in known.values() if s.get("Name", "").lower().startswith(name.lower())]
+        if len(hits) != 1:
+            raise ValueError(f"{len(hits)} segments are named {name!r}")
+        return data == int(hits[0].get("LabelValue", 1))
+    if len(known) == 1:
+        return data == int(next(iter(known.values())).get("LabelValue", 1))
+    if len(known) > 1:
+        raise ValueError("several segments: give a name or a label")
+    return data != 0
+
+
+def encode_any(name: str, data: np.ndarray, grid: Grid, template: bytes | None = None) -> bytes:
+    """A volume in the format that the name's ending asks for."""
+    lower = name.lower()
+    if lower.endswith(".nrrd"):
+        return encode_nrrd(data, grid)
+    if lower.endswith((".nii", ".nii.gz")):
+        return encode_nifti(data, grid, lower.endswith("gz"))
+    return encode_volume(data, template or new_header(grid))
