@@ -12,7 +12,6 @@ the cache.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from array import array
@@ -322,6 +321,16 @@ class Codec:
         """By the library's model; what is not plain Latin also by its pre-tokenizer."""
         model, letters, out = self.library.model, self.letter, []
         for unit in units:
+            if unit.isascii():  # a word, perhaps with one mark behind it, needs no pattern
+                body = unit[1:] if unit[0] == 32 and len(unit) > 1 else unit
+                end = body[-1:]
+                word = body if end.isalpha() or not 32 < body[-1] < 127 or end.isdigit() else body[:-1]
+                if word.isalpha():
+                    ids = [t.id for t in model.tokenize((letters[32] if body is not unit else "") + word.decode())]
+                    if word is not body:
+                        ids.append(self.first[body[-1]])
+                    out.append(array("I", ids).tobytes())
+                    continue
             u = unit.decode()
             if max(u) < "\u0250":
                 ids = [t.id for p in self.split(u) for t in model.tokenize(p.decode("latin-1").translate(letters))]
@@ -409,7 +418,6 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
     schema = docs.select(*rest).withColumns({c: F.lit(None).cast(kinds[c]) for c in new}).schema
 
     def run(batches):
-        gc.disable()  # no cycles are made here, and passes over large caches cost much
         own = codec(path)
         for batch in larger(batches):
             ids = own.encode_all([t or "" for t in batch.column(taken.index(text_col)).to_pylist()])
