@@ -30,7 +30,7 @@ _INF = 1 << 62
 _NONE = 1 << 30
 _END = (1 << 20) - 1
 #: Units that a worker keeps in each of the two generations of its cache.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 200_000
 #: Rows and bytes that are encoded at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of the longest piece that is merged together with others.
@@ -282,7 +282,7 @@ class Codec:
         self.first = [vocab[c] for c in sorted(byte, key=byte.get)]
         self.letter = {b: c for c, b in byte.items()}
         self.merges = Merges(self.first, self.ranks, self.made)
-        self.pieces = Units(self.of_piece, CACHE_UNITS // 2)
+        self.pieces = Units(self.of_piece, CACHE_UNITS // 3)
         self.units = Units(self.by_tree if own_merges else self.by_library)
         self.many = self.many_by_tree if own_merges else self.many_by_library
 
