@@ -7,17 +7,18 @@ it resembles.  A logistic calibration (of these two, the better size by length,
 length) on labelled documents that are in neither dictionary turns it into a score.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample_rows`` of either
-label, the first in the order of a hash of their id).  Everything is scored whole.
+label, the first in the order of a hash of their id); every text of the training half is
+in its dictionary, with an even share of the bytes.  Everything is scored whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .common import cut, prepare
 
 #: Labelled rows of either label that are used at most.
 SAMPLE_ROWS = 3000
-#: Bytes of a dictionary, bytes of one document in it, bytes of a chunk, and zstandard's level.
+#: Bytes of a dictionary, most bytes of one document in it, bytes of a chunk, and zstandard's level.
 DICT_BYTES, DOC_BYTES, CHUNK, LEVEL = 128 << 10, 1500, 1024, 6
 
 
@@ -75,14 +76,47 @@ def score(model: Model, rows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[0] + (rows * 10) @ w[1:], -30, 30)))
 
 
-def dictionary(texts: list[str], shared: Counter) -> bytes:
-    """Pieces of all texts in turn, without the lines that several texts of the sample hold."""
-    pieces = []
-    for text in texts:
-        own = "\n".join(line for line in text.split("\n") if shared[line] < 2).encode()
-        start = max(0, (len(own) - DOC_BYTES) // 2)
-        pieces.append(own[start : start + DOC_BYTES])
-    return b"\n".join(p for p in pieces if p)[:DICT_BYTES]
+def middle(raw: bytes, size: int) -> bytes:
+    start = max(0, (len(raw) - size) // 2)
+    return raw[start : start + size]
+
+
+def even_share(sizes: list[int], total: int) -> int:
+    """The largest equal limit under which all sizes, cut to it, fit the total; short ones leave theirs to the rest."""
+    left, most = total, 0
+    for k, n in enumerate(sorted(sizes)):
+        most = max(0, left) // (len(sizes) - k)
+        if n > most:
+            return most
+        left -= n
+    return max(most, *sizes) if sizes else 0
+
+
+def dictionary(pieces: list[bytes]) -> bytes:
+    """The middle of every piece, each with the same share of the dictionary's bytes."""
+    pieces = [p for p in pieces if p]
+    share = even_share([len(p) + 1 for p in pieces], DICT_BYTES + 1) - 1
+    return b"\n".join(middle(p, share) for p in pieces)[:DICT_BYTES] if share > 0 else b""
+
+
+def pieces(texts: DataFrame) -> pa.Table:
+    """``__id, q, h, piece`` by hash: up to DOC_BYTES from the middle of each whole text.
+
+    Lines that several texts hold are left out.  They are told by their hashes, and texts
+    are cut where they lie, so the driver gets pieces only.
+    """
+    lines = texts.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).groupBy(F.xxhash64("line").alias("line")).count()
+    shared = set(lines.where("count > 1").select("line").toArrow().column("line").to_pylist())
+
+    def run(batches):
+        digest = xxhash.xxh64_intdigest
+        known = {h % (1 << 64) for h in shared}
+        for batch in batches:
+            found = ["\n".join(line for line in t.split("\n") if digest(line.encode(), 42) not in known).encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), batch.column("h"), pa.array([middle(t, DOC_BYTES) for t in found], pa.binary())], ["__id", "q", "h", "piece"])
+
+    out = texts.select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "h", "text").mapInArrow(run, "__id long, q int, h long, piece binary")
+    return out.toArrow().sort_by([("h", "ascending"), ("__id", "ascending"), ("piece", "ascending")])
 
 
 def held_out(id_: Column) -> Column:
@@ -105,9 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(cut(picked))  # at most twice sample_rows
     sample = cut(docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(picked, "__id"))
     half = (F.shiftrightunsigned("h", 7) % 2) == 0
-    taken = sample.where(half).select("__id", "q", F.substring("text", 1, 20 * DOC_BYTES).alias("text")).toArrow().sort_by("__id").to_pylist()
-    shared = Counter(line for r in taken for line in set(r["text"].split("\n")))
-    bad, good = (dictionary([r["text"] for r in taken if r["q"] == q], shared) for q in (0, 1))
+    taken = pieces(sample.where(half)).to_pylist()
+    bad, good = (dictionary([r["piece"] for r in taken if r["q"] == q]) for q in (0, 1))
     model = Model(bad, good, ())
 
     def run(batches):
