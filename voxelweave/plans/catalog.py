@@ -974,6 +974,13 @@ def vax_float(spark, sf):
     return _t(spark, sf, "events").where(e.between(100, 150) | (e == 0)).select("event_id", X.vax_float(u).alias("value"))
 
 
+@query("""~ u AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS u FROM events), w AS (SELECT event_id, u % 65536 AS lo, u // 65536 AS hi FROM u), f AS (SELECT event_id, lo // 32768 AS s, (lo // 128) % 256 AS e, (lo % 128) * 65536 + hi AS m FROM w)
+SELECT event_id, CASE WHEN e = 0 THEN 0 ELSE (CASE WHEN s = 1 THEN -1 ELSE 1 END) * (0.5::DOUBLE + m / 16777216::DOUBLE) * pow(2::DOUBLE, (e - 128)::DOUBLE) END AS value FROM f""")
+def vax_float_all(spark, sf):
+    """All events, of every exponent; ``vax_float`` keeps the ones its SQL names."""
+    return _t(spark, sf, "events").select("event_id", X.vax_float((F.col("event_id") * 2654435761) % 4294967296).alias("value"))
+
+
 @query()
 def pseudonyms(spark, sf):
     c = _t(spark, sf, "customer")
