@@ -45,11 +45,11 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total.ravel()
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """A bit is set if more than half of the shingles' XXH64 have it; no word gives zero."""
+def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle; a text of fewer words is one shingle, one without words none."""
     found = text.encode().translate(_LOWER).split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
@@ -58,7 +58,14 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends - 1).tolist(), strict=True)], np.uint64, len(starts))
+    return np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends - 1).tolist(), strict=True)], np.uint64, len(starts))
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """A bit is set if more than half of the shingles' XXH64 have it; no word gives zero."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     bits = bit_counts(hashes) * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
@@ -185,6 +192,19 @@ def links(classes: DataFrame, limit: int = 3, node_codes: int = NODE_CODES) -> D
     return dealt.repartition(max(1, -(-ROTATIONS * rows // TASK_ROWS), min(12, rows // 500)), "key").mapInArrow(run, "a long, b long")
 
 
+def joined(own: DataFrame, edges, classes: DataFrame) -> DataFrame:
+    """``(did, rk, fp, component)`` from rows, their distinct ``fp`` and the links of these."""
+    shared = own.groupBy("did").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")  # one id with several texts
+    tie = own.join(shared.select("did"), "did", "left_semi").join(classes.select("fp", F.col("did").alias("rep")), "fp").select(F.col("did").alias("a"), F.col("rep").alias("b"))
+    found = components(edges.unionByName(tie))
+    classes = classes.join(found, classes["did"] == found["id"], "left").select("fp", F.coalesce("component", "did").alias("component"))
+    return own.join(classes, "fp").select("did", "rk", "fp", "component")
+
+
+def representatives(own: DataFrame) -> DataFrame:
+    return cut(own.groupBy("fp").agg(F.min("did").alias("did"), F.max("did").alias("most")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:
     """``(did, rk, fp, component)`` for each row; ``component`` is the least id reachable.
 
@@ -194,13 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     own = cut(fingerprints(docs, id_col, text_col, words))
-    classes = cut(own.groupBy("fp").agg(F.min("did").alias("did"), F.max("did").alias("most")))
-    shared = own.groupBy("did").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")  # one id with several texts
-    edges = links(classes, limit)
-    tie = own.join(shared.select("did"), "did", "left_semi").join(classes.select("fp", F.col("did").alias("rep")), "fp").select(F.col("did").alias("a"), F.col("rep").alias("b"))
-    found = components(edges.unionByName(tie))
-    classes = classes.join(found, classes["did"] == found["id"], "left").select("fp", F.coalesce("component", "did").alias("component"))
-    return own.join(classes, "fp").select("did", "rk", "fp", "component")
+    classes = representatives(own)
+    return joined(own, links(classes, limit), classes)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -208,10 +223,11 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select(public_id().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:
-    """Rows of ``docs`` whose document is the least of its group; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col, words, limit)
+def first_only(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     gone = found.where("component <> did").select(F.col("did").alias("__gone")).distinct()
     return docs.join(small(cut(gone)), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col("__gone"), "left_anti")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:
+    """Rows of ``docs`` whose document is the least of its group; all columns stay."""
+    return first_only(docs, near_duplicates(docs, id_col, text_col, words, limit), id_col)

@@ -1,0 +1,178 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, for the pipeline's stage.
+
+Fingerprints of texts at similarity 0.8 differ in about ten of 64 bits, beyond what the
+Gray-order index of ``simhash`` can look up.  Here the shingles' hashes themselves are the
+index.  All sets are put in one order of the hashes; two sets of a similarity of at least
+``t`` then share ``k`` of the first ``n - ceil(t n) + k`` hashes of either, with ``k`` a
+tenth of the smaller set, so only those are shuffled.  Whatever shares as many, and is not
+too different in size, is compared exactly.
+Hashes that many texts of a sample hold stand last in the order; that is a matter of speed
+only, as any order finds every pair.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, keyed, prepare, small
+from .components import components
+from .simhash import _signed, first_only, joined, representatives, shingle_hashes
+
+#: Frequent hashes are told from one text in so many, by so many of these at least, and so many hashes at most.
+SAMPLE, FREQUENT, HELD = 64, 4, 200_000
+#: Pairs a task makes at a time, and sets of one block.
+PAIRS, BLOCK = 2_000_000, 10_000
+
+
+def shingle_set(text: str, words: int) -> tuple[np.ndarray, int]:
+    """The distinct hashes in order, and one hash for the whole set (zero if it is empty)."""
+    own = np.unique(shingle_hashes(text, words))
+    return own, xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0
+
+
+def least_shared(n: int, similarity: float) -> int:
+    return math.ceil(similarity * n - 1e-9)
+
+
+def needed(n):
+    """How many hashes the prefixes of a set of ``n`` and of a similar larger one share at least."""
+    return (np.asarray(n, np.int64) + 9) // 10
+
+
+def prefix(own: np.ndarray, similarity: float, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The hashes of a set of which a similar one has at least ``needed`` in its own."""
+    size = len(own) - least_shared(len(own), similarity) + int(needed(len(own)))
+    if len(often) and len(own):
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        own = own[np.lexsort((own, np.where(often[at] == own, rank[at], 0)))]
+    return own[:size]
+
+
+def frequent(keys: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several texts of a sample hold, in order, and how many hold each."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words)[0] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))], ["h"])
+
+    seen = keys.where(F.pmod("rk", F.lit(SAMPLE)) == 0).dropDuplicates(["rk"]).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    top = seen.orderBy(F.desc("count"), "h").limit(HELD).toArrow()
+    hashes, rank = np.asarray(top.column("h")).astype(np.int64).view(np.uint64), np.asarray(top.column("count")).astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], rank[order]
+
+
+def grouped_pairs(h: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float):
+    """``(x, y, shared, needed)``: different sets that share hashes and whose sizes allow the similarity."""
+    order = np.lexsort((n, h))
+    h, fp, n = h[order], fp[order], n[order]
+    last = np.r_[np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)] if len(h) else np.zeros(0, int)
+    end = np.repeat(last, np.diff(np.r_[0, last]))
+    # Sizes ascend within a group, so the partners of a row are the run behind it.
+    group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    wide = np.int64(1) << 40
+    reach = np.searchsorted(group * wide + n, group * wide + np.floor(n / similarity + 1e-9).astype(np.int64), side="right")
+    count = np.maximum(np.minimum(reach, end) - np.arange(len(h)) - 1, 0)
+    done = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < len(h):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, side="right")) - 1)
+        per = count[at:to]
+        a = np.repeat(np.arange(at, to), per)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(per) - per, per)
+        x, y = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
+        least = needed(n[a])[x != y]  # the smaller set stands first
+        x, y = x[x != y], y[x != y]
+        by = np.lexsort((y, x))
+        x, y, least = x[by], y[by], least[by]
+        head = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, int)
+        yield x[head], y[head], np.diff(np.r_[head, len(x)]), least[head]
+        at = to
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(did, rk, fp, component)`` for each row; ``component`` is the least id reachable.
+
+    Texts are linked whose sets of shingles have at least the similarity (shared by all).
+    Texts without words are copies of each other.  ``fp`` is the hash of the set.
+    """
+    prepare(docs.sparkSession)
+    keys = keyed(docs, id_col, text_col)
+    often, rank = frequent(keys, words)
+
+    def first(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            heads = [prefix(s, similarity, often, rank).view(np.int64) for s, _ in sets]
+            fps = np.fromiter((f for _, f in sets), np.uint64, len(sets))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in heads])))
+            flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), _signed(fps), pa.array([len(s) for s, _ in sets], pa.int32()), flat], ["did", "rk", "fp", "n", "head"])
+
+    rows = cut(keys.mapInArrow(first, "did long, rk long, fp long, n int, head array<long>"))
+    own = rows.select("did", "rk", "fp")
+    classes = representatives(own)
+    once = rows.join(classes.select("fp", "did"), ["fp", "did"], "left_semi")  # copies repeat only within one id
+
+    def pairs(batches):
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held)
+            for part in grouped_pairs(*(np.asarray(table.column(c)) for c in ("h", "fp", "n")), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in part], ["x", "y", "shared", "least"])
+
+    heads = once.select("fp", "n", F.explode("head").alias("h"))
+    parts = max(1, -(-(rows.agg(F.sum(F.size("head"))).first()[0] or 0) // 400_000), docs.sparkSession.sparkContext.defaultParallelism)
+    found = cut(heads.repartition(parts, "h").mapInArrow(pairs, "x long, y long, shared long, least long").groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("x", "y"))
+
+    def whole(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([_signed(np.fromiter((f for _, f in sets), np.uint64, len(sets))), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["fp", "own"])
+
+    # Pairs that hang together meet in one task, so each set is shuffled once; large groups are dealt out as pairs of blocks.
+    group = cut(components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("id", "fp"))
+    large = F.broadcast(group.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    group = group.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    key = lambda a, b: F.xxhash64("component", F.least(a, b), F.greatest(a, b)).alias("key")
+    wanted = cut(group.join(classes, "fp").join(own, ["fp", "did"]).groupBy("fp", "did", "component", "blocks", "block").agg(F.min("rk").alias("rk")))
+    texts = keys.join(small(wanted.select("did", "rk").distinct()), ["did", "rk"], "left_semi")
+    sets = texts.mapInArrow(whole, "fp long, own binary").join(small(wanted.select("fp", "component", "blocks", "block")), "fp")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.select(key("block", "other"), F.col("fp").alias("x"), F.lit(None).cast("long").alias("y"), "own")
+    side = lambda c: wanted.select(F.col("fp").alias(c), "component", F.col("block").alias(f"b{c}"))
+    asked = found.join(side("x"), "x").join(side("y").drop("component"), "y").select(key("bx", "by"), "x", "y", F.lit(None).cast("binary").alias("own"))
+
+    def compare(batches):
+        known, a, b = {}, [], []
+        for batch in batches:
+            for x, y, raw in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "own")), strict=True):
+                if raw is None:
+                    a.append(x)
+                    b.append(y)
+                else:
+                    known[x] = np.frombuffer(raw, np.uint64)
+        keep = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            p, q = known[x], known[y]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep[k] = both + 1e-9 >= similarity * (len(p) + len(q) - both)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[keep]) for c in (a, b)], ["x", "y"])
+
+    size = wanted.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // 2000))
+    close = cut(asked.unionByName(sets).repartition(parts, "key").mapInArrow(compare, "x long, y long").distinct())
+    reps = lambda c, name: classes.select(F.col("fp").alias(c), F.col("did").alias(name))
+    return joined(own, close.join(reps("x", "a"), "x").join(reps("y", "b"), "y").select("a", "b"), classes)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` whose document is the least of its group; all columns stay."""
+    return first_only(docs, similar(docs, id_col, text_col, words, similarity), id_col)
