@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import bpe, lines, mixing, quality, similar
+from voxelweave.llm import bpe, lines, mixing, quality, simhash
 from voxelweave.llm.common import cut, table
 
 #: Sources are repeated up to so many times, and every document is used at least once.
@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the smallest id."""
-    return similar.keep_first(docs, words=5, similarity=0.8)
+    return simhash.keep_first(docs, words=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

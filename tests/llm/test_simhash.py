@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from voxelweave.llm import simhash
+from voxelweave.llm import graytree, simhash
 from voxelweave.llm.components import components
 
 from .cases import documents, empty
@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     for r in got:
         assert r.component_id == want[big if r.doc_id is None else r.doc_id]
     assert simhash.digest(empty(spark)).count() == 0
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_first(docs, words=3, limit=3)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c}
 
@@ -53,12 +53,43 @@ def test_index_finds_every_link():
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
     codes = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a, b in rng.integers(0, 64, (12, 2))] + [base[0] ^ (np.arange(64, dtype=np.uint64) << np.uint64(5))]))
     node = (codes % np.uint64(3)).astype(np.int64)
-    label = simhash.local_labels(len(codes), *(np.concatenate(x) for x in zip(*simhash.linked(node, codes, chunk=50))))
+    label = simhash.local_labels(len(codes), *(np.concatenate(x) for x in zip(*graytree.linked(node, codes, chunk=50))))
     far = np.bitwise_count(codes[:, None] ^ codes) <= 3
     a, b = np.nonzero(far & (node[:, None] == node))
     assert (label == simhash.local_labels(len(codes), a, b)).all()
 
 
+def test_wide_codes():
+    rng = np.random.default_rng(4)
+    codes, wide = (rng.integers(0, 2**20, 400).astype(np.uint64) for _ in range(2))
+    node = rng.integers(0, 3, 400)
+    found = [np.concatenate(x) for x in zip(*graytree.linked(node, codes, 6, wide, 9, chunk=300))]
+    apart = np.bitwise_count(codes[:, None] ^ codes)
+    far = (apart <= 6) & (apart + np.bitwise_count(wide[:, None] ^ wide) <= 9) & (node[:, None] == node)
+    assert (simhash.local_labels(400, *found) == simhash.local_labels(400, *np.nonzero(far))).all()
+    assert sum(len(a) for a, _ in graytree.linked(node[:0], codes[:0])) == 0
+
+
+def test_masks():
+    for rows, bits in ((0, 16), (1 << 30, 25), (1 << 38, 31)):
+        found = simhash.masks(rows)
+        assert min(m.bit_count() for m in found) >= bits
+        rng = np.random.default_rng(1)
+        for apart in [rng.choice(64, 3, replace=False) for _ in range(200)]:
+            assert any(not sum(1 << int(b) for b in apart) & m for m in found)
+
+
+def test_many_masks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60)
+    fps = np.unique(np.concatenate([base, *[base ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))) for _ in range(4)]]))
+    monkeypatch.setattr(simhash, "CROWD", 0)
+    monkeypatch.setattr(simhash, "masks", lambda rows, limit=3, real=simhash.masks: real(1 << 38, limit))
+    got = {r.id: r.component for r in components(simhash.links(spark.createDataFrame([(int(f),) for f in fps], "fp long"))).collect()}
+    want = simhash.local_labels(len(fps), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= 3))
+    assert got == {int(fps[i]): int(fps[c]) for i, c in enumerate(want.tolist()) if (want == c).sum() > 1}
+
+
 def test_hot_node_in_blocks(spark):
     rng = np.random.default_rng(5)
     fps = np.unique(rng.integers(0, 2**20, 900)).astype(np.int64)
@@ -66,7 +97,7 @@ def test_hot_node_in_blocks(spark):
     got = {r.id: r.component for r in components(simhash.links(classes, node_codes=100)).collect()}
     a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= 3)
     want = simhash.local_labels(len(fps), a, b)
-    assert got == {i: c for i, c in enumerate(want.tolist()) if (want == c).sum() > 1}
+    assert got == {int(fps[i]): int(fps[c]) for i, c in enumerate(want.tolist()) if (want == c).sum() > 1}
 
 
 def test_components_of_chains(spark):
