@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from voxelweave.llm import lines, substring
+from voxelweave.llm import common, lines, simhash, substring
 
 from .cases import documents, empty
 
@@ -82,3 +82,35 @@ def test_no_passages(spark):
     assert substring.digest(empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert substring.digest(one).first()[1:] == (3, 0, sha("a b c"))
+
+
+def test_shuffled_branches(spark, monkeypatch):
+    """The same rows where no side may be broadcast."""
+    docs = documents(spark)
+    rows = docs.collect()
+    groups = sorted(simhash.near_duplicates(docs).select("did", "component").collect())
+    kept = sorted(str(r.doc_id) for r in simhash.keep_first(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = sorted((BIG if r[0] is None else r[0], *r[1:]) for r in lines.digest(docs).collect())
+    assert got == plain_lines(rows)
+    out = substring.remove_repeated_passages(docs)
+    assert sorted((r.did if r.did < BIG - 1 else BIG, r.n_words, r.n_removed, sha(r.kept_text)) for r in out.collect()) == plain_passages(rows, 50)
+    assert sorted(simhash.near_duplicates(docs).select("did", "component").collect()) == groups
+    assert sorted(str(r.doc_id) for r in simhash.keep_first(docs).collect()) == kept
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark).selectExpr("*", "'x' AS n_lines", "2.5 AS n_dropped", "'y' AS did", "'z' AS rk")
+    out = lines.drop_repeated_lines(docs)
+    assert out.columns == docs.columns and dict(out.dtypes)["n_lines"] == "bigint" and out.where("did = 'y'").count() == docs.count()
+    assert simhash.keep_first(docs).columns == docs.columns
+
+
+def test_very_long_text(spark):
+    """Two million words in one text, which hold a passage of another text twice."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    long_ = " ".join(f"w{k % 99991}x{k}" for k in range(2_000_000))
+    docs = spark.createDataFrame([(1, passage), (2, long_ + " " + passage + " " + long_[:500] + " " + passage), (3, long_)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.digest(docs).collect()}
+    assert got[1] == (60, 0) and got[3] == (2_000_000, 2_000_000) and 120 <= got[2][1] <= 220
+    assert simhash.keep_first(docs).count() == 2

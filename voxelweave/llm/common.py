@@ -20,15 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long texts must fit beside the executor's heap."""
+    """Small Arrow batches: a batch of long texts must fit beside the executor's heap.
+
+    The session keeps these two settings, as what the operators return runs later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "160")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all tasks run here."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "voxelweave-shared")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -66,17 +72,18 @@ def public_id(name: str = "did") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
-def fits(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``side`` (a table on disk: counting it is cheap) has at most ``rows`` rows."""
+def fits(side: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``side`` (a table on disk: counting it is cheap) has at most ``rows`` (BROADCAST_ROWS) rows."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return side.limit(rows + 1).count() <= rows
 
 
-def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+def small(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """``side`` with a broadcast hint if it has at most ``rows`` (BROADCAST_ROWS) rows, else as it is."""
     return F.broadcast(side) if fits(side, rows) else side
 
 
-def with_side(docs: DataFrame, side: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+def with_side(docs: DataFrame, side: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """``docs`` LEFT JOIN ``side``, shuffling only the rows of ``docs`` that have a match.
 
     ``side`` is a table on disk with unique keys.  If it has at most ``rows`` rows its

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, row_id, small, with_side
+from .common import cut, drop_cut, prepare, row_id, small, with_side
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -39,8 +39,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held = held.where("first < last" if min_docs == 2 else "true").drop("last")
     else:
         held = lines.select("h1", "h2", "__did").distinct().groupBy("h1", "h2").agg(F.min("__did").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    lost = lines.join(small(cut(held)), ["h1", "h2"]).where("__did > first")
-    return lost.groupBy("__did", "__rk").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    held = cut(held)
+    lost = lines.join(small(held), ["h1", "h2"]).where("__did > first")
+    out = cut(lost.groupBy("__did", "__rk").agg(F.array_sort(F.collect_set("pos")).alias("drops")))
+    drop_cut(held)
+    return out
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -53,7 +56,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document.  Columns named ``n_lines`` or ``n_dropped`` are replaced, others stay.
     """
     prepare(docs.sparkSession)
-    side = cut(repeated_lines(docs, id_col, text_col, min_chars, min_docs))
+    side = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
     out = with_side(_with_keys(docs, id_col, text_col), side, ["__did", "__rk"])
     lines, bounds = F.split("__text", "\n", -1), F.col("__bounds")
     parts = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: F.slice(lines, F.get(bounds, k) + 2, F.get(bounds, k + 1) - F.get(bounds, k) - 1))
@@ -65,6 +68,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns: ``doc_id``, ``n_lines``, ``n_dropped`` and the hash of the kept lines."""
     out = drop_repeated_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

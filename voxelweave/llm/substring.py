@@ -1,13 +1,14 @@
 """Substring dedup (operator 2) by level-wise doubling.
 
 A passage of ``window`` words goes where an earlier document holds it too.  Windows are
-hashed at a first length, and only those that two documents share go on to twice that
-length, up to the whole window.  Below the whole window not every position counts: of
-the shorter windows inside each whole window only the one with the least hash does.
-It depends on the words alone, so equal windows choose equal anchors, and no repeat is
-lost while a first length of 25 deals out one position in 13.  Documents that copy a
-smaller one word by word are known by their whole hash and lose everything at once, so
-only texts that share a passage without being copies are read again.
+hashed at a first length; those that two documents share go on to twice that length, and so
+on up to the whole window, until none is left.  Below the whole window not every position
+counts: of the shorter windows inside each whole window only the one with the least hash
+does.  It depends on the words alone, so equal windows choose equal anchors, and no repeat
+is lost while a first length of 7 deals out one position in 22.  A text is cut into words
+for the first level only; from then on a level reads what the one before it left, the word
+hashes of the spans that its repeated windows cover.  Documents that copy a smaller one word
+by word are known by their whole hash and lose everything at once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, fits, keyed, prepare, public_id, small, with_side
-from .wordhash import sliding, split_words, window_hashes, word_hashes
+from .wordhash import mix, sliding, split_words, window_hashes, word_hashes
 
 _OUT_ROWS = 100_000
 
@@ -75,93 +76,136 @@ def signatures(base: DataFrame, length: int, window: int) -> DataFrame:
     return base.mapInArrow(run, "did long, rk long, n_words long, c1 long, c2 long, anchors array<long>")
 
 
-def _live(batch, hashes, offsets, length, window):
+def live_windows(hashes: np.ndarray, offsets: np.ndarray, length: int, window: int, known: pa.Array) -> np.ndarray:
     """Which whole windows have an anchor that is known to be repeated."""
-    known = batch.column("anchors").flatten()
     least, valid, *_ = least_inside(hashes, offsets, length, window)
-    return valid & np.isin(least, np.unique(np.asarray(known).view(np.uint64)))
+    return valid & np.isin(least, np.unique(np.asarray(known.flatten()).view(np.uint64)))
 
 
-def next_anchors(texts: DataFrame, length: int, longer: int, window: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            coded, offsets = split_words(batch.column("text"))
-            hashes = word_hashes(coded)
-            _, values, owner = anchor_positions(hashes, offsets, longer, window, _live(batch, hashes, offsets, length, window))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), _lists(values.view(np.int64), owner, batch.num_rows, pa.int64())], ["did", "rk", "anchors"])
+def covered(live: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of words that overlapping live windows cover.
 
-    return texts.mapInArrow(run, "did long, rk long, anchors array<long>")
-
-
-def whole_windows(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """A row with a 128-bit hash for each whole window whose anchor is repeated."""
+    Windows of two texts never overlap.  A whole window that repeats is live itself, so it
+    lies in one run.
+    """
+    at = np.flatnonzero(live)
+    if not len(at):
+        return at, at
+    apart = np.flatnonzero(np.diff(at) >= window)
+    return at[np.r_[0, apart + 1]], at[np.r_[apart, len(at) - 1]] + window
+
+
+def _spans(batch, hashes, offsets, base, window, live, longer):
+    """A row for each run of words that live windows cover, with the anchors of the next length."""
+    low, high = covered(live, window)
+    sizes = high - low
+    text = np.searchsorted(offsets, low, side="right") - 1
+    at = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    own = hashes[at]
+    ends = np.r_[0, np.cumsum(sizes)]
+    _, values, owner = anchor_positions(own, ends, longer, window)
+    raw = pa.Array.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer((8 * ends).astype(np.int64)), pa.py_buffer(own)]).cast(pa.binary())
+    place = pa.array(text, pa.int64())
+    start = (base[text] + low - offsets[text]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column("did").take(place), batch.column("rk").take(place), pa.array(start), raw, _lists(values.view(np.int64), owner, len(low), pa.int64())], ["did", "rk", "start", "words", "anchors"])
+
+
+def _whole(batch, hashes, offsets, base, window, live):
+    """Rows with a 128-bit hash for each live window."""
+    at = np.flatnonzero(live)
+    first, second = window_hashes(hashes, window), window_hashes(mix(hashes, np.ones(1, np.uint64)), window)
+    text = np.searchsorted(offsets, at, side="right") - 1
+    did, rk = np.asarray(batch.column("did")), np.asarray(batch.column("rk"))
+    for k in range(0, len(at), _OUT_ROWS):
+        s, d = at[k : k + _OUT_ROWS], text[k : k + _OUT_ROWS]
+        yield pa.RecordBatch.from_arrays([_long(first[s]), _long(second[s]), pa.array(did[d]), pa.array(rk[d]), pa.array((base[d] + s - offsets[d]).astype(np.int32))], ["h1", "h2", "did", "rk", "pos"])
+
+
+def next_level(rows: DataFrame, length: int, longer: int, window: int) -> DataFrame:
+    """What the repeated anchors of ``length`` words leave of texts or spans.
+
+    Spans with the anchors of ``longer`` words, or if that is the whole window its hashes.
+    """
+    source = "text" if "text" in rows.columns else "words"
 
     def run(batches):
         for batch in batches:
-            coded, offsets = split_words(batch.column("text"))
-            hashes = word_hashes(coded)
-            at = np.flatnonzero(_live(batch, hashes, offsets, length, window))
-            first, second = window_hashes(hashes, window), window_hashes(word_hashes(coded, 1), window)
-            text = np.searchsorted(offsets, at, side="right") - 1
-            did, rk = np.asarray(batch.column("did")), np.asarray(batch.column("rk"))
-            for k in range(0, len(at), _OUT_ROWS):
-                s, d = at[k : k + _OUT_ROWS], text[k : k + _OUT_ROWS]
-                yield pa.RecordBatch.from_arrays([_long(first[s]), _long(second[s]), pa.array(did[d]), pa.array(rk[d]), pa.array((s - offsets[d]).astype(np.int32))], ["h1", "h2", "did", "rk", "pos"])
-
-    return texts.mapInArrow(run, "h1 long, h2 long, did long, rk long, pos int")
+            if source == "text":
+                coded, offsets = split_words(batch.column("text"))
+                hashes, base = word_hashes(coded), np.zeros(batch.num_rows, np.int64)
+            else:
+                raw = batch.column("words").to_pylist()
+                hashes, offsets = np.frombuffer(b"".join(raw), np.uint64), np.r_[0, np.cumsum([len(x) // 8 for x in raw])]
+                base = np.asarray(batch.column("start")).astype(np.int64)
+            live = live_windows(hashes, offsets, length, window, batch.column("anchors"))
+            if longer == window:
+                yield from _whole(batch, hashes, offsets, base, window, live)
+            else:
+                yield _spans(batch, hashes, offsets, base, window, live, longer)
+
+    return rows.mapInArrow(run, "h1 long, h2 long, did long, rk long, pos int" if longer == window else "did long, rk long, start int, words binary, anchors array<long>")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that two documents hold, and the first of them."""
-    return rows.groupBy(*keys).agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
+    """Keys that two documents hold, and the first of them; a table of its own, so that Spark can split a join with it."""
+    return cut(rows.groupBy(*keys).agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last"))
+
+
+def _held(anchors: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The repeated anchors of each text or span that has any; and the anchors."""
+    rows = anchors.select(*keys, F.explode("anchors").alias("h"))
+    again = _repeated(rows, ["h"])
+    return cut(rows.join(small(again.select("h")), "h").groupBy(*keys).agg(F.collect_set("h").alias("anchors"))), again
 
 
-def _held(anchors: DataFrame) -> DataFrame:
-    """The repeated anchors of each text that has any."""
-    rows = anchors.select("did", "rk", F.explode("anchors").alias("h"))
-    again = cut(_repeated(rows, ["h"]).select("h"))
-    return cut(rows.join(small(again), "h").groupBy("did", "rk").agg(F.collect_set("h").alias("anchors")))
+def _with_anchors(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """The texts or spans that have a repeated anchor, with their anchors; others meet no shuffle if there are not too many of these."""
+    ids = held.select(*keys)
+    return (rows.join(F.broadcast(ids), keys, "left_semi") if fits(ids) else rows).join(held.hint("shuffle_hash"), keys)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first_length: int = 25) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first_length: int = 7) -> DataFrame:
     """``(did, rk, whole, starts)`` for each text that loses words.
 
     ``starts`` are the positions of the windows that a smaller id holds; ``whole`` says
     that the text has the very words of a smaller id.
     """
     base = keyed(docs, id_col, text_col)
-    own = cut(signatures(base, first_length, window))
+    own = cut(signatures(base, min(first_length, window), window))
     long_ones = own.where(F.col("n_words") >= window)
-    same = long_ones.select("c1", "c2", "did")
-    copies = cut(long_ones.select("did", "rk", "c1", "c2").join(_repeated(same, ["c1", "c2"]), ["c1", "c2"]).where("did > first").select("did", "rk").distinct())
-    gone = small(copies)
-    length, held = first_length, _held(long_ones.join(gone, ["did", "rk"], "left_anti").select("did", "rk", "anchors"))
+    same = _repeated(long_ones.select("c1", "c2", "did"), ["c1", "c2"])
+    copies = cut(long_ones.select("did", "rk", "c1", "c2").join(small(same), ["c1", "c2"]).where("did > first").select("did", "rk").distinct())
+    length, keys = min(first_length, window), ["did", "rk"]
+    held, again = _held(long_ones.join(small(copies), keys, "left_anti").select("did", "rk", "anchors"), keys)
+    done = [own, same, again]
+    source = _with_anchors(base, held, keys)
     while True:
-        ids = held.select("did", "rk")
-        texts = base.join(F.broadcast(ids), ["did", "rk"], "left_semi") if fits(ids) else base
-        texts = texts.join(held.hint("shuffle_hash"), ["did", "rk"])
         longer = min(2 * length, window)
+        left = cut(next_level(source, length, longer, window))
+        done.append(held)
         if longer == window:
             break
-        held, length = _held(next_anchors(texts, length, longer, window)), longer
-    rows = cut(whole_windows(texts, length, window))
-    # As a table of its own, so that the join of a very common passage can be split.
-    again = cut(_repeated(rows, ["h1", "h2"]))
-    starts = rows.join(again, ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
+        length, keys = longer, ["did", "rk", "start"]
+        held, again = _held(left.select(*keys, "anchors"), keys)
+        done += [left, again]
+        source = _with_anchors(left.drop("anchors"), held, keys)
+    again = _repeated(left, ["h1", "h2"])
+    starts = left.join(small(again), ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
     out = cut(starts.select("did", "rk", F.lit(False).alias("whole"), "starts").unionByName(copies.select("did", "rk", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))))
-    for t in (own, held, rows, again, copies):
+    for t in (*done, left, again, copies):
         drop_cut(t)
     return out
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first_length: int = 25) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first_length: int = 7) -> DataFrame:
     """``(did, rk, n_words, n_removed, kept_text)`` for each row of ``docs``.
 
     Every word goes that is covered by a window of ``window`` words which also starts in
     a smaller id, judged on the texts as they came; the other words are joined by one
     space.  Words are runs of ``[^\\x20\\x09-\\x0D]``, unchanged; a null text has none.  A null
     id is larger than any other; rows with one id are one document, so they lose nothing
-    to each other.
+    to each other.  An empty table gives an empty one; no column of ``docs`` but these two is
+    read, so names cannot clash.
     """
     prepare(docs.sparkSession)
     side = repeated_passages(docs, id_col, text_col, window, first_length)
@@ -190,6 +234,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns: ``doc_id``, ``n_words``, ``n_removed`` and the hash of the kept words."""
     out = remove_repeated_passages(docs)
     return out.select(public_id().alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -79,15 +79,3 @@ def sliding(values: np.ndarray, width: int, reduce) -> np.ndarray:
         have += step
     return out
 
-
-def anchors(lower: np.ndarray, width: int) -> np.ndarray:
-    """Mask of the values that are the least of some ``width`` consecutive ones.
-
-    Any two equal runs of ``width`` values mark equal values, whatever stands around.
-    """
-    n = len(lower)
-    if n < width:
-        return np.zeros(n, bool)
-    least = sliding(lower, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    return sliding(np.concatenate((pad, least, pad)), width, np.maximum) == lower
