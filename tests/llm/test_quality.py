@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import zstandard
+
 from voxelweave.llm import quality
 
 from .cases import documents, empty
@@ -44,3 +47,26 @@ def test_odd_rows(spark):
     model = quality.train(docs, labels)
     assert quality.classify(docs, model).columns == [*docs.columns[:5], docs.columns[6], "score", "predicted"]
     assert quality.digest(empty(spark), labels).count() == 0
+
+
+def test_against_plain_compression(spark):
+    """Every score again by compressing the text by hand, and the weights by their gradient."""
+    docs, labels = corpus(spark)
+    docs = docs.unionByName(documents(spark).selectExpr("doc_id + 1000 AS doc_id", "text"))
+    model = quality.train(docs, labels)
+    press = [zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for d in (model.bad, model.good)]
+
+    def plain(text):
+        raw = (text or "").encode()
+        a, b = (sum(len(c.compress(raw[i : i + 1024])) - 6 for i in range(0, len(raw), 1024)) for c in press)
+        x = (a - b + 64 * model.mean[0]) / (len(raw) + 64), (a - b + 64 * model.mean[1]) / (max(a, b, 0) + 64)
+        return x, 1 / (1 + np.exp(-(model.weights[0] + 10 * (model.weights[1] * x[0] + model.weights[2] * x[1]))))
+
+    rows = quality.classify(docs, model).collect()
+    assert max(abs(plain(r.text)[1] - r.score) for r in rows) < 1e-9
+    assert {r.score for r in rows if not r.text} == {plain("")[1]}
+    x = np.random.default_rng(1).normal(size=(300, 2))
+    good = (x @ [1.0, -0.5] + np.random.default_rng(2).normal(size=300) > 0).astype(float)
+    w = np.array(quality.calibrate(x, good, ridge=0.0))
+    left = 1 / (1 + np.exp(-(w[0] + 10 * x @ w[1:]))) - good
+    assert np.abs(left @ np.column_stack((np.ones(300), x))).max() < 1e-6

@@ -1,14 +1,15 @@
 """Quality classifier (operator 9) by compression.
 
 Two zstandard dictionaries are built from labelled text, one from good and one from bad
-documents.  A text is compressed in independent chunks with either; the difference of
-the two sizes, normalised by the text's length and by the larger size, tells which kind
-it resembles.  A logistic calibration (of these two, the better size by length, and the
-length) on labelled documents that are in neither dictionary turns it into a score.
+documents.  A text is compressed in independent chunks with either, and the difference of
+the two sizes tells which kind it resembles.  It is normalised twice, by the text's length and
+by the larger of the sizes; both are smoothed, so that a text of a few bytes, which says
+nothing, has the mean difference.  A logistic calibration of the normalised difference, and of
+nothing else, on labelled documents that are in neither dictionary gives the score.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample_rows`` of either
 label, the first in the order of a hash of their id); every text of the training half is
-in its dictionary, with an even share of the bytes.  Everything is scored whole.
+in its dictionary, with an even share of its ``dict_bytes``.  Everything is scored whole.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, drop_cut, prepare
 
 #: Labelled rows of either label that are used at most.
 SAMPLE_ROWS = 3000
 #: Bytes of a dictionary, most bytes of one document in it, bytes of a chunk, and zstandard's level.
 DICT_BYTES, DOC_BYTES, CHUNK, LEVEL = 128 << 10, 1500, 1024, 6
+#: Bytes that the mean difference counts for beside a text's own.
+SMOOTH = 64
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,7 @@ class Model:
     bad: bytes
     good: bytes
     weights: tuple[float, ...]
+    mean: tuple[float, float] = (0.0, 0.0)
     level: int = LEVEL
     chunk: int = CHUNK
 
@@ -48,23 +52,31 @@ class Model:
         return out
 
 
-def features(text: str, compressors, chunk: int = CHUNK) -> tuple[float, float, float, float]:
-    """Normalised compressed-size differences, the better ratio, and the length."""
+def sizes(text: str, compressors, chunk: int = CHUNK) -> tuple[int, int, int]:
+    """Compressed sizes with the bad and the good dictionary, and the text's own; frames' fixed heads left out."""
     raw = text.encode()
     parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)]
-    # A frame's fixed head is no information about the text.
     a, b = (sum(len(c.compress(p)) for p in parts) - 6 * len(parts) for c in compressors)
-    n, most = max(1, len(raw)), max(1, a, b)
-    return (a - b) / n, (a - b) / most, min(a, b) / n, float(np.log1p(len(raw)))
+    return a, b, len(raw)
 
 
-def calibrate(rows: np.ndarray, good: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
+def batch_sizes(texts: list[str | None], model: Model, compressors) -> np.ndarray:
+    return np.array([sizes(t or "", compressors, model.chunk) for t in texts], np.float64).reshape(-1, 3)
+
+
+def differences(found: np.ndarray, mean: tuple[float, float], smooth: int = SMOOTH) -> np.ndarray:
+    """The size difference by the text's length and by the larger size, smoothed towards the means."""
+    apart, most = found[:, 0] - found[:, 1], np.maximum(found[:, :2].max(axis=1, initial=0), 0)
+    return np.column_stack([(apart + smooth * m) / np.maximum(base + smooth, 1) for m, base in zip(mean, (found[:, 2], most), strict=True)])
+
+
+def calibrate(rows: np.ndarray, good: np.ndarray, ridge: float = 1e-3, weight: np.ndarray | None = None) -> tuple[float, ...]:
     """Weights of a logistic regression, the constant first, by Newton steps."""
     x = np.column_stack((np.ones(len(rows)), rows * 10))
-    w = np.zeros(x.shape[1])
+    w, each = np.zeros(x.shape[1]), np.ones(len(rows)) if weight is None else weight
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - good) + ridge * w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (each * (p - good)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -92,11 +104,11 @@ def even_share(sizes: list[int], total: int) -> int:
     return max(most, *sizes) if sizes else 0
 
 
-def dictionary(pieces: list[bytes]) -> bytes:
+def dictionary(pieces: list[bytes], dict_bytes: int = DICT_BYTES) -> bytes:
     """The middle of every piece, each with the same share of the dictionary's bytes."""
     pieces = [p for p in pieces if p]
-    share = even_share([len(p) + 1 for p in pieces], DICT_BYTES + 1) - 1
-    return b"\n".join(middle(p, share) for p in pieces)[:DICT_BYTES] if share > 0 else b""
+    share = even_share([len(p) + 1 for p in pieces], dict_bytes + 1) - 1
+    return b"\n".join(middle(p, share) for p in pieces)[:dict_bytes] if share > 0 else b""
 
 
 def pieces(texts: DataFrame) -> pa.Table:
@@ -124,10 +136,11 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit a model on labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> Model:
+    """Fit a model on labelled rows that are not held out, at most ``sample_rows`` of either label.
 
-    Labels other than 0 and 1, null ids, ids with both labels and labels without a
+    About half of them are in the dictionaries of ``dict_bytes`` each, every text with an even
+    share from the middle of its whole text; the others calibrate.  Labels other than 0 and 1, null ids, ids with both labels and labels without a
     document are left out.  With no label of one kind the score is the constant share of
     good labels (one added to either count).
     """
@@ -136,31 +149,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(~held_out(labels[id_col]) & labels[label_col].isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("q"), F.max(label_col).alias("__q")).where("q = __q").drop("__q")
     known = known.withColumn("h", F.xxhash64("__id"))
     picked = known.where("q = 0").orderBy("h", "__id").limit(sample_rows).unionByName(known.where("q = 1").orderBy("h", "__id").limit(sample_rows))
-    picked = F.broadcast(cut(picked))  # at most twice sample_rows
-    sample = cut(docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(picked, "__id"))
+    picked = cut(picked)
+    labelled = {r["q"]: r["count"] for r in known.groupBy("q").count().collect()}  # two rows
+    sample = cut(docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "__id"))  # at most twice sample_rows
     half = (F.shiftrightunsigned("h", 7) % 2) == 0
     taken = pieces(sample.where(half)).to_pylist()
-    bad, good = (dictionary([r["piece"] for r in taken if r["q"] == q]) for q in (0, 1))
+    bad, good = (dictionary([r["piece"] for r in taken if r["q"] == q], dict_bytes) for q in (0, 1))
     model = Model(bad, good, ())
 
     def run(batches):
         own = model.compressors()
         for batch in batches:
-            x = np.array([features(t, own, model.chunk) for t in batch.column("text").to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), *(pa.array(x[:, k]) for k in range(4))], ["__id", "q", "a", "b", "c", "d"])
+            x = batch_sizes(batch.column("text").to_pylist(), model, own)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), *(pa.array(x[:, k]) for k in range(3))], ["__id", "q", "bad", "good", "own"])
 
-    rows = sample.where(~half).select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "text").mapInArrow(run, "__id long, q int, a double, b double, c double, d double").toArrow().sort_by("__id")
+    rows = sample.where(~half).select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "text").mapInArrow(run, "__id long, q int, bad double, good double, own double").toArrow().sort_by([(c, "ascending") for c in ("__id", "bad", "good", "own")])
+    for t in (picked, sample):
+        drop_cut(t)
     q = np.asarray(rows.column("q")).astype(float)
     if len(set(q.tolist())) < 2 or not bad or not good:
         share = (sum(r["q"] for r in taken) + q.sum() + 1) / (len(taken) + len(q) + 2)
-        return Model(bad, good, (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0))
-    return Model(bad, good, calibrate(np.column_stack([np.asarray(rows.column(c)) for c in "abcd"]), q))
+        return Model(bad, good, (float(np.log(share / (1 - share))), 0.0, 0.0))
+    found = np.column_stack([np.asarray(rows.column(c)) for c in ("bad", "good", "own")])
+    # Either label counts as much as among all labelled rows, not as in the sample.
+    weight = np.where(q == 1, labelled[1] / q.sum(), labelled[0] / (1 - q).sum())
+    weight *= len(q) / weight.sum()
+    mean = tuple(np.average(differences(found, (0.0, 0.0)), axis=0, weights=weight).tolist())
+    return Model(bad, good, calibrate(differences(found, mean), q, weight=weight), mean)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher is better) and ``predicted`` (1 from 0.5 on).
 
-    A null text is scored as an empty one.  Columns of these names are replaced.
+    A null text is scored as an empty one, which has the mean difference.  Columns of these
+    names are replaced; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -169,14 +191,14 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         own = model.compressors()
         for batch in batches:
-            x = np.array([features(t or "", own, model.chunk) for t in batch.column(rest.index(text_col)).to_pylist()]).reshape(-1, 4)
-            s = score(model, x)
+            s = score(model, differences(batch_sizes(batch.column(rest.index(text_col)).to_pylist(), model, own), model.mean))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
 
     return docs.select(*rest).mapInArrow(run, kind)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The query's columns: ``doc_id``, whether its label is ``held_out``, ``score`` and ``predicted``."""
     out = classify(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
