@@ -6,11 +6,13 @@ vector looks into every list that a near duplicate of its own may be in: those w
 border is nearer than a margin.  Within a list, table look-ups give the distance to each
 coded vector; by the triangle inequality a pair can be left out if that is more than the
 distance of a link and the coded vector's error.  All other pairs get their exact cosine.
+A link that only one of its ends looks for counts for both.
 
-The quantisers are fitted on a bounded sample; every vector is indexed.  The exact margin
-for a cosine of 0.9 is 0.447, but displacements of high-dimensional vectors hardly ever
-point across a border; a margin of 0.12 finds all links of the test tables (recall 1.0,
-against brute force; the largest margin that any link needs is 0.05).
+The quantisers are fitted on a bounded sample; every vector is indexed.  Lists are about
+LIST_ROWS vectors long up to MAX_LISTS of them; of many lists the centres are the sums of two
+smaller sets.  The exact margin for a cosine of 0.9 is 0.447, but a displacement points across
+a border with a small part of its length only: in ``d`` directions with about one in the root
+of ``d``.  The margin is that many times REACH, or more if links of the sample need more.
 """
 
 from __future__ import annotations
@@ -21,18 +23,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NO_ID, cut, prepare, public_id
+from .common import NO_ID, cut, prepare, public_id, small
 from .components import components, local_labels
 from .vectors import matrices
 
-#: Rows on which the quantisers are fitted at most, and coarse lists at most.
-SAMPLE_ROWS, MAX_LISTS = 8192, 4096
+#: Rows on which the quantisers are fitted at most, and of these how many are compared with each other.
+SAMPLE_ROWS, TRIED_ROWS = 8192, 4096
+#: Vectors of a list on average, lists at most, and lists whose centres are kept one by one.
+LIST_ROWS, MAX_LISTS, FLAT_LISTS = 50, 1 << 22, 1024
 SUBSPACES, CODEWORDS = 8, 32
-#: Distance from a list's border (in unit vectors) up to which the list is looked into.
-MARGIN = 0.12
+#: The margin in standard deviations of a displacement along one direction, and how much more than links of the sample need.
+REACH, SLACK = 1.6, 1.25
 #: Vectors of a list, and visitors to it, that a task compares at a time.
 LIST_BLOCK, VISIT_BLOCK = 1024, 4096
+#: Lengths of vectors that get an index of their own: the most frequent; of others all pairs of a length are compared.
+INDEXED_LENGTHS = 16
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; neither overflows nor underflows."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -55,46 +68,116 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids, and codewords of the residuals for each subspace."""
+    """Coarse centroids, and codewords of the residuals for each subspace.
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.centres = k_means(sample, lists)
+    Up to FLAT_LISTS lists each have a centroid; beyond, list ``i * k + j`` has the sum of
+    centroid ``i`` and of codeword ``j`` of the residuals, so ``n`` lists need about twice the
+    root of ``n`` vectors.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float = 0.9, margin: float | None = None):
+        far = math.sqrt(2 - 2 * cosine)
+        whole = lists if lists <= FLAT_LISTS else min(len(sample) // 4, math.ceil(math.sqrt(lists)))
+        self.coarse = k_means(sample, whole)
+        rest = sample - self.coarse[nearest(sample, self.coarse)]
+        self.fine = np.zeros((1, sample.shape[1])) if lists <= FLAT_LISTS else k_means(rest, min(len(sample) // 4, -(-lists // len(self.coarse))))
+        self.cross = 2 * self.coarse @ self.fine.T + (self.fine**2).sum(axis=1) + (self.coarse**2).sum(axis=1)[:, None]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        rest = sample - self.centres[nearest(sample, self.centres)]
+        self.margin, self.groups = far, np.inf
+        own, *_ = self.visits(sample, 0.0)
+        rest = sample - self.centre(own)
         self.words = [k_means(rest[:, p], CODEWORDS) for p in self.parts]
-        self.apart = np.sqrt(np.maximum(0, ((self.centres[:, None] - self.centres) ** 2).sum(axis=2))) if len(self.centres) <= 1024 else None
+        self.margin = self._margin(sample, rest, own, cosine) if margin is None else margin
+        self.groups = np.inf if self.margin >= far else 2 * self.margin
+
+    def centre(self, cell) -> np.ndarray:
+        i, j = np.divmod(cell, len(self.fine))
+        return self.coarse[i] + self.fine[j]
+
+    def _margin(self, sample, rest, own, cosine) -> float:
+        spread = np.linalg.eigvalsh(rest.T @ rest) if len(rest) else np.zeros(1)
+        directions = max(1.0, spread.sum() ** 2 / max((spread**2).sum(), 1e-300))
+        far, need = math.sqrt(2 - 2 * cosine), 0.0
+        tried = sample[:TRIED_ROWS]
+        for at in range(0, len(tried), 512):
+            a, b = np.nonzero(tried[at : at + 512] @ tried.T >= cosine)
+            a, b = a[a + at < b] + at, b[a + at < b]
+            for k in range(0, len(a), 50_000):
+                x, y = a[k : k + 50_000], b[k : k + 50_000]
+                need = max(need, np.minimum(self._beyond(tried[x], own[x], own[y]), self._beyond(tried[y], own[y], own[x])).max(initial=0.0))
+        return min(far, max(REACH * far / math.sqrt(directions), SLACK * need))
+
+    def _beyond(self, rows, own, other) -> np.ndarray:
+        """How far each row is from the border of another list."""
+        a, b = self.centre(own), self.centre(other)
+        apart = np.sqrt(((a - b) ** 2).sum(axis=1))
+        return np.where(own == other, 0, (((rows - b) ** 2).sum(axis=1) - ((rows - a) ** 2).sum(axis=1)) / (2 * np.maximum(apart, 1e-12)))
 
     def codes(self, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the lengths of the errors."""
-        rest = rows - self.centres[own]
+        rest = rows - self.centre(own)
         codes = np.stack([nearest(rest[:, p], w) for p, w in zip(self.parts, self.words, strict=True)], axis=1).astype(np.uint8)
         error = sum(((rest[:, p] - w[codes[:, m]]) ** 2).sum(axis=1) for m, (p, w) in enumerate(zip(self.parts, self.words, strict=True)))
         return codes, np.sqrt(error)
 
-    def visits(self, rows: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def visits(self, rows: np.ndarray, margin: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each row's own list, and pairs of rows with all lists that they look into."""
-        square = (rows * rows).sum(axis=1)[:, None] - 2 * rows @ self.centres.T + (self.centres**2).sum(axis=1)
-        own = square.argmin(axis=1)
-        apart = self.apart[own] if self.apart is not None else np.sqrt(np.maximum(0, ((self.centres[own] ** 2).sum(axis=1)[:, None] - 2 * self.centres[own] @ self.centres.T + (self.centres**2).sum(axis=1))))
-        border = (square - square[np.arange(len(rows)), own][:, None]) <= 2 * margin * apart
-        border[np.arange(len(rows)), own] = True
-        return own, *np.nonzero(border)
+        margin = self.margin if margin is None else margin
+        own, at, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, 4_000_000 // (len(self.coarse) * len(self.fine) if self.groups == np.inf else 64 * len(self.fine)))
+        for k in range(0, len(rows), step):
+            found = self._visits(rows[k : k + step], margin)
+            for out, x, more in zip((own, at, cell), found, (0, k, 0), strict=True):
+                out.append(x + more)
+        return tuple(np.concatenate(x) for x in (own, at, cell))
+
+    def _visits(self, rows, margin):
+        far = (rows * rows).sum(axis=1)[:, None] - 2 * rows @ self.coarse.T + (self.coarse**2).sum(axis=1)
+        # Groups of lists first, where lists stand in groups.
+        if len(self.fine) == 1 or self.groups == np.inf:
+            row, group = (x.ravel() for x in np.indices(far.shape))
+        else:
+            best = far.argmin(axis=1)
+            apart = np.sqrt(np.maximum(0, ((self.coarse[best] ** 2).sum(axis=1)[:, None] - 2 * self.coarse[best] @ self.coarse.T + (self.coarse**2).sum(axis=1))))
+            near = far - far[np.arange(len(rows)), best][:, None] <= 2 * self.groups * apart
+            near[np.arange(len(rows)), best] = True
+            row, group = np.nonzero(near)
+
+        def to_lists(x):  # squared distances of each pair's row to the lists of its group
+            return (x * x).sum(axis=1)[row][:, None] - 2 * ((x @ self.coarse.T)[row, group][:, None] + (x @ self.fine.T)[row]) + self.cross[group]
+
+        square = to_lists(rows)
+        start = np.searchsorted(row, np.arange(len(rows)))
+        least = np.minimum.reduceat(square.min(axis=1), start)
+        pair, j = np.nonzero(square <= least[row][:, None])
+        first = np.unique(row[pair], return_index=True)[1]
+        own = group[pair[first]] * len(self.fine) + j[first]
+        apart = np.sqrt(np.maximum(0, to_lists(self.centre(own))))
+        pair, j = np.nonzero(square - least[row][:, None] <= 2 * margin * apart)
+        cell = group[pair] * len(self.fine) + j
+        at = row[pair]
+        home = np.ones(len(at), bool)
+        home[cell == own[at]] = False  # one's own list is always looked into, once
+        return own, np.r_[at[home], np.arange(len(rows))], np.r_[cell[home], own]
 
     def tables(self, rows: np.ndarray, cell: int) -> list[np.ndarray]:
         """Squared distances of each row's residual in the list to the codewords."""
-        rest = rows - self.centres[cell]
+        rest = rows - self.centre(np.array([cell]))
         return [((rest[:, None, p] - w) ** 2).sum(axis=2) for p, w in zip(self.parts, self.words, strict=True)]
 
 
-def compare(q: Quantiser, cell: int, ids, counts, rows, codes, error, other_ids, other_rows, cosine: float):
+def compare(q: Quantiser | None, cell: int, ids, rows, codes, error, other_ids, other_rows, cosine: float):
     """Links of visitors to the rows of a list: ``(visitor place, row place)``, exact cosines."""
     far = math.sqrt(2 - 2 * cosine)
     for at in range(0, len(other_ids), 256):
         part = other_rows[at : at + 256]
-        square = np.zeros((len(part), len(ids)))
-        for m, table in enumerate(q.tables(part, cell)):
-            square += table[:, codes[:, m]]
-        a, b = np.nonzero(np.sqrt(square) <= far + error + 1e-9)
+        if q is None:
+            a, b = (x.ravel() for x in np.indices((len(part), len(ids))))
+        else:
+            square = np.zeros((len(part), len(ids)))
+            for m, table in enumerate(q.tables(part, cell)):
+                square += table[:, codes[:, m]]
+            a, b = np.nonzero(np.sqrt(square) <= far + error + 1e-9)
         for k in range(0, len(a), 200_000):
             x, y = a[k : k + 200_000], b[k : k + 200_000]
             near = np.einsum("ij,ij->i", part[x], rows[y]) >= cosine
@@ -102,25 +185,31 @@ def compare(q: Quantiser, cell: int, ids, counts, rows, codes, error, other_ids,
             yield at + x[near], y[near]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, margin: float = MARGIN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, margin: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(did, n_links, component)`` for each row of ``vectors``.
 
     ``n_links``: how many other rows are linked to it (cosine of at least ``cosine``, in
     double precision); ``component``: the least id reachable.  Vectors that are null, empty
     or zero, or hold null or non-finite components, link with nothing, and neither do
     vectors of different lengths.  Equal vectors are one in the index and count as often as
-    they occur.  A null id is larger than any other; rows of one id are rows like any.
+    they occur.  A null id is larger than any other; rows of one id are rows like any.  With
+    a ``margin`` of the distance of a link no link is lost.  An empty table gives an empty one;
+    no other column is read.
     """
     spark = vectors.sparkSession
     prepare(spark)
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     base = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(vector_col).cast("array<double>").alias("v"))
     base = base.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     bad = F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     usable = base.where(~F.coalesce(bad, F.lit(True)))
     classes = cut(usable.groupBy("h1", "h2").agg(F.min("did").alias("did"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("cid", F.col("h1")))
-    parts = []
-    for row in classes.groupBy(F.size("v").alias("size")).count().collect():
-        parts.append(_links(classes.where(F.size("v") == row["size"]), row["count"], cosine, margin))
+    sizes = classes.groupBy(F.size("v").alias("size")).count()
+    often = sizes.orderBy(F.desc("count"), "size").limit(INDEXED_LENGTHS).collect()
+    parts = [_links(classes.where(F.size("v") == r["size"]), r["count"], cosine, margin, single) for r in often]
+    if len(often) == INDEXED_LENGTHS:
+        parts.append(_links(classes.where(~F.size("v").isin([r["size"] for r in often])), 0, cosine, margin, single))
     if parts:
         found = parts[0]
         for p in parts[1:]:
@@ -137,51 +226,75 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, margin: float = MAR
     return out.select("did", F.when(F.col("bad"), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(F.col("bad"), F.col("did")).otherwise(F.col("component")).alias("component"))
 
 
-def _links(classes: DataFrame, rows: int, cosine: float, margin: float) -> DataFrame:
-    """``(cid, did, n, root)``: links found by a task, and the least id it joins a vector to."""
-    sample = classes.orderBy("h2").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
-    unit = next(m for *_, m in matrices(pa.array(np.arange(len(sample))), sample))
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    q = Quantiser(unit, max(1, min(MAX_LISTS, int(math.sqrt(rows) / 2))))
+def fit(classes: DataFrame, rows: int, cosine: float, margin: float | None) -> Quantiser:
+    """The quantisers of ``rows`` vectors of one length, from the first SAMPLE_ROWS in the order of a hash."""
+    sample = classes.orderBy("h2", "h1").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
+    vectors = unit(next(m for *_, m in matrices(pa.array(np.arange(len(sample))), sample)))
+    return Quantiser(vectors, max(1, min(MAX_LISTS, rows // LIST_ROWS)), cosine, margin)
+
+
+def _links(classes: DataFrame, rows: int, cosine: float, margin: float | None, single: bool) -> DataFrame:
+    """``(cid, did, n, root)``: links found by a task, and the least id it joins a vector to.
+
+    ``rows`` vectors of one length get an index.  With no ``rows`` they are of many lengths, and
+    each length is one list that is compared without codes.
+    """
+    q = fit(classes, rows, cosine, margin) if rows else None
+    real = np.float32 if single else np.float64
+
+    def binary(rows: np.ndarray) -> pa.Array:
+        width = rows.dtype.itemsize * rows.shape[1]
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
     def index(batches):
         for batch in batches:
             for places, _, m in matrices(batch.column("did"), batch.column("v")):
-                m = m / np.abs(m).max(axis=1, keepdims=True)  # neither overflows nor underflows
-                unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-                own, row, cell = q.visits(unit, margin)
-                codes, error = q.codes(unit, own)
-                take = places[row]
+                if q is None:
+                    own = np.full(len(m), m.shape[1], np.int64)
+                    row, cell, codes, error = np.arange(len(m)), own, np.zeros((len(m), 1), np.uint8), np.zeros(len(m))
+                else:
+                    vectors = unit(m)
+                    own, row, cell = q.visits(vectors)
+                    codes, error = q.codes(vectors, own)
                 home = own[row] == cell
-                vector = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * m.shape[1]), len(row), [None, pa.py_buffer(np.ascontiguousarray(unit[row]))]).cast(pa.binary())
-                code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(row), [None, pa.py_buffer(np.ascontiguousarray(codes[row]))]).cast(pa.binary())
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(len(m) + 1))
+                # A vector's row in its own list says which lists it looks into.
+                lists = [cell[order[ends[r] : ends[r + 1]]] if h else cell[:0] for r, h in zip(row, home)]
+                seen = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lists])], pa.int32()), pa.array(np.concatenate([cell[:0], *lists]), pa.int64()))
+                take = pa.array(places[row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(home), *(batch.column(c).take(pa.array(take)) for c in ("cid", "did", "n")), vector, code, pa.array(error[row])],
-                    ["cell", "home", "cid", "did", "n", "unit", "code", "error"],
+                    [pa.array(cell), pa.array(own[row]), *(batch.column(c).take(take) for c in ("cid", "did", "n")), binary(m[row].astype(real)), binary(codes[row]), pa.array(error[row]), seen],
+                    ["cell", "own", "cid", "did", "n", "vector", "code", "error", "seen"],
                 )
 
-    dealt = cut(classes.select("cid", "did", "n", "v").mapInArrow(index, "cell int, home boolean, cid long, did long, n long, unit binary, code binary, error double"))
-    # One row for each list: at most MAX_LISTS.
-    sizes = F.broadcast(dealt.groupBy("cell").agg(F.ceil(F.count_if("home") / LIST_BLOCK).cast("int").alias("lists"), F.ceil(F.count("*") / VISIT_BLOCK).cast("int").alias("visits")).where("lists > 0"))
-    dealt = dealt.join(sizes, "cell")
+    dealt = cut(classes.select("cid", "did", "n", "v").mapInArrow(index, "cell long, own long, cid long, did long, n long, vector binary, code binary, error double, seen array<long>"))
+    sizes = cut(dealt.groupBy("cell").agg(F.ceil(F.count_if(F.col("own") == F.col("cell")) / LIST_BLOCK).cast("int").alias("lists"), F.ceil(F.count("*") / VISIT_BLOCK).cast("int").alias("visits")).where("lists > 0"))
+    rows_ = dealt.join(small(sizes), "cell")
     side = F.pmod(F.xxhash64("cid"), F.col("lists")), F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("visits"))
-    held = dealt.where("home").withColumn("i", side[0]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("visits") - 1))).withColumn("visit", F.lit(False))
-    come = dealt.withColumn("j", side[1]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).withColumn("visit", F.lit(True))
-    columns = ["cell", "cid", "did", "n", "unit", "code", "error", "visit", "i", "j"]
+    held = rows_.where("own = cell").withColumn("i", side[0]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("visits") - 1))).withColumn("visit", F.lit(False))
+    come = rows_.withColumn("j", side[1]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).withColumns({"visit": F.lit(True), "code": F.lit(None).cast("binary"), "seen": F.lit(None).cast("array<long>")})
+    columns = ["cell", "own", "cid", "did", "n", "vector", "code", "error", "seen", "visit", "i", "j"]
     fix = lambda df: df.withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int")}).select(*columns)
     pairs = fix(held).unionByName(fix(come))
 
     def run(key, table):
         cell = key[0].as_py()
         visit = np.asarray(table.column("visit").combine_chunks())
-        did, n, cid = (np.asarray(table.column(c).combine_chunks()) for c in ("did", "n", "cid"))
-        vector = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(did), -1)
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(did), -1)
-        error = np.asarray(table.column("error").combine_chunks())
+        did, n, cid, own = (np.asarray(table.column(c).combine_chunks()) for c in ("did", "n", "cid", "own"))
+        vector = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), real).reshape(len(did), -1).astype(np.float64))
         here, come = np.flatnonzero(~visit), np.flatnonzero(visit)
+        at_home = table.filter(pa.array(~visit))
+        codes = np.frombuffer(b"".join(at_home.column("code").to_pylist()), np.uint8).reshape(len(here), -1) if len(here) else np.zeros((0, 1), np.uint8)
+        error = np.asarray(at_home.column("error").combine_chunks())
+        seen = at_home.column("seen").combine_chunks()
+        looks = {(h, c) for h, some in enumerate(seen.to_pylist()) for c in some}
         links, ends = np.zeros(len(did), np.int64), ([], [])
-        for a, b in compare(q, cell, cid[here], n[here], vector[here], codes[here], error[here], cid[come], vector[come], cosine):
+        for a, b in compare(q, cell, cid[here], vector[here], codes, error, cid[come], vector[come], cosine):
             np.add.at(links, come[a], n[here[b]])
+            # Rows of the list that do not look into the visitor's own list would miss it.
+            lost = np.fromiter((p not in looks for p in zip(b.tolist(), own[come[a]].tolist())), bool, len(a))
+            np.add.at(links, here[b[lost]], n[come[a[lost]]])
             ends[0].append(come[a])
             ends[1].append(here[b])
         order = np.argsort(did, kind="stable")
@@ -196,6 +309,7 @@ def _links(classes: DataFrame, rows: int, cosine: float, margin: float) -> DataF
 
 
 def digest(vectors: DataFrame) -> DataFrame:
+    """The query's columns: ``vec_id``, ``n_links``, ``component_id`` and whether the vector is ``kept``."""
     out = near_duplicates(vectors)
     component = F.when(F.col("component") != NO_ID, F.col("component"))
     return out.select(public_id().alias("vec_id"), "n_links", component.alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
