@@ -1,11 +1,12 @@
 """Exact top-k search (operator 8) by distributed histogram selection.
 
-Queries come in blocks of bounded size.  For a block every vector is scored, and each
-task hands on a histogram of the scores of each query.  The sums locate the bin of each
-query's kth value; that bin is divided again, until the kth value is known or few rows
-are left above the bin's lower edge.  Then rows from that edge upwards are filtered, and
-ranked by score and smaller id.  Ties at the kth value cost nothing: of equal scores a
-task hands on the k smallest ids only, which is all that can be ranked.
+Queries come in passes of bounded size.  In a pass every vector is scored against all its
+queries, and each task hands on a histogram of the scores of each query.  The sums, which
+stay distributed, locate the bin of each query's kth value; that bin is divided again, until
+the kth value is known or few rows are left above the bin's lower edge.  Then rows from that
+edge upwards are filtered, and ranked by score and smaller id.  Ties at the kth value cost
+nothing: of equal scores a task hands on the k smallest ids only, which is all that can be
+ranked.
 """
 
 from __future__ import annotations
@@ -15,42 +16,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, drop_cut, prepare
 from .vectors import matrices
 
-#: Queries that are scored at a time, and bins of a histogram.
-QUERY_BLOCK, BINS = 2048, 256
+#: Queries that are scored at a time, queries and numbers of a pass, and bins of a histogram.
+QUERY_BLOCK, PASS_QUERIES, PASS_NUMBERS, BINS = 2048, 16_384, 2_000_000, 256
 #: With at most this many times k rows from a bin's lower edge on, it is divided no more.
 ENOUGH = 8
+#: Scores beyond it count and are returned as this.
+MOST = 1 << 61
 
 
 def quantised(matrix: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(matrix * scale)
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(matrix * scale))
 
 
 def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact: in double precision where that holds them."""
-    bound = np.abs(rows).max(initial=0) * np.abs(queries).sum(axis=1).max(initial=0)
-    if bound < 2**53:
-        return (rows @ queries.T).astype(np.int64)
-    if bound < 2**62:
-        return rows.astype(np.int64) @ queries.astype(np.int64).T
-    raise OverflowError("a score does not fit into a long")
-
-
-class _Block:
-    """Queries of a block by vector length, with the range of scores still in question."""
+    """Integer inner products, exact up to MOST: in double precision where that holds them."""
+    large, sums = np.abs(rows).max(axis=1, initial=0), np.minimum(np.abs(queries), 1e300).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = large[:, None] * sums
+        if bound.max(initial=0) < 2**53:
+            return (rows @ queries.T).astype(np.int64)
+        if bound.max(initial=0) < MOST:
+            return rows.astype(np.int64) @ queries.astype(np.int64).T
+        out = np.where(bound < 2**53, rows @ queries.T, 0).astype(np.int64)
+    whole = {}
+    for i, j in zip(*np.nonzero(~(bound < 2**53))):
+        x, y = (whole.setdefault(k, [int(v) for v in m]) for k, m in (((0, i), rows[i]), ((1, j), queries[j])))
+        out[i, j] = max(-MOST, min(MOST, sum(map(int.__mul__, x, y))))
+    return out
+
+
+class _Pass:
+    """Queries by vector length, with the range of scores still in question."""
 
     def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], most: float):
-        self.ids = ids
-        self.by_size = {}
-        for size in {len(v) for v in vectors}:
+        self.ids, self.bins = ids, BINS
+        self.blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size in sorted({len(v) for v in vectors}):
             at = np.array([i for i, v in enumerate(vectors) if len(v) == size])
-            self.by_size[size] = (at, np.stack([vectors[i] for i in at]))
-        bounds = [int(np.abs(v).sum() * most) + 1 for v in vectors]
-        if max(bounds) >= 2**62:
-            raise OverflowError("a score does not fit into a long")
-        bound, self.bins = np.array(bounds, np.int64), BINS
+            self.blocks[size] = [(at[k : k + QUERY_BLOCK], np.stack([vectors[i] for i in at[k : k + QUERY_BLOCK]])) for k in range(0, len(at), QUERY_BLOCK)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            bounds = [float(np.abs(v).sum() * most) for v in vectors]
+        bound = np.array([MOST if not b < MOST else int(b) + 1 for b in bounds], np.int64)
         self.low, self.high = -bound, bound + 1
         self.above = np.zeros(len(ids), np.int64)
         self.done = np.zeros(len(ids), bool)
@@ -61,32 +71,25 @@ class _Block:
     def scored(self, batch, scale):
         """``(query places, row ids, scores)`` with a query's own row out of the question."""
         for _, ids, matrix in matrices(batch.column(0), batch.column(1)):
-            if matrix.shape[1] in self.by_size:
-                at, queries = self.by_size[matrix.shape[1]]
+            for at, queries in self.blocks.get(matrix.shape[1], ()):
                 for k in range(0, len(ids), 4096):
                     s = _scores(quantised(matrix[k : k + 4096], scale), queries)
                     yield at, ids[k : k + 4096], s, ids[k : k + 4096, None] != self.ids[at]
 
-    def refine(self, query: np.ndarray, bin_: np.ndarray, count: np.ndarray, k: int) -> None:
-        width = self.width()
-        order = np.lexsort((-bin_, query))
-        query, bin_, count = query[order], bin_[order], count[order]
-        start = np.searchsorted(query, np.arange(len(self.ids) + 1))
-        for q in np.flatnonzero(~self.done):
-            s = slice(start[q], start[q + 1])
-            total = self.above[q] + np.cumsum(count[s])
-            reach = np.searchsorted(total, k)
-            if reach == len(total):  # fewer than k rows in all
-                self.low[q], self.done[q] = np.iinfo(np.int64).min, True
-                continue
-            b = bin_[s][reach]
-            self.low[q] += b * width[q]
-            self.high[q] = min(self.high[q], self.low[q] + width[q])
-            self.above[q] = total[reach] - count[s][reach]
-            self.done[q] = width[q] == 1 or total[reach] <= ENOUGH * k
-
-
-def _histograms(rows: DataFrame, block: _Block, scale: float, k: int) -> DataFrame:
+    def refine(self, query: np.ndarray, bin_: np.ndarray, total: np.ndarray, count: np.ndarray, k: int) -> None:
+        """From the bin that reaches the kth value of each open query, the rows from it upwards, and its own."""
+        short = ~self.done
+        short[query] = False  # fewer than k rows in all
+        self.low[short], self.done[short] = np.iinfo(np.int64).min, True
+        width = self.width()[query]
+        self.low[query] += bin_ * width
+        self.high[query] = np.minimum(self.high[query], self.low[query] + width)
+        whole = self.above[query] + total
+        self.above[query] = whole - count
+        self.done[query] = (width == 1) | (whole <= ENOUGH * k)
+
+
+def _histograms(rows: DataFrame, block: _Pass, scale: float, k: int) -> DataFrame:
     """Counts by query and bin; a task leaves out bins below those that hold its own best k."""
 
     def run(batches):
@@ -96,8 +99,8 @@ def _histograms(rows: DataFrame, block: _Block, scale: float, k: int) -> DataFra
             for at, _, scores, other in block.scored(batch, scale):
                 inside = other & (scores >= block.low[at]) & (scores < block.high[at]) & open_[at]
                 bins = (scores - block.low[at]) // width[at]
-                place = (at * block.bins + bins)[inside]
-                total += np.bincount(place, minlength=total.size).reshape(total.shape)
+                place = (np.arange(len(at)) * block.bins + bins)[inside]
+                total[at] += np.bincount(place, minlength=len(at) * block.bins).reshape(len(at), -1)
         down = np.cumsum(total[:, ::-1], axis=1)[:, ::-1]
         q, b = np.nonzero((total > 0) & (down - total < k))
         for i in range(0, len(q), 100_000):
@@ -107,7 +110,16 @@ def _histograms(rows: DataFrame, block: _Block, scale: float, k: int) -> DataFra
     return rows.mapInArrow(run, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
 
 
-def _filtered(rows: DataFrame, block: _Block, scale: float, k: int) -> DataFrame:
+def _located(counts: DataFrame, block: _Pass, k: int) -> DataFrame:
+    """For each open query the highest bin from which on there are enough rows: ``query, bin, total, n``."""
+    wanted = [(int(q), int(k - block.above[q])) for q in np.flatnonzero(~block.done)]
+    need = counts.sparkSession.createDataFrame(wanted, "query long, need long")  # at most PASS_QUERIES rows
+    down = Window.partitionBy("query").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    total = counts.withColumn("total", F.sum("n").over(down)).join(F.broadcast(need), "query").where("total >= need")
+    return total.groupBy("query").agg(F.max("bin").alias("bin"), F.min("total").alias("total"), F.max_by("n", "bin").alias("n"))
+
+
+def _filtered(rows: DataFrame, block: _Pass, scale: float, k: int) -> DataFrame:
     def best(q, v, s):
         order = np.lexsort((v, -s, q))
         q, v, s = q[order], v[order], s[order]
@@ -131,33 +143,36 @@ def _filtered(rows: DataFrame, block: _Block, scale: float, k: int) -> DataFrame
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` highest scores, or all if fewer.
 
-    A score is the inner product of the vectors with every component x as floor(scale * x).
-    A query meets every row but those of its own id.  Equal scores rank by smaller id;
-    repeated rows of one id are each ranked.  Rows with a null id, and vectors that are
-    null or empty or hold null or non-finite components, take no part; vectors of another
-    length than the query's do not meet it.  Of several query rows with one id the first
-    in the order of their components counts.  No query or no row gives an empty table.
+    A score is the inner product of the vectors with every component x as floor(scale * x); one
+    beyond 2**61 counts as 2**61, one below -2**61 as that.  A query meets every row but those
+    of its own id.  Equal scores rank by smaller id; repeated rows of one id are each ranked.
+    Rows with a null id, and vectors that are null or empty or hold null or non-finite
+    components, take no part; vectors of another length than the query's do not meet it.  Of
+    several query rows with one id the first in the order of their components counts.  No query
+    or no row gives an empty table; other columns are not read.
     """
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asked = asked.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad).groupBy("vec_id").agg(F.min("v").alias("v"))
-    top = rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad).select(F.max(F.array_max(F.transform("v", lambda x: F.abs(F.floor(x * scale).cast("double"))))).alias("m")).first()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
+    asked = cut(asked.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad).groupBy("vec_id").agg(F.min("v").alias("v")))
+    most = rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad).select(F.max(F.array_max(F.transform("v", lambda x: F.abs(x * scale) + 1))).alias("m")).first().m
+    asks, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    passes = max(1, -(-asks // PASS_QUERIES), -(-numbers // PASS_NUMBERS))
+    part_of = F.pmod(F.xxhash64("vec_id"), F.lit(passes))
     out = None
-    for b in range(blocks):
-        own = asked.where(F.col("block") == b).orderBy("vec_id").select("vec_id", "v").toArrow()  # about QUERY_BLOCK rows
+    for b in range(passes):
+        own = asked.where(part_of == b).orderBy("vec_id").toArrow()  # about PASS_QUERIES rows
         if not own.num_rows:
             continue
-        block = _Block(np.asarray(own.column("vec_id")), [quantised(np.asarray(v), scale) for v in own.column("v").to_pylist()], top.m or 0.0)
+        block = _Pass(np.asarray(own.column("vec_id")), [quantised(np.asarray(v), scale) for v in own.column("v").to_pylist()], most or 0.0)
         while not block.done.all():
-            found = _histograms(rows, block, scale, k).toArrow()
-            block.refine(*(np.asarray(found.column(c)) for c in ("query", "bin", "n")), k)
+            found = _located(_histograms(rows, block, scale, k), block, k).toArrow()
+            block.refine(*(np.asarray(found.column(c)) for c in ("query", "bin", "total", "n")), k)
         part = _filtered(rows, block, scale, k)
-        part = part if blocks == 1 else cut(part)
+        part = part if passes == 1 else cut(part)
         out = part if out is None else out.unionByName(part)
+    drop_cut(asked)
     if out is None:
         out = rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -165,6 +180,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
 
 
 def digest(vectors: DataFrame) -> DataFrame:
+    """The query's columns: the 10 best rows of each vector whose id is divisible by 100."""
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
