@@ -91,6 +91,8 @@ def test_query(spark):
     assert sorted((str(r[0]), *r[1:]) for r in bpe.digest(docs).collect()) == want
     out = bpe.decode(bpe.encode(docs))
     assert out.columns == [*docs.columns, "ids", "decoded"]
+    clash = bpe.decode(bpe.encode(docs.selectExpr("*", "'x' AS ids", "1 AS decoded")))
+    assert clash.columns == out.columns and clash.select("ids", "decoded").collect() == out.select("ids", "decoded").collect()
     assert bpe.digest(empty(spark)).count() == 0
     assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")).where("decoded = ''").count() == 2
 
@@ -109,11 +111,28 @@ def test_files(spark, tmp_path, files):
         start += len(ids)
     some = {r.did: r.ids for r in tokenfile.read_tokens(spark, folder, [3, 60, 999]).collect()}
     assert set(some) == {3, 60} and some[60] == [*library_ids(next(r.text for r in rows if r.doc_id == 60)), 2]
+    ranges = tokenfile.index_files(spark, folder).collect()
+    assert sum(r.documents for r in ranges) == len(rows) and sum(r.n_tokens for r in ranges) == start
+    again = tokenfile.read_tokens(spark, folder, [3, 60, 999])
+    assert {r.did: r.ids for r in again.collect()} == some and {r.file for r in again.collect()} <= {r.file for r in ranges if any(r.first <= i <= r.last for i in (3, 60, 999))}
+    assert tokenfile.read_tokens(spark, folder, [-5]).count() == 0
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "t").glob("part-*")))
     with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True) as plain:
         assert len(plain.read()) == 4 * start
 
 
+def test_many_files_and_one_id(spark, tmp_path, monkeypatch):
+    """More files than a group of sums; and a hot id whose texts are dealt over several files."""
+    monkeypatch.setattr(tokenfile, "FILE_GROUP", 3)
+    docs = spark.createDataFrame([(None if k % 3 else 5, f"text {k} " * (k % 7)) for k in range(90)], "doc_id long, text string")
+    folder = tokenfile.write_tokens(docs, str(tmp_path / "t"), files=8)
+    got = sorted((r.start, r.n_tokens, r.did) for r in tokenfile.index_tokens(spark, folder).collect())
+    assert len(got) == 90 and got[0][0] == 0 and all(a + n == b for (a, n, _), (b, *_) in zip(got, got[1:]))
+    assert [d for *_, d in got] == sorted(d for *_, d in got)
+    files = {r.file for r in tokenfile.read_tokens(spark, folder).where("did > 5").select("file").distinct().collect()}
+    assert len(files) >= 4
+
+
 def test_damage(spark, tmp_path):
     parts = list(tokenfile.pack([(1, b"\1\0\0\0" * 50), (2, b"\2\0\0\0")]))
     file = bytearray(b"".join(p + tokenfile.EMPTY_FRAME for p in parts))

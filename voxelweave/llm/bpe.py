@@ -449,6 +449,7 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", out_
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns: ``doc_id``, ``n_tokens`` and the hashes of the ids and of the decoded text."""
     out = encode(docs.select("doc_id", "text"), decoded_col="decoded", keep_text=False)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

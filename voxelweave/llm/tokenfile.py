@@ -13,7 +13,8 @@ So a file is a row of valid zstandard frames, which any decoder can read from th
 and a reader that wants some documents reads the end, then only their frames.  Files are
 written through Spark's own text writer (its line separator is the empty frame), so they
 reach every store that Spark reaches, under its commit protocol: a task that is lost and
-run again leaves one file.
+run again leaves one file.  Files hold ascending ranges of ids; ``index_files`` writes which,
+and a reader that wants some documents then opens only the files that can hold them.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, larger, vocabulary_path
-from .common import cut, prepare, public_id, row_id, shared_dir
+from .common import cut, drop_cut, prepare, public_id, row_id, shared_dir, small
 
 #: Fixed values of the format: magic numbers and fields.
 SKIP_MAGIC = 0x184D2A50
@@ -39,8 +40,11 @@ TABLE_MAGIC = 0x184D2A5E
 EMPTY_FRAME = struct.pack("<II", SKIP_MAGIC, 0)
 ENTRY = np.dtype([("did", "<i8"), ("size", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4")])
 TAIL = struct.Struct("<QQI")
-#: Characters of text a file holds on average, which bounds what a task keeps.
-FILE_CHARS = 24_000_000
+#: Bytes of text a file holds on average, at least and at most (from some 20,000 files on it
+#: grows with the input), which bounds what a task keeps.
+FILE_BYTES, MOST_FILE_BYTES, FILES = 24_000_000, 128_000_000, 20_000
+#: Files whose sums one task adds up.
+FILE_GROUP = 1024
 
 
 def pack(documents: Iterable[tuple[int, bytes]], level: int = 1) -> Iterator[bytes]:
@@ -110,15 +114,17 @@ class Reader:
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, files: int | None = None) -> str:
     """Encode every whole text (null: empty), append ``end_id`` and write token files.
 
-    Documents come in ascending id order, over all files in the order of their names;
-    equal ids keep no set order, a null id is last.  An empty table gives no document.
+    Documents come in ascending id order, over all files in the order of their numbers;
+    documents of equal ids in the order of a hash of their texts, so they need not share a
+    task; a null id is last.  An empty table gives no document.  Other columns are not read.
     """
     prepare(docs.sparkSession)
     path = path or vocabulary_path()
-    rows = docs.select(row_id(docs, id_col).alias("did"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(row_id(docs, id_col).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
     if files is None:
-        chars = docs.select(F.sum(F.octet_length(docs[text_col].cast("string")).cast("long"))).first()[0] or 0
-        files = 1 + chars // FILE_CHARS
+        total = docs.select(F.sum(F.octet_length(docs[text_col].cast("string")).cast("long"))).first()[0] or 0
+        files = 1 + total // max(FILE_BYTES, min(MOST_FILE_BYTES, total // FILES))
 
     def run(batches):
         own, mark = codec(path, False), struct.pack("<I", end_id)
@@ -132,17 +138,53 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col:
                 held, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["part"])
 
-    out = rows.repartitionByRange(files, "did").sortWithinPartitions("did").mapInArrow(run, "part binary")
+    out = rows.repartitionByRange(files, "did", "h").sortWithinPartitions("did", "h").select("did", "text").mapInArrow(run, "part binary")
     out.select(F.col("part").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("encoding", "UTF-8").text(folder)
     return folder
 
 
+def _contents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).select("path", "content").where("length(content) > 0")
+
+
+def _number() -> Column:
+    """A file's number, by which its documents stand among all files'."""
+    return F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+
+
+def index_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Write and return ``(file, first, last, documents, n_tokens)`` of each file with documents, from its seek table."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                table = Reader(io.BytesIO(content.as_buffer())).table
+                if len(table):
+                    values = [name, int(table["did"].min()), int(table["did"].max()), len(table), int(table["n_tokens"].sum(dtype=np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["file", "first", "last", "documents", "n_tokens"])
+
+    _contents(spark, folder).mapInArrow(run, "file string, first long, last long, documents long, n_tokens long").write.mode("overwrite").parquet(f"{folder}/_index")
+    return spark.read.parquet(f"{folder}/_index")
+
+
+def _indexed(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_index/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = None) -> DataFrame:
     """``(did, file, place, n_tokens, ids)`` of all documents, or of the wanted ids only.
 
-    Only the frames that are asked for are decompressed; a damaged one raises.
+    Only the frames that are asked for are decompressed, and after ``index_files`` only files
+    whose range holds a wanted id are opened; a damaged frame raises.  A null id is read
+    as the largest long.
     """
     prepare(spark)
+    paths: str | list[str] = folder
+    if wanted is not None and _indexed(spark, folder):
+        ids = spark.createDataFrame([(int(i),) for i in wanted], "did long")  # the caller's own list
+        ranges = spark.read.parquet(f"{folder}/_index")
+        paths = [r.file for r in ranges.join(F.broadcast(ids), ids["did"].between(ranges["first"], ranges["last"]), "left_semi").select("file").collect()]
 
     def run(batches):
         for batch in batches:
@@ -157,15 +199,16 @@ def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = Non
                         ["did", "file", "place", "n_tokens", "ids"],
                     )
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").where("length(content) > 0")
-    return found.mapInArrow(run, "did long, file string, place long, n_tokens long, ids array<long>")
+    kind = "did long, file string, place long, n_tokens long, ids array<long>"
+    return _contents(spark, paths).mapInArrow(run, kind) if paths else spark.createDataFrame([], kind)
 
 
 def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """``(did, start, n_tokens, ids_crc32)`` of each document, from the files alone.
 
     Every frame is read and verified.  ``start`` is the number of ids before it over all
-    files: a running sum inside each file, from the sums of the files before it.
+    files: a running sum inside each file, and the sums of the files before it, which are
+    added up in groups of files and then over these.
     """
 
     def run(batches):
@@ -179,19 +222,18 @@ def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     s = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(reader.table["did"][s]), pa.array([name] * len(counts[s])), pa.array((np.cumsum(counts) - counts)[s]), pa.array(counts[s]), pa.array(crcs[s])], ["did", "file", "before", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").where("length(content) > 0")
-    rows = cut(files.mapInArrow(run, "did long, file string, before long, n_tokens long, ids_crc32 long"))
-    # One row for each file reaches the driver: their number is bounded by input / FILE_CHARS.
-    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("did").alias("first")).orderBy("first", "file").collect()
-    total, starts = 0, []
-    for r in sums:
-        starts.append((r.file, total))
-        total += r.n
-    base = spark.createDataFrame(starts, "file string, base long")
-    return rows.join(F.broadcast(base), "file").select("did", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    rows = cut(_contents(spark, folder).mapInArrow(run, "did long, file string, before long, n_tokens long, ids_crc32 long").withColumn("number", _number()).drop("file"))
+    sums = cut(rows.groupBy("number").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.floor(F.col("number") / FILE_GROUP)))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", ahead(Window.orderBy("part")).alias("base"))  # a row for each 1,024 files
+    starts = cut(sums.withColumn("own", ahead(Window.partitionBy("part").orderBy("number"))).join(F.broadcast(parts), "part").select("number", (F.col("base") + F.col("own")).alias("base")))
+    out = rows.join(small(starts), "number").select("did", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    drop_cut(sums)
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns of the files that are written and read back: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
     spark = docs.sparkSession
     folder = write_tokens(docs, f"{shared_dir(spark)}/voxelweave/tokens-{uuid.uuid4().hex}")
     return index_tokens(spark, folder).select(public_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
