@@ -2,44 +2,82 @@
 
 Token shares of the sources are raised to an exponent and normalised.  The exponent is
 bisected until the weights meet a target entropy, or until no source is repeated more
-often than a limit.  The weights become token budgets.  A source's budget is realised in
-epochs: whole ones, in which all its blocks are used, and a last one that uses the blocks
-at the front of a keyed permutation, up to the budget.  The block on the border gives the
-documents at the front of its own permutation.
-
-What is gathered on the driver is one row for each source and for each block of a table
-of a fixed number of blocks; documents never are, and no source is ever one task.
+often than a limit.  The weights become token budgets.  A source's rows are dealt once into
+blocks, and its budget is realised in epochs: each is a keyed permutation of the blocks.
+Whole epochs use all of them, a last one those at the front of its permutation, up to the
+budget; the block on the border gives the documents at the front of a keyed permutation of
+its own.
+
+Of many sources no table is gathered: the bisection then sees sums over all of them only.
+Budgets, permutations and fronts are windows and joins, and no source is ever one task.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, small
+from .common import cut, drop_cut, fits, prepare, small
 
-#: Blocks that a source is dealt into, and again the block on the border of a budget.
+#: Blocks that a source is dealt into.
 BLOCKS = 256
-#: How often the block on the border is dealt out anew, a 256th of it each time.
-DEPTH = 4
+#: The front of the block on the border is found in so many steps, of so many bits each.
+STEPS, HEAD_BITS = 3, 12
+#: With at most so many sources their totals are bisected on the driver.
+HELD_SOURCES = 10_000
 #: The largest exponent: all weight on the largest source, but for ties.
 SHARPEST = 64.0
+#: Parts that a round of the bisection divides the exponent's range into, and its rounds.
+SECTIONS, ROUNDS = 32, 11
+
+
+class Totals(Protocol):
+    """Tokens of all sources together, of the largest, and of the least that has any."""
+
+    total: int
+    top: int
+    least: int
+
+    def moments(self, exponents: list[float]) -> list[tuple[float, float]]:
+        """Sums over sources of ``x ** a`` and ``x ** a * ln x``, where ``x`` is a source's share of the largest."""
+
+
+class ListTotals:
+    def __init__(self, tokens: list[int]):
+        some = [t for t in tokens if t > 0]
+        self.total, self.top, self.least = sum(some), max(some, default=0), min(some, default=0)
+        self.logs = [math.log(t / self.top) for t in some]
+
+    def moments(self, exponents):
+        return [(math.fsum(math.exp(a * x) for x in self.logs), math.fsum(x * math.exp(a * x) for x in self.logs)) for a in exponents]
+
+
+class TableTotals:
+    """Of a table with ``t`` for each source; sums are exact decimals, so no order of tasks changes them."""
+
+    def __init__(self, sources: DataFrame):
+        row = sources.where("t > 0").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.max("t"), F.lit(0)), F.coalesce(F.min("t"), F.lit(0))).first()
+        self.total, self.top, self.least = row
+        self.logs = sources.where("t > 0").select(F.ln(F.col("t") / F.lit(float(self.top or 1))).alias("x"))
+
+    def moments(self, exponents):
+        power = [F.exp(F.lit(float(a)) * F.col("x")) for a in exponents]
+        exact = [F.sum(e.cast("decimal(28,18)")) for p in power for e in (p, p * F.col("x"))]
+        row = self.logs.agg(*[e.alias(f"m{k}") for k, e in enumerate(exact)]).first()
+        return [(float(row[2 * k] or 0), float(row[2 * k + 1] or 0)) for k in range(len(exponents))]
 
 
 @dataclass(frozen=True)
-class Plan:
-    source: str | None
-    tokens: int
-    weight: float
-    budget: float
-    exponent: float
+class Solution:
+    """The exponent, the sum that normalises powers of shares of the largest source, and tokens in all."""
 
-    @property
-    def epochs(self) -> float:
-        return self.budget / self.tokens if self.tokens else 0.0
+    exponent: float
+    norm: float
+    spent: float
 
 
 def weights(tokens: list[int], exponent: float) -> list[float]:
@@ -56,43 +94,49 @@ def entropy(shares: list[float]) -> float:
 
 
 def _bisect(good, low: float, high: float) -> float:
-    """The border between ``good`` (at ``high``) and not, to about double precision."""
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (low, middle) if good(middle) else (middle, high)
+    """The border between ``good`` (at ``high``) and not; ``good`` judges many points at a time."""
+    for _ in range(ROUNDS):
+        points = [low + (high - low) * k / SECTIONS for k in range(1, SECTIONS)]
+        first = next((k for k, fits in enumerate(good(points)) if fits), len(points))
+        low, high = ([low, *points][first], [*points, high][first])
     return high
 
 
-def solve(tokens: list[int], *, target_entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None, whole: bool = False) -> tuple[float, list[float], float]:
-    """``(exponent, weights, budget)``.
-
-    With ``target_entropy`` (in nats) the exponent from 0 to SHARPEST whose weights have
+def solve(totals: Totals, *, target_entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None, whole: bool = False) -> Solution:
+    """With ``target_entropy`` (in nats) the exponent from 0 to SHARPEST whose weights have
     it, or the nearer end.  With ``max_epochs`` the least exponent that repeats no source more
     often than that.  ``budget``: tokens in all (the corpus' own number); ``whole``: as
     many as use each source at least once.
     """
-    total = sum(tokens)
-    if not total:
-        return 1.0, [0.0] * len(tokens), 0.0
+    if (target_entropy is None) == (max_epochs is None):
+        raise ValueError("give target_entropy or max_epochs")
+    if not totals.total:
+        return Solution(1.0, 1.0, 0.0)
+    least = math.log(totals.least / totals.top)
 
-    def spend(exponent):
-        shares = weights(tokens, exponent)
-        return shares, max(t / w for t, w in zip(tokens, shares, strict=True) if w > 0) if whole else float(total if budget is None else budget)
+    def entropies(exponents):
+        return [math.log(s) - a * u / s for a, (s, u) in zip(exponents, totals.moments(exponents), strict=True)]
 
-    def most(exponent):
-        shares, all_tokens = spend(exponent)
-        return max(w * all_tokens / t for w, t in zip(shares, tokens, strict=True) if t)
+    def spend(a, norm):
+        return norm * totals.top * math.exp(max(0.0, (1 - a) * least)) if whole else float(totals.total if budget is None else budget)
+
+    def most(a, norm):
+        """Epochs of the source that is repeated most."""
+        return spend(a, norm) / (norm * totals.top) * math.exp(max(0.0, (a - 1) * least))
 
-    if (target_entropy is None) == (max_epochs is None):
-        raise ValueError("give target_entropy or max_epochs")
     if target_entropy is not None:
-        fits, top = lambda a: entropy(weights(tokens, a)) <= target_entropy, SHARPEST
+        enough, top = lambda points: [h <= target_entropy for h in entropies(points)], SHARPEST
     else:
-        fits, top = lambda a: most(a) <= max_epochs * (1 + 1e-12), 1.0
-        if not fits(top):
-            raise ValueError(f"max_epochs: the budget alone takes {most(top):g} epochs")
-    exponent = 0.0 if fits(0.0) else _bisect(fits, 0.0, top)
-    return exponent, *spend(exponent)
+        def enough(points):
+            norms = [1.0] * len(points) if whole else [s for s, _ in totals.moments(points)]
+            return [most(a, s) <= max_epochs * (1 + 1e-12) for a, s in zip(points, norms, strict=True)]
+
+        top = 1.0
+        if not enough([top])[0]:
+            raise ValueError(f"max_epochs: the budget alone takes {most(top, totals.moments([top])[0][0]):g} epochs")
+    exponent = 0.0 if enough([0.0])[0] else _bisect(enough, 0.0, top)
+    norm = totals.moments([exponent])[0][0]
+    return Solution(exponent, norm, spend(exponent, norm))
 
 
 def word_count(text: Column) -> Column:
@@ -100,84 +144,100 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _block(level: int, epoch: Column, seed: int) -> Column:
-    """The place, of BLOCKS, of a row's block in an epoch's permutation of its source."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), epoch.cast("int"), "__src", "__row"), F.lit(BLOCKS)).cast("int")
+def dealt(docs: DataFrame, source_col: str, id_col: str, text_col: str, tokens_col: str | None, seed: int) -> DataFrame:
+    """``docs`` with ``n_tokens``, the source's key ``__src``, the fixed block ``__b`` and the place ``__g`` in the front's permutation."""
+    tokens = docs[tokens_col].cast("long") if tokens_col else word_count(docs[text_col].cast("string"))
+    src = F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n"))
+    row = F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))
+    out = docs.withColumns({"n_tokens": F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long"), "__src": src, "__b": F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), src, row), F.lit(BLOCKS)).cast("int")})
+    return out.withColumn("__g", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("front"), src, row), 1))
+
 
+def block_order(seed: int) -> Column:
+    """The key by which the blocks of a source stand in an epoch's permutation."""
+    return F.xxhash64(F.lit(seed), F.lit("epoch"), F.col("epoch").cast("long"), F.col("__src"), F.col("__b"))
 
-def _last(level: int, seed: int) -> Column:
-    """The same in the epoch that is cut short."""
-    return _block(level, F.lit(-1), seed)
 
+def budgets(sources: DataFrame, found: Solution, top: int) -> DataFrame:
+    """``__src, t, weight, budget, __whole, __rest``: whole epochs and the tokens of the last one."""
+    share = F.when(F.col("t") > 0, F.exp(F.lit(found.exponent) * F.ln(F.col("t") / F.lit(float(top or 1)))) / F.lit(found.norm)).otherwise(0.0)
+    out = sources.withColumn("weight", share).withColumn("budget", F.col("weight") * F.lit(found.spent))
+    out = out.withColumn("__whole", F.when(F.col("t") > 0, F.floor(F.col("budget") / F.col("t") + 1e-9)).otherwise(1).cast("long"))
+    rest = F.col("budget") - F.col("__whole") * F.col("t")
+    return out.withColumn("__rest", F.when((F.col("t") > 0) & (rest >= 0.5), rest).otherwise(0.0))  # not what rounding leaves
 
-def _sums(rows: DataFrame) -> dict[str, dict[int, int]]:
-    out: dict[str, dict[int, int]] = {}
-    for r in rows.groupBy("__src", "__block").agg(F.sum("n_tokens").alias("t")).collect():
-        out.setdefault(r["__src"], {})[r["__block"]] = r["t"]
-    return out
 
+def _border(sums: DataFrame, order: Window) -> DataFrame:
+    """``sums(…, t, left)`` with ``ahead``, the tokens before each row, and whether it is the first that does not fit."""
+    out = sums.withColumn("ahead", F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))
+    return out.withColumn("border", (F.col("ahead") <= F.col("left")) & (F.col("ahead") + F.col("t") > F.col("left")))
 
-def _front(sums: dict[int, int], rest: float) -> tuple[int, float]:
-    """The first block that does not fit, and what is left of the budget before it."""
-    for block in sorted(sums):
-        if sums[block] > rest:
-            return block, rest
-        rest -= sums[block]
-    return BLOCKS, 0.0
+
+def front_limits(rows: DataFrame, border: DataFrame) -> DataFrame:
+    """``__src, limit``: the rows of the border block with ``__g`` below the limit fit into what is left.
+
+    ``rows(__src, __b, __g, n_tokens)``, ``border(__src, __b, left)``.  The limit is found by
+    its leading bits, HEAD_BITS at a time, from the sums of tokens by the leading bits.
+    """
+    now = cut(rows.join(small(border), ["__src", "__b"]).select("__src", "__g", "n_tokens", "left"))
+    limits = None
+    for step in range(1, STEPS + 1):
+        shift = 63 - HEAD_BITS * step
+        sums = now.groupBy("__src", F.shiftright("__g", shift).alias("head")).agg(F.sum("n_tokens").alias("t"), F.first("left").alias("left"))
+        edge = _border(sums, Window.partitionBy("__src").orderBy("head")).where("border")
+        edge = cut(edge.select("__src", "head", (F.col("left") - F.col("ahead")).alias("left"), F.shiftleft("head", shift).alias("limit")))
+        before, limits = limits, edge.select("__src", "limit")
+        if step < STEPS:
+            after = cut(now.drop("left").join(small(edge.select("__src", "head", "left")), "__src").where(F.shiftright("__g", shift) == F.col("head")).drop("head"))
+            drop_cut(now)
+            now = after
+        if before is not None:
+            drop_cut(before)
+    drop_cut(now)
+    return limits
 
 
 def schedule(
     docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None,
     target_entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None, whole: bool = False, seed: int = 0,
-) -> tuple[DataFrame, list[Plan]]:
-    """``docs`` with a row for each use, with ``n_tokens``, ``epoch`` and ``block``; and the plans.
-
-    A row is used once in each whole epoch of its source, and once more if its block is at
-    the front of the last epoch's permutation that the budget pays for.  ``block`` is the
-    place of its block in that epoch's permutation: reading by ``(epoch, block)`` gives the
-    mixture in order.  No source goes over its budget; what is left is less than its next
-    block of the finest level, which is a single row but for copies of it (rows of equal
-    source, id and text go together).  A null source is a source.  Rows without tokens
-    cost nothing and go with their block.  An empty table gives an empty one.  Columns
-    named ``n_tokens``, ``epoch`` or ``block`` are replaced.
+) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a row for each use, with ``n_tokens``, ``epoch`` and ``block``; and the plan of each source.
+
+    A row is used once in each whole epoch of its source, and once more if it is at the front
+    of the last epoch's permutation that the budget pays for.  ``block`` is the place of its
+    block in that epoch's permutation: reading by ``(epoch, block)`` gives the mixture in
+    order.  No source goes over its budget; what is left is less than its next row, with the
+    rows that go with it (copies of it: of equal source, id and text).  A null source is a
+    source.  Rows without tokens cost nothing and go with their block; a source without any
+    is used once.  Tokens are words, or ``tokens_col``.  An empty table gives an empty one.
+    Columns named ``n_tokens``, ``epoch`` or ``block`` are replaced.
+
+    The plan: ``source, tokens, weight, budget, exponent, epochs``.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    tokens = docs[tokens_col].cast("long") if tokens_col else word_count(docs[text_col].cast("string"))
-    src = F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n"))
-    base = docs.withColumns({"n_tokens": F.coalesce(tokens, F.lit(0)), "__src": src, "__row": F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))})
-    border = cut(base.select("__src", "__row", "n_tokens"))
-    sums = _sums(border.withColumn("__block", _last(0, seed)))
-    names = sorted(sums)
-    total = [sum(sums[s].values()) for s in names]
-    exponent, shares, spent = solve(total, target_entropy=target_entropy, max_epochs=max_epochs, budget=budget, whole=whole)
-    plans = [Plan(s[1:] if s[0] == "s" else None, t, w, w * spent, exponent) for s, t, w in zip(names, total, shares, strict=True)]
-    epochs = {s: math.floor(p.epochs + 1e-9) if p.tokens else 1 for s, p in zip(names, plans, strict=True)}
-    rest = {s: max(0.0, p.budget - epochs[s] * p.tokens) for s, p in zip(names, plans, strict=True) if p.tokens}
-    rest = {s: r for s, r in rest.items() if r >= 0.5}  # not what rounding leaves
-    used: dict[str, list[int]] = {s: [] for s in names}
-    for level in range(DEPTH):
-        for s in list(rest):
-            block, rest[s] = _front(sums.get(s, {}), rest[s])
-            used[s].append(block)
-            if rest[s] < 1:
-                del rest[s]
-        if not rest or level + 1 == DEPTH:
-            break
-        cuts = F.broadcast(spark.createDataFrame([(s, used[s][-1]) for s in rest], "__src string, __cut int"))
-        border = border.join(cuts, "__src").where(_last(level, seed) == F.col("__cut")).drop("__cut")
-        sums = _sums(border.withColumn("__block", _last(level + 1, seed)))
-    rows = [(s, epochs[s], p.weight, [*used[s], *[0] * (DEPTH - len(used[s]))]) for s, p in zip(names, plans, strict=True)]
-    rules = small(spark.createDataFrame(rows, "__src string, __whole int, weight double, __used array<int>"))
-    inside = F.lit(False)
-    for level in reversed(range(DEPTH)):
-        inside = (_last(level, seed) < F.get("__used", F.lit(level))) | ((_last(level, seed) == F.get("__used", F.lit(level))) & inside)
-    out = base.join(rules, "__src").withColumn("__n", F.col("__whole") + F.when(inside, 1).otherwise(0)).where("__n > 0")
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    out = out.withColumn("block", F.when(F.col("epoch") < F.col("__whole"), _block(0, F.col("epoch"), seed)).otherwise(_last(0, seed)))
+    prepare(docs.sparkSession)
+    base = dealt(docs, source_col, id_col, text_col, tokens_col, seed)
+    rows = cut(base.select("__src", "__b", "__g", "n_tokens"))
+    blocks = cut(rows.groupBy("__src", "__b").agg(F.sum("n_tokens").alias("t")))
+    sources = cut(blocks.groupBy("__src").agg(F.sum("t").alias("t")))
+    totals = ListTotals([r.t for r in sources.collect()]) if fits(sources, HELD_SOURCES) else TableTotals(sources)
+    found = solve(totals, target_entropy=target_entropy, max_epochs=max_epochs, budget=budget, whole=whole)
+    plan = cut(budgets(sources, found, totals.top))
+    count = F.col("__whole") + (F.col("__rest") > 0).cast("long")
+    epochs = plan.where(count > 0).select("__src", "__whole", F.col("__rest").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("epoch"))
+    order = Window.partitionBy("__src", "epoch").orderBy(block_order(seed), "__b")
+    placed = _border(blocks.join(small(cut(epochs)), "__src"), order).withColumn("block", F.row_number().over(order) - 1)
+    full = F.col("epoch") < F.col("__whole")
+    placed = cut(placed.where(full | F.col("border") | (F.col("ahead") + F.col("t") <= F.col("left"))).select("__src", "__b", "epoch", "block", (~full & F.col("border")).alias("border"), (F.col("left") - F.col("ahead")).alias("left")))
+    limits = front_limits(rows, placed.where("border").select("__src", "__b", "left"))
+    places = placed.join(small(limits), "__src", "left").select("__src", "__b", F.col("epoch").cast("int").alias("epoch"), F.col("block").cast("int").alias("block"), F.when(F.col("border"), F.coalesce("limit", F.lit(0).cast("long"))).alias("__limit"))
+    out = base.drop("epoch", "block").join(small(cut(places)), ["__src", "__b"]).where(F.col("__limit").isNull() | (F.col("__g") < F.col("__limit")))
+    source = F.when(F.col("__src") != "n", F.substring("__src", 2, 1 << 30))
+    plans = plan.select(source.alias("source"), F.col("t").alias("tokens"), "weight", "budget", F.lit(found.exponent).alias("exponent"), F.when(F.col("t") > 0, F.col("budget") / F.col("t")).otherwise(0.0).alias("epochs"))
+    for t in (rows, blocks, sources, placed, limits):
+        drop_cut(t)
     return out.select(*[c for c in docs.columns if c not in ("n_tokens", "epoch", "block")], "n_tokens", "epoch", "block"), plans
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Weights that repeat no source more than twice, for as many tokens as there are."""
+    """Weights that repeat no source more than twice, for as many tokens (words) as there are."""
     return schedule(docs.select("doc_id", "source", "text"), max_epochs=2.0)[0].drop("text")

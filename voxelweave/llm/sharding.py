@@ -73,7 +73,8 @@ def assign(docs: DataFrame, key_col: str = "doc_id", shards: list[str] | int = S
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, key_col: str = "doc_id", files_per_shard: int = 1) -> str:
     """Write ``docs`` as Parquet under ``folder/shard=N``, each shard in a few files.
 
-    Rows of a shard are dealt over ``files_per_shard`` tasks, so no shard is one task.
+    Rows of a shard are dealt over ``files_per_shard`` tasks, so no shard is one task.  A null
+    key is a key like any; an empty table writes no file; ``slot`` and ``shard`` are replaced.
     """
     out = assign(docs, key_col, shards)
     part = F.pmod(F.xxhash64(docs[key_col].cast("string")), F.lit(files_per_shard))
@@ -82,4 +83,5 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, key_col: st
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """``doc_id`` with its ``slot`` and ``shard`` of SHARDS."""
     return assign(docs.select("doc_id"))
