@@ -22,7 +22,7 @@ def _with_text(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; a null text is judged as an empty one."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
 
@@ -33,17 +33,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8) stays: the smallest id."""
+    """One document of each group of near-duplicates stays: the smallest id.
+
+    SimHash sketches of five-word shingles find the candidates, and whole sets of a similarity
+    of 0.8 or more are linked.
+    """
     return simhash.keep_first(docs, words=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smaller sources are repeated, up to the limit; no document is lost."""
+    """Smaller sources are repeated, up to the limit; no document is lost.  Tokens are words here."""
     return mixing.schedule(docs, max_epochs=MAX_EPOCHS, whole=True)[0].select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and how many of them decode to the text again (all)."""
+    """The ids of each text (null: none), and whether they decode to the text again (all do)."""
     out = bpe.encode(docs, decoded_col="decoded")
     back = F.coalesce("text", F.lit("")) == F.col("decoded")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
@@ -62,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read again."""
+    """All stages over ``documents``; each is written as Parquet and read again.  No document gives no row."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
