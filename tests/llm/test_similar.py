@@ -130,9 +130,37 @@ def test_forest():
 
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(simhash, "REST_SHINGLES", 300)
     monkeypatch.setattr(simhash, "NODE_CODES", 4)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
     rng = random.Random(3)
     base = [f"w{rng.randrange(5000)}" for _ in range(90)]
     rows = [(k, " ".join([*base[: 3 + k], f"y{k}", *base[4 + k :]])) for k in range(80)]
     docs = spark.createDataFrame(rows + [(100 + k, rows[3][1]) for k in range(20)], "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {0}
+
+
+def test_group_in_parts(spark, monkeypatch):
+    """One group of the index that falls into parts and chains, dealt over blocks: as one forest of all its sets."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(simhash, "REST_SHINGLES", 400)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(12):
+        words = [rng.choice(pool) for _ in range(60)]
+        for _ in range(rng.choice([1, 4, 12])):
+            texts.append(" ".join(words))
+            at = rng.randrange(55)
+            words = [*words[:at], f"n{rng.randrange(10**9)}", *words[at + 1 :]]  # a chain: each text is like the one before it
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = simhash.keyed(docs)
+    sets = simhash.batch_sets(pa.array(texts), 5)
+    fps = [int(np.uint64(simhash.set_key(s)).view(np.int64)) for s in sets]
+    rk = {r.did: r.rk for r in keys.collect()}
+    group = spark.createDataFrame([(f, 1, (i, rk[i]), len(s)) for i, (f, s) in enumerate(zip(fps, sets))], "id long, component long, head struct<did: long, rk: long>, n long")
+    place = {f: i for i, f in enumerate(fps)}
+    ends = [(place[r.a], place[r.b]) for r in simhash._compared(keys, simhash.cut(group), 5, 0.8).collect()]
+    want = simhash.local_labels(len(sets), *simhash.similar_forest(sets, 0.8))
+    assert (simhash.local_labels(len(sets), *map(np.array, zip(*ends))) == want).all() and 5 < len(set(want.tolist())) < len(sets)

@@ -38,8 +38,9 @@ TASK_ROWS = 150_000
 #: Fingerprints of a set, and the differing bits of 64 and of 128 up to which two sets are
 #: compared.  At similarity 0.8 they are 9.7 +- 2.9 and 19.4 +- 4.1.
 SKETCHES, SKETCH_LIMIT, PAIR_LIMIT = 10, 17, 30
-#: Shingles of one block of a group, and of a task, in the comparison of sets.
-BLOCK_SHINGLES, TASK_SHINGLES = 1_000_000, 2_000_000
+#: Shingles of one block of a group, of the part of a group that may meet every block, and of a
+#: task, in the comparison of sets; and how many sets of a group all its blocks hold, on average.
+BLOCK_SHINGLES, REST_SHINGLES, TASK_SHINGLES, PIVOTS = 16_000, 500_000, 2_000_000, 8
 
 
 def bit_counts(hashes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
@@ -295,6 +296,69 @@ def similar_forest(sets: list[np.ndarray], similarity: float):
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
 
 
+def _forests(keys: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of ``members(did, rk, fp, n, tasks)``: those whose arrays of tasks share one are compared there."""
+
+    def sets(batches):
+        seen: set[int] = set()  # a text that many rows of one id have goes on once
+        for batch in batches:
+            fps = batch.column("fp").to_pylist()
+            batch = batch.take(pa.array([k for k, f in enumerate(fps) if not (f in seen or seen.add(f))], pa.int64()))
+            found = batch_sets(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("tasks"), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "tasks", "shingles"])
+
+    def compare(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by("key")
+        key, fp = (np.asarray(table.column(c)) for c in ("key", "fp"))
+        raw = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        edge = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        for i, j in zip(edge, edge[1:]):
+            _, once = np.unique(fp[i:j], return_index=True)
+            a, b = similar_forest([raw[i + k] for k in once.tolist()], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[i:j][once[a]], pa.int64()), pa.array(fp[i:j][once[b]], pa.int64())], ["a", "b"])
+
+    texts = keys.join(small(members.select("did", "rk", "fp", "tasks")), ["did", "rk"])
+    dealt = texts.mapInArrow(sets, "fp long, tasks array<long>, shingles binary").select(F.explode("tasks").alias("key"), "fp", "shingles")
+    total = members.agg(F.sum(F.col("n") * F.size("tasks"))).first()[0] or 0
+    parts = max(keys.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SHINGLES))
+    return cut(dealt.repartition(parts, "key").mapInArrow(compare, "a long, b long"))
+
+
+def _compared(keys: DataFrame, group: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links of the sets of ``group(id, component, head, n)`` that are similar enough.
+
+    A small group is compared in one task.  A large one is dealt into blocks, and each block
+    holds a few sets of the whole group besides its own.  That connects most of a group of near
+    copies; the sets which it leaves apart from the group's main part then meet every block.
+    """
+    sizes = group.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("sets"), F.min("head").alias("first"))
+    large = cut(sizes.where(F.col("all") > BLOCK_SHINGLES).select("component", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("blocks"), "sets", "first"))
+    placed = group.join(small(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    pivot = (F.col("head") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sets")) < PIVOTS)
+    placed = placed.withColumns({"own": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "pivot": F.coalesce(pivot, F.lit(False))})
+    placed = cut(placed.select(F.col("head.did").alias("did"), F.col("head.rk").alias("rk"), F.col("id").alias("fp"), "component", "n", "blocks", "own", "pivot"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    tasks = F.transform(F.when(F.col("pivot"), every).otherwise(F.array("own")), lambda b: F.xxhash64("component", b))
+    first = _forests(keys, placed.withColumn("tasks", tasks), words, similarity)
+    # What is apart from the main part of a large group.
+    many = placed.where("blocks > 1")
+    part = components(first.join(small(cut(many.select(F.col("fp").alias("a")))), "a", "left_semi"))
+    many = cut(many.join(part.select(F.col("id").alias("fp"), F.col("component").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp")))
+    main = many.groupBy("component", "part").agg(F.sum("n").alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    many = cut(many.join(small(cut(main)), "component").withColumn("apart", F.col("part") != F.col("main")))
+    rest = cut(many.where("apart").groupBy("component").agg(F.ceil(F.sum("n") / REST_SHINGLES).cast("int").alias("parts")))
+    if not rest.limit(1).count():
+        return first
+    many = many.join(small(rest), "component")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("component", "own", p))
+    visits = F.transform(every, lambda b: F.xxhash64("component", b, F.pmod(F.xxhash64(F.lit(6), "fp"), F.col("parts")).cast("int")))
+    second = _forests(keys, cut(many.withColumn("tasks", F.when(F.col("apart"), F.array_union(meets, visits)).otherwise(meets)).select("did", "rk", "fp", "n", "tasks")), words, similarity)
+    return first.unionByName(second)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(did, rk, fp, component, head)`` for each row; ``component`` is the least id reachable.
 
@@ -322,43 +386,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tops = F.array(*[F.struct(F.col(c).alias("code"), F.col(names[k - 1]).alias("wide"), F.xxhash64(F.lit(4 * k + r), _masked(F.col(c), m)).alias("node")) for k, c in enumerate(names) for r, m in enumerate(quarter)])
     nodes = classes.where("n > 0").select(F.col("fp").alias("id"), F.explode(tops).alias("t")).select("id", "t.*")
     found = cut(search(nodes, len(quarter) * SKETCHES, count, SKETCH_LIMIT, PAIR_LIMIT))
-    # Sets that the index connects meet in one task; large groups are dealt out as pairs of blocks.
     group = cut(components(found).join(classes.select(F.col("fp").alias("id"), "head", "n"), "id"))
-    large = cut(group.groupBy("component").agg(F.sum("n").alias("n")).select("component", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("blocks > 1"))
-    placed = group.join(small(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = cut(placed.select(F.col("head.did").alias("did"), F.col("head.rk").alias("rk"), F.col("id").alias("fp"), "component", "n", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")))
-    texts = keys.join(small(placed.select("did", "rk", "fp", "component", "blocks", "own")), ["did", "rk"])
-
-    def whole(batches):
-        seen: set[int] = set()  # a text that many rows of one id have goes on once
-        for batch in batches:
-            fps = batch.column("fp").to_pylist()
-            batch = batch.take(pa.array([k for k, f in enumerate(fps) if not (f in seen or seen.add(f))], pa.int64()))
-            sets = batch_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "component", "blocks", "own")), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "component", "blocks", "own", "shingles"])
-
-    sets = texts.mapInArrow(whole, "fp long, component long, blocks int, own int, shingles binary")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR own <> other")
-    sets = sets.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "shingles")
-
-    def compare(batches):
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).sort_by("key")
-        key, fp = (np.asarray(table.column(c)) for c in ("key", "fp"))
-        raw = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        edge = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
-        for i, j in zip(edge, edge[1:]):
-            _, once = np.unique(fp[i:j], return_index=True)  # a text may stand in several rows of one id
-            a, b = similar_forest([raw[i + k] for k in once.tolist()], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i:j][once[a]], pa.int64()), pa.array(fp[i:j][once[b]], pa.int64())], ["a", "b"])
-
-    total = placed.agg(F.sum(F.col("n") * F.greatest(F.col("blocks") - 1, F.lit(1)))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SHINGLES))
-    close = cut(sets.repartition(parts, "key").mapInArrow(compare, "a long, b long"))
+    close = _compared(keys, group, words, similarity)
     out = joined(rows.select("did", "rk", "fp"), close, classes)
-    for t in (found, group, large):
+    for t in (found, group):
         drop_cut(t)
     return out
 
