@@ -190,7 +190,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         done += [left, again]
         source = _with_anchors(left.drop("anchors"), held, keys)
     again = _repeated(left, ["h1", "h2"])
-    starts = left.join(small(again), ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
+    starts = left.join(again, ["h1", "h2"]).where("did > first").groupBy("did", "rk").agg(F.collect_list("pos").alias("starts"))
     out = cut(starts.select("did", "rk", F.lit(False).alias("whole"), "starts").unionByName(copies.select("did", "rk", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))))
     for t in (*done, left, again, copies):
         drop_cut(t)
