@@ -67,6 +67,11 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (rows @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b``, but for rounding."""
+    return (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)
+
+
 class Quantiser:
     """Coarse centroids, and codewords of the residuals for each subspace.
 
@@ -81,6 +86,7 @@ class Quantiser:
         self.coarse = k_means(sample, whole)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.fine = np.zeros((1, sample.shape[1])) if lists <= FLAT_LISTS else k_means(rest, min(len(sample) // 4, -(-lists // len(self.coarse))))
+        self.apart = np.sqrt(np.maximum(0, _squares(self.coarse, self.coarse))) if len(self.fine) == 1 else None
         self.cross = 2 * self.coarse @ self.fine.T + (self.fine**2).sum(axis=1) + (self.coarse**2).sum(axis=1)[:, None]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.margin, self.groups = far, np.inf
@@ -132,13 +138,18 @@ class Quantiser:
         return tuple(np.concatenate(x) for x in (own, at, cell))
 
     def _visits(self, rows, margin):
-        far = (rows * rows).sum(axis=1)[:, None] - 2 * rows @ self.coarse.T + (self.coarse**2).sum(axis=1)
+        far = _squares(rows, self.coarse)
+        if len(self.fine) == 1:
+            own = far.argmin(axis=1)
+            near = far - far[np.arange(len(rows)), own][:, None] <= 2 * margin * self.apart[own]
+            near[np.arange(len(rows)), own] = True
+            return own, *np.nonzero(near)
         # Groups of lists first, where lists stand in groups.
-        if len(self.fine) == 1 or self.groups == np.inf:
+        if self.groups == np.inf:
             row, group = (x.ravel() for x in np.indices(far.shape))
         else:
             best = far.argmin(axis=1)
-            apart = np.sqrt(np.maximum(0, ((self.coarse[best] ** 2).sum(axis=1)[:, None] - 2 * self.coarse[best] @ self.coarse.T + (self.coarse**2).sum(axis=1))))
+            apart = np.sqrt(np.maximum(0, _squares(self.coarse[best], self.coarse)))
             near = far - far[np.arange(len(rows)), best][:, None] <= 2 * self.groups * apart
             near[np.arange(len(rows)), best] = True
             row, group = np.nonzero(near)
@@ -163,7 +174,7 @@ class Quantiser:
     def tables(self, rows: np.ndarray, cell: int) -> list[np.ndarray]:
         """Squared distances of each row's residual in the list to the codewords."""
         rest = rows - self.centre(np.array([cell]))
-        return [((rest[:, None, p] - w) ** 2).sum(axis=2) for p, w in zip(self.parts, self.words, strict=True)]
+        return [_squares(rest[:, p], w) for p, w in zip(self.parts, self.words, strict=True)]
 
 
 def compare(q: Quantiser | None, cell: int, ids, rows, codes, error, other_ids, other_rows, cosine: float):
@@ -177,7 +188,7 @@ def compare(q: Quantiser | None, cell: int, ids, rows, codes, error, other_ids,
             square = np.zeros((len(part), len(ids)))
             for m, table in enumerate(q.tables(part, cell)):
                 square += table[:, codes[:, m]]
-            a, b = np.nonzero(np.sqrt(square) <= far + error + 1e-9)
+            a, b = np.nonzero(square <= (far + error + 1e-6) ** 2)
         for k in range(0, len(a), 200_000):
             x, y = a[k : k + 200_000], b[k : k + 200_000]
             near = np.einsum("ij,ij->i", part[x], rows[y]) >= cosine
