@@ -1,3 +1,5 @@
+import hashlib
+import hmac
 import math
 
 import numpy as np
@@ -60,9 +62,12 @@ def test_joint_histogram_counts_the_empty_rest(spark):
 def test_pseudonyms(spark):
     names = ["", "Müller, A.", "x" * 200]
     for key in (b"k", b"long key " * 20):
-        rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[X.pseudonym(F.col("n"), key, f).alias(f) for f in ("hex", "digits", "code")]).collect()
+        rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[X.pseudonym(F.col("n"), key, f, F.lit("S1")).alias(f) for f in ("hex", "digits", "code")]).collect()
         for r in rows:
-            assert all(r[f] == X.pseudonym_of(r.n, key, f) for f in ("hex", "digits", "code"))
+            full = lambda space, code: hmac.new(key, f"{space}|{code}".encode(), hashlib.sha256).hexdigest()
+            assert r["hex"] == f"S1-{full('S1', r.n)[:6]}"
+            assert r["digits"] == str(100_000 + int(full("MEAS", r.n), 16) % 900_000) and len(r["digits"]) == 6
+            assert r["code"] == f"X{1_000_000 + int(full('BASE', r.n.upper()), 16) % 9_000_000}"
 
 
 def test_text(spark):

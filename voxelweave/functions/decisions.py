@@ -54,6 +54,28 @@ def stand_in(*sources: Column) -> Column:
     return F.coalesce(*sources)
 
 
+def trabecular_object(seg: DataFrame, contour: DataFrame, cropped: DataFrame) -> DataFrame:
+    """Stands in for a trabecular segmentation that is missing: the segmentation inside the contour, or its
+    whole support in volumes where the crop never ran (``cropped``: ``vol_id, cropped``)."""
+    on = seg.where("v <> 0").join(cropped, "vol_id")
+    inside = on.where("cropped").join(contour.where("v <> 0").select("vol_id", "z", "y", "x"), ["vol_id", "z", "y", "x"], "left_semi")
+    return inside.unionByName(on.where("NOT cropped")).select("vol_id", "z", "y", "x", F.lit(126).alias("v"))
+
+
+#: Where each configuration of a comparison takes its masks and its segmentation from.
+CONFIGURATIONS = {"A": ("reference", "reference"), "A2": ("reference, uncorrected contour", "reference"), "B": ("own, from the outer contour", "own"), "C": ("reference", "own")}
+
+
+def configurations(scans: DataFrame, corrected: Column, equal: Column) -> DataFrame:
+    """``…, config, masks, segmentation, same_as``: the runs to make of each scan.
+
+    A2 only for scans with a corrected contour; C is the same as B where the renderings are equal.
+    """
+    table = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(m).alias("masks"), F.lit(s).alias("segmentation")) for n, (m, s) in CONFIGURATIONS.items()])
+    out = scans.withColumns({"__corrected": corrected, "__equal": equal}).withColumn("__c", F.explode(table)).where("__corrected OR __c.config <> 'A2'")
+    return out.select(*scans.columns, "__c.config", "__c.masks", "__c.segmentation", F.when(F.col("__equal") & (F.col("__c.config") == "C"), "B").alias("same_as"))
+
+
 def plan_status(masks: Column, seg: Column, maps: Column) -> Column:
     """A scan's status from the levels ``exact, caveat, manual, inconsistent, none`` of its parts."""
     any_is = lambda level: (masks == level) | (seg == level) | (maps == level)
@@ -83,6 +105,27 @@ def section_kind(commands: Column, kinds: dict[str, list[str]]) -> Column:
     return out
 
 
+def patient_fields(name: Column, typos: dict[str, str] | None = None) -> Column:
+    """``(group, study, subject, region, bone)`` of ``group; XStudy CODE_nnn region bone``.
+
+    The study without its ending and in capitals, the subject's number in three digits and its
+    prefix with known misspellings put right; null where the name has fewer parts.
+    """
+    words = F.split(F.btrim(F.element_at(F.split(name, ";", 2), 2)), r"\s+")
+    whole = F.size(words) >= 4
+    word = lambda k: F.when(whole, F.get(words, F.lit(k)))
+    raw = F.upper(word(1))
+    prefix = F.regexp_extract(raw, r"^(.+?)[_-]?(\d+)$", 1)
+    fixed = prefix
+    for wrong, right in (typos or {}).items():
+        fixed = F.when(prefix == wrong, right).otherwise(fixed)
+    number = F.lpad(F.regexp_extract(raw, r"(\d+)$", 1).try_cast("int").cast("string"), 3, "0")
+    subject = F.when(F.regexp_extract(raw, r"(\d+)$", 1) == "", raw).otherwise(F.concat_ws("_", fixed, number))
+    last = F.upper(word(3))
+    bone = F.when(last.contains("TIBIA"), "tibia").when(last.contains("RADIUS"), "radius")
+    return F.struct(F.btrim(F.element_at(F.split(name, ";", 2), 1)).alias("group"), F.upper(F.regexp_replace(word(0), "(?i)study$", "")).alias("study"), F.when(whole, subject).alias("subject"), F.upper(word(2)).alias("region"), bone.alias("bone"))
+
+
 def bone_of(name: Column, typos: dict[str, str] | None = None) -> Column:
     """The bone a scan's name speaks of, with known misspellings put right."""
     lower = F.lower(name)

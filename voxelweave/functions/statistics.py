@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.grid import KEYS, Grid
+from ..operators.grid import AXES, KEYS, Grid
 
 
 def _all(*keys: str) -> Window:
@@ -282,5 +282,43 @@ def consistency(layers: dict[str, DataFrame]) -> DataFrame:
     return bits.groupBy("vol_id").agg(*[F.count_if(has[i] & has[j]).alias(f"{names[i]}_and_{names[j]}") for i in range(len(names)) for j in range(i + 1, len(names))], *[F.count_if(has[i] & ~has[j]).alias(f"{names[i]}_not_{names[j]}") for i in range(len(names)) for j in range(len(names)) if i != j])
 
 
+def evaluation_checks(periosteal: DataFrame, cort: DataFrame, trab: DataFrame, seg: DataFrame, maps: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Whether the products of an evaluation fit together, one row for each volume.
+
+    (a) the contour against the two compartments, (b) the labels (127 cortical, 126 trabecular)
+    against the renderings, (c) the support of each map against the rendering it is drawn in
+    (``maps``: the map, and ``cort`` or ``trab``), (d) the boxes of the segmentation and the maps.
+    One aggregation over the union of all layers.
+    """
+    layers = [("p", periosteal, F.col("v") != 0), ("c", cort, F.col("v") != 0), ("t", trab, F.col("v") != 0), ("s127", seg, F.col("v") == 127), ("s126", seg, F.col("v") == 126)]
+    layers += [(name, df, F.col("v") != 0) for name, (df, _) in maps.items()]
+    bit = {name: 1 << k for k, (name, *_) in enumerate(layers)}
+    union: DataFrame | None = None
+    for name, df, on in layers:
+        part = df.where(on).select(*KEYS, F.lit(bit[name]).alias("bit"))
+        union = part if union is None else union.unionByName(part)
+    bits = union.groupBy(*KEYS).agg(F.bit_or("bit").alias("bits"))
+    has = {name: F.col("bits").bitwiseAND(b) > 0 for name, b in bit.items()}
+    p, c, t, s127, s126 = (has[n] for n in ("p", "c", "t", "s127", "s126"))
+    s = s127 | s126
+    counts = {
+        "periosteal": p, "cort": c, "trab": t, "both": c & t, "periosteal_only": p & ~(c | t), "compartments_only": (c | t) & ~p,
+        "seg": s, "seg_outside_periosteal": s & ~p, "seg127_outside_cort": s127 & ~c, "seg126_outside_trab": s126 & ~t, "seg126_inside_cort": s126 & c, "seg127_inside_trab": s127 & t,
+    }
+    for name, (_, home) in maps.items():
+        own, other = (c, t) if home == "cort" else (t, c)
+        counts |= {f"{name}_support": has[name], f"{name}_outside": has[name] & ~own, f"{name}_inside_other": has[name] & other}
+    box = lambda name, on: [f(F.when(on, F.col(a))).alias(f"{name}_{a}{k}") for a in AXES for k, f in enumerate((F.min, F.max))]
+    found = bits.groupBy("vol_id").agg(*[F.count_if(on).alias(n) for n, on in counts.items()], *box("bp", p), *box("bs", s), *[b for name in maps for b in box(f"b{name}", has[name])])
+    inside, same = F.lit(True), {name: F.lit(True) for name in maps}
+    for a in AXES:
+        inside = inside & (F.col(f"bs_{a}0") >= F.col(f"bp_{a}0")) & (F.col(f"bs_{a}1") <= F.col(f"bp_{a}1"))
+        for name in maps:
+            same[name] = same[name] & (F.col(f"b{name}_{a}0") == F.col(f"bs_{a}0")) & (F.col(f"b{name}_{a}1") == F.col(f"bs_{a}1"))
+    equal = (F.col("periosteal_only") == 0) & (F.col("compartments_only") == 0)
+    fits = (F.col("seg_outside_periosteal") == 0) & (F.col("seg127_outside_cort") == 0) & (F.col("seg126_outside_trab") == 0)
+    return found.select("vol_id", *counts, (equal & (F.col("both") == 0)).alias("partition"), fits.alias("consistent"), inside.alias("seg_box_inside_periosteal"), *[e.alias(f"{n}_box_is_segs") for n, e in same.items()])
+
+
 def empty_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "x double, y double")

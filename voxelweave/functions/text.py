@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +42,22 @@ def choose_run(runs: DataFrame, products: DataFrame, *keys: str) -> DataFrame:
 
     A stamp inside a run speaks for it, one after its end against it; stamps before it say
     nothing.  Ranked by no refutation, agreement less disagreement, stamps inside, and start.
+    Starts, ends and stamps of a key stand in one order of time, and running counts of the
+    stamps at a run's two ends give both numbers, so runs and stamps are never paired.
     """
     k = list(keys)
-    at = F.col("ts")
-    both = runs.join(F.broadcast(products), k, "left")
-    scored = both.groupBy(*k, "run", "start", "end").agg(F.count_if(at.between(F.col("start"), F.col("end"))).alias("inside"), F.count_if(at > F.col("end")).alias("after"))
+    columns = [*k, "at", "kind", "run", "start", "end"]
+    # Stamps at a start count as inside, and so do those at an end.
+    starts = runs.select(*k, F.col("start").alias("at"), F.lit(0).alias("kind"), "run", "start", "end")
+    ends = runs.select(*k, F.col("end").alias("at"), F.lit(2).alias("kind"), "run", "start", "end")
+    none = {c: F.lit(None).cast(runs.schema[c].dataType) for c in ("run", "start", "end")}
+    stamps = products.where("ts IS NOT NULL").select(*k, F.col("ts").alias("at"), F.lit(1).alias("kind")).withColumns(none)
+    line = starts.select(*columns).unionByName(ends.select(*columns)).unionByName(stamps.select(*columns))
+    before = Window.partitionBy(*k).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("seen", F.count_if(F.col("kind") == 1).over(before)).withColumn("all", F.count_if(F.col("kind") == 1).over(Window.partitionBy(*k)))
+    per = line.where("kind <> 1").groupBy(*k, "run", "start", "end").agg(F.max(F.when(F.col("kind") == 0, F.col("seen"))).alias("early"), F.max(F.when(F.col("kind") == 2, F.col("seen"))).alias("late"), F.max("all").alias("all"))
+    inside = F.greatest(F.col("late") - F.col("early"), F.lit(0))
+    scored = per.select(*k, "run", "start", "end", inside.alias("inside"), (F.col("all") - F.col("late")).alias("after"))
     w = Window.partitionBy(*k).orderBy((F.col("after") > 0).cast("int"), F.desc(F.col("inside") - F.col("after")), F.desc("inside"), F.desc("start"), "run")
     return scored.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
@@ -65,6 +75,11 @@ def vms_seconds(text: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.initcap(F.regexp_replace(F.btrim(text), r"\.\d+$", "")), F.lit("d-MMM-yyyy HH:mm:ss")))
 
 
+def interval_hours(first: Column, second: Column) -> Column:
+    """Hours from one VMS time to another."""
+    return (vms_seconds(second) - vms_seconds(first)) / F.lit(3600.0)
+
+
 def file_kind(name: Column) -> Column:
     """What a file of a scan's folder is, by its name."""
     upper = F.upper(name)
@@ -124,34 +139,33 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(pads[1], inner), 256)
 
 
-def pseudonym(message: Column, key: bytes, form: str = "hex") -> Column:
-    """``hex``: six digits of the keyed hash; ``digits``: six decimal ones; ``code``: X and seven.
+#: Name space, offset and modulus of the decimal forms of a pseudonym.
+_FORMS = {"digits": ("MEAS", 100_000, 900_000), "code": ("BASE", 1_000_000, 9_000_000)}
+
+
+def pseudonym(code: Column, key: bytes, form: str = "hex", study: Column | None = None) -> Column:
+    """A keyed name for a code: of a subject of a ``study`` (``hex``: the study and six digits of
+    the keyed hash), of a measurement number (``digits``: six decimal ones) or of a file's base
+    name in any case (``code``: X and seven decimal ones).
 
-    The decimal forms are the remainder of the whole 256-bit number, taken eight hex digits
-    at a time so that it never leaves a long.
+    What is hashed is the name space, a bar and the code.  The decimal forms are the remainder of
+    the whole 256-bit number, taken eight hex digits at a time so that it never leaves a long.
     """
-    full = hmac_sha256(message, key)
     if form == "hex":
-        return F.substring(full, 1, 6)
-    if form not in ("digits", "code"):
+        space = F.lit("") if study is None else study
+        return F.concat(space, F.lit("-"), F.substring(hmac_sha256(F.concat(space, F.lit("|"), code), key), 1, 6))
+    if form not in _FORMS:
         raise ValueError(f"form is hex, digits or code, not {form!r}")
-    modulus, width = (1_000_000, 6) if form == "digits" else (10_000_000, 7)
+    space, low, modulus = _FORMS[form]
+    full = hmac_sha256(F.concat(F.lit(space + "|"), F.upper(code) if form == "code" else code), key)
     rest = F.lit(0).cast("long")
     for k in range(8):
         part = F.conv(F.substring(full, 8 * k + 1, 8), 16, 10).cast("long")
         rest = (rest * F.lit((1 << 32) % modulus) + part) % F.lit(modulus)
-    out = F.lpad(rest.cast("string"), width, "0")
+    out = (rest + F.lit(low)).cast("string")
     return out if form == "digits" else F.concat(F.lit("X"), out)
 
 
-def pseudonym_of(message: str, key: bytes, form: str = "hex") -> str:
-    """The same outside of Spark."""
-    full = hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
-    if form == "hex":
-        return full[:6]
-    return f"{int(full, 16) % 1_000_000:06d}" if form == "digits" else f"X{int(full, 16) % 10_000_000:07d}"
-
-
 def find_identifiers(df: DataFrame, text: str, patterns: Mapping[str, str]) -> DataFrame:
     """Rows with the names of the patterns that their text matches; the others go."""
     hits = F.filter(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())

@@ -103,6 +103,29 @@ def union_boxes(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("vol_id").agg(*[f(c).alias(c) for axis in AXES for f, c in ((F.min, f"{axis}0"), (F.max, f"{axis}1"))])
 
 
+def box_inside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``vol_id, inside``: whether the first box of a volume lies in the second; null where there is no second."""
+    other = b.select("vol_id", *[F.col(f"{x}{k}").alias(f"o{x}{k}") for x in AXES for k in (0, 1)])
+    fits = F.lit(True)
+    for x in AXES:
+        fits = fits & (F.col(f"{x}0") >= F.col(f"o{x}0")) & (F.col(f"{x}1") <= F.col(f"o{x}1"))
+    return a.join(other, "vol_id", "left").select("vol_id", fits.alias("inside"))
+
+
+def cascade_boxes(contour: DataFrame, bone: DataFrame, margin: int = 2, clip_low: int | None = 0) -> DataFrame:
+    """``vol_id, grid, z0 .. x1`` of the grids that the pore cascade works on.
+
+    ``render`` is the box that the contour is drawn on, ``seg`` the tight box of the bone (the
+    render box if there is no bone) and ``union`` the box around both.
+    """
+    drawn = render_boxes(contour, margin, clip_low)
+    own = boxes(bone)
+    sides = [f"{x}{k}" for x in AXES for k in (0, 1)]
+    seg = drawn.select("vol_id", *[F.col(c).alias(f"r{c}") for c in sides]).join(own, "vol_id", "left").select("vol_id", *[F.coalesce(c, f"r{c}").alias(c) for c in sides])
+    named = lambda df, name: df.select("vol_id", F.lit(name).alias("grid"), *sides)
+    return named(drawn, "render").unionByName(named(seg, "seg")).unionByName(named(union_boxes(drawn, seg), "union"))
+
+
 def render_boxes(contour: DataFrame, margin: int = 2, clip_low: int | None = 0) -> DataFrame:
     """The box that a rendered contour is drawn on.
 

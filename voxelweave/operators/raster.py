@@ -221,9 +221,17 @@ def gauss(values: np.ndarray, sigma: float, support: int) -> np.ndarray:
     return out
 
 
+def whole_number(value: float, name: str) -> int:
+    """A native threshold; one that is no whole number is refused, not cut."""
+    number = float(value)
+    if not np.isfinite(number) or number != int(number):
+        raise ValueError(f"{name}: {value!r} is no whole native number; convert densities first")
+    return int(number)
+
+
 def gauss_band(r: Raster, sigma: float, support: int, low: int, high: int, value: int = SET) -> Raster:
     """Smoothed values within ``low .. high``, on the box that the support leaves."""
-    s = int(support)
+    s, low, high = int(support), whole_number(low, "low"), whole_number(high, "high")
     if s < 1 or min(r.shape) <= 2 * s:
         raise ValueError(f"support {support} does not fit into a volume of {r.shape}")
     inner = gauss(r.data, sigma, s)[s:-s, s:-s, s:-s]

@@ -499,9 +499,14 @@ def slicewise_extract_relational(spark, sf):
     return V.share_filter(labels, 2.0, 40.0).select(*KEYS)
 
 
-@query()
+_BARS = "x <= 6 * (z // 3) + (y // 4) AND z % 3 = 0 AND y % 4 = 1"
+
+
+@query(f"~ bars AS (SELECT *, 1 + 6 * (z // 3) + (y // 4) AS n FROM lat WHERE {_BARS}), r AS (SELECT *, dense_rank() OVER (PARTITION BY vol_id ORDER BY n DESC) AS k FROM bars) SELECT vol_id, z, y, x, 127 AS v FROM r WHERE k BETWEEN 2 AND 4")
 def rank_extract(spark, sf):
-    return W.keep_ranks(sparse(spark, sf), GRID, 1, 2)
+    """Components by rank of size: bars of 1 to 24 voxels, so no two are of one size."""
+    bars = G.lattice(grey(spark, sf), GRID).where("x <= 6 * (z DIV 3) + (y DIV 4) AND z % 3 = 0 AND y % 4 = 1").withColumn("v", F.lit(1))
+    return W.keep_ranks(bars, GRID, 2, 4)
 
 
 @query(_SIX + """, edge AS (SELECT DISTINCT vol_id, r FROM sized WHERE z IN (0, 11) OR y IN (0, 23) OR x IN (0, 23))
@@ -718,7 +723,7 @@ def ct_po(spark, sf):
 @query()
 def morphometry(spark, sf):
     scan, contour, grid = cylinder(spark)
-    return evaluate(scan, contour, grid, Evaluation(compartments=_SMALL, maps=Maps(which=("TRAB_TH", "CORT_TH"))))
+    return evaluate(scan, contour, grid, Evaluation(compartments=_SMALL, maps=Maps(which=("TRAB_TH", "TRAB_SP", "TRAB_1N", "CORT_TH", "TRAB_TH_old"))))
 
 
 # ---- statistics
@@ -981,12 +986,6 @@ def vax_float_all(spark, sf):
     return _t(spark, sf, "events").select("event_id", X.vax_float((F.col("event_id") * 2654435761) % 4294967296).alias("value"))
 
 
-@query()
-def pseudonyms(spark, sf):
-    c = _t(spark, sf, "customer")
-    return c.select("c_custkey", *[X.pseudonym(F.col("c_name"), b"fixture key", f).alias(f) for f in ("hex", "digits", "code")])
-
-
 @query("SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9]+\\.[a-z]+') THEN 'mail' END, CASE WHEN regexp_matches(text, '[0-9]{3}[- ][0-9]{3}[- ][0-9]{4}') THEN 'phone' END], lambda x: x IS NOT NULL).array_to_string(' ') AS found FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9]+\\.[a-z]+') OR regexp_matches(text, '[0-9]{3}[- ][0-9]{3}[- ][0-9]{4}')")
 def identifier_scan(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "text")
@@ -1054,3 +1053,6 @@ def contour_timeline(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = _t(spark, sf, "events").withColumn("t", F.unix_timestamp("ts"))
     return e.select("event_id", D.interval_reading(F.col("t") - F.lag("t").over(w)).alias("reading"))
+
+
+from . import catalog_files  # noqa: E402, F401  (registers its queries)

@@ -1,7 +1,8 @@
 """The whole evaluation of scans, and its repetition with masks that were edited by hand.
 
-``evaluate`` takes the voxel tables of any number of scans; each scan is one task, and a
-scan that fails gives a row with the reason instead of failing the others.
+``evaluate_scans`` takes the slices of any number of scans, each on its own grid and with the
+calibration of its own log; ``evaluate`` takes voxel tables on one grid.  Each scan is one task,
+and a scan that fails, for whatever reason, gives a row with it instead of failing the others.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import raster as R
 from ..operators.contour import render
 from ..operators.grid import AXES, KEYS, Grid, raster_of
+from ..functions.text import calibration as log_calibration
 from ..operators.raster import Raster
 from .compartments import TIBIA, Calibration, Compartments, separate
 from .morphometry import Maps, Result, Segmentation, density, morphometry, segment
@@ -136,6 +138,10 @@ def measure(grey: Raster, el_zyx, m: Masks, p: Evaluation) -> tuple[Result, dict
     return out, layers
 
 
+def _reason(e: Exception) -> str:
+    return str(e) if isinstance(e, (ValueError, RuntimeError)) and str(e) else f"{type(e).__name__}: {e}"
+
+
 def evaluate(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Evaluation | None = None) -> DataFrame:
     """``vol_id, parameter, value, note``: the metrics of each scan in long form."""
     p = params or Evaluation()
@@ -147,11 +153,145 @@ def evaluate(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Evaluat
         scan, contour = (raster_of(*(c[layer == k] for c in columns), grid) for k in (0, 1))
         try:
             metrics = measure(scan, grid.el, find_masks(scan, contour.on, p), p)[0].metrics
-        except (ValueError, RuntimeError) as e:
-            metrics = {"error": str(e)}
+        except Exception as e:  # one scan's failure is a result
+            metrics = {"error": _reason(e)}
         names = sorted(metrics)
         number = [None if isinstance(metrics[n], str) else float(metrics[n]) for n in names]
         note = [metrics[n] if isinstance(metrics[n], str) else None for n in names]
         return pa.table({"vol_id": pa.array([key[0].as_py()] * len(names), pa.string()), "parameter": pa.array(names, pa.string()), "value": pa.array(number, pa.float64()), "note": pa.array(note, pa.string())})
 
     return part(grey, 0).unionByName(part(periosteal, 1)).groupBy("vol_id").applyInArrow(run, "vol_id string, parameter string, value double, note string")
+
+
+# ---- scans on grids of their own
+
+
+#: What an evaluation gives: metrics (``value`` or ``note``), and layers as slices of short integers.
+RESULT = "vol_id string, name string, value double, note string, z int, oy int, ox int, ny int, nx int, ez double, ey double, ex double, data binary"
+CALIBRATION = ("slope", "intercept", "mu_scaling")
+SLICE = ("z", "oy", "ox", "ny", "nx", "ez", "ey", "ex", "dtype", "data")
+
+
+def headers(slices: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
+    """``vol_id, slope, intercept, mu_scaling, source``: each scan's calibration.
+
+    It is what the scan's own log states (kept in its first slice), with ``overrides`` in place of
+    single values; a value that neither gives is null.
+    """
+    own = log_calibration(F.max("log"))
+    values = {n: F.coalesce(F.lit((overrides or {}).get(n)).cast("double"), own[n]) for n in CALIBRATION}
+    source = F.array_join(F.array_compact(F.array(F.when(own["slope"].isNotNull(), F.lit("log")), F.lit("override") if overrides else F.lit(None).cast("string"))), "+")
+    out = slices.groupBy("vol_id").agg(*[v.alias(n) for n, v in values.items()], source.alias("source"))
+    return out.select(F.col("vol_id").alias("vol_id"), *CALIBRATION, "source")  # a column of its own, so that it can meet the slices again
+
+
+def thresholds(scans: DataFrame, **densities: float) -> DataFrame:
+    """Native numbers of densities in mg for each scan's calibration, rounded half to even."""
+    native = lambda mg: F.rint((F.lit(float(mg)) - F.col("intercept")) / F.col("slope") * F.col("mu_scaling")).cast("int")
+    return scans.select("vol_id", *[native(mg).alias(n) for n, mg in densities.items()])
+
+
+def stack(slices: list[dict]) -> tuple[Raster, tuple[float, float, float]]:
+    """The volume of some slices on the box that holds them all, and its voxel size."""
+    if not slices:
+        raise ValueError("no slices")
+    low = tuple(min(s[k] for s in slices) for k in ("z", "oy", "ox"))
+    high = (max(s["z"] for s in slices) + 1, max(s["oy"] + s["ny"] for s in slices), max(s["ox"] + s["nx"] for s in slices))
+    out = np.zeros(tuple(h - l for l, h in zip(low, high, strict=True)), np.dtype(slices[0]["dtype"]))
+    for s in slices:
+        y, x = s["oy"] - low[1], s["ox"] - low[2]
+        out[s["z"] - low[0], y : y + s["ny"], x : x + s["nx"]] = np.frombuffer(s["data"], s["dtype"]).reshape(s["ny"], s["nx"])
+    first = slices[0]
+    return Raster(out, low), (first["ez"], first["ey"], first["ex"])
+
+
+def _layer_rows(vol_id: str, name: str, r: Raster, el) -> list[tuple]:
+    rows = []
+    for k in np.flatnonzero(r.on.any(axis=(1, 2))).tolist():
+        plane = np.ascontiguousarray(r.data[k].astype("<i2"))
+        rows.append((vol_id, name, None, None, r.origin[0] + k, r.origin[1], r.origin[2], *plane.shape, *el, plane.tobytes()))
+    return rows
+
+
+def _aligned(r: Raster, el, grey: Raster, own, what: str) -> np.ndarray:
+    if any(abs(a - b) > 1e-5 * b for a, b in zip(el, own, strict=True)):
+        raise ValueError(f"voxels of the {what} of {el} mm do not match the scan's {own}")
+    return r.like(grey) != 0
+
+
+def evaluate_scans(scans: DataFrame, contours: DataFrame, params: Evaluation | None = None, overrides: dict[str, float] | None = None, edits: dict[str, DataFrame] | None = None, masks: DataFrame | None = None) -> DataFrame:
+    """RESULT rows of each scan: its metrics, masks (``periosteal, cort, trab``), segmentation, maps and pores.
+
+    ``scans`` and ``contours`` are slices as the readers give them, with ``vol_id`` in place of the
+    path.  Every scan keeps its grid and voxel size, and is measured with the calibration of its
+    own log; ``overrides`` put single values in its place, and a scan without either is an error.
+    With ``edits`` (slices of edited masks by kind: periosteal, trab or cort) and ``masks`` (the
+    layers of an earlier result) a scan is measured anew with the masks that follow from its edits;
+    scans without an edit are left out.  One shuffle of slices by ``vol_id``, as binary planes.
+    """
+    p, redo = params or Evaluation(), edits is not None
+    fields = ["vol_id", "layer", *SLICE]
+    part = lambda df, name: df.withColumn("layer", F.lit(name)).select(*fields)
+    rows = part(scans, "grey")
+    if not redo:
+        rows = rows.unionByName(part(contours, "contour"))
+    else:
+        whole = masks.where(F.col("name").isin("periosteal", "cort", "trab")).withColumns({"dtype": F.lit("i2"), "layer": F.col("name")}).select(*fields)
+        changed = None
+        for kind, df in edits.items():
+            some = part(df, f"new {kind}")
+            changed = some if changed is None else changed.unionByName(some)
+        ids = changed.select("vol_id").distinct()
+        rows = rows.unionByName(whole).join(ids, "vol_id", "left_semi").select(*fields).unionByName(changed)
+
+    def run(key, slices, header):
+        vol_id = key[0].as_py()
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), *[pa.int32()] * 5, *[pa.float64()] * 3, pa.binary()]
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        if not slices.num_rows:  # a header without an edit
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+        try:
+            layers: dict[str, list[dict]] = {}
+            for r in slices.to_pylist():
+                layers.setdefault(r["layer"], []).append(r)
+            if "grey" not in layers:
+                raise ValueError("there is no scan of this name")
+            grey, el = stack(layers.pop("grey"))
+            values = header.to_pylist()[0] if header.num_rows else {}
+            if missing := [n for n in CALIBRATION if values.get(n) is None]:
+                raise ValueError(f"the scan's log has no calibration ({', '.join(missing)}); give calibration values")
+            own = replace(p, calibration=Calibration(*(values[n] for n in CALIBRATION)))
+            others = {n: _aligned(*stack(s), grey, el, n) for n, s in layers.items()}
+            if not redo:
+                if "contour" not in others:
+                    raise ValueError("there is no contour of this name")
+                found = find_masks(grey, others["contour"], own)
+            else:
+                empty = np.zeros(grey.shape, bool)
+                before = Masks(*(others.get(n, empty) for n in ("periosteal", "cort", "trab")))
+                check_masks(before)
+                found = apply_edits(grey, before, own, **{n.removeprefix("new "): m for n, m in others.items() if n.startswith("new ")})
+            check_masks(found)
+            result, made = measure(grey, el, found, own)
+            metrics = result.metrics | {"calibration": values["source"]} | ({"edited": " ".join(found.edited)} if found.edited else {})
+            drawn = {n: grey.with_on(m, 1) for n, m in (("periosteal", found.periosteal), ("cort", found.cort), ("trab", found.trab))}
+            drawn |= {n: Raster(m.astype(np.int16), grey.origin) for n, m in made.items()} | result.maps
+            out = [row for n, r in drawn.items() for row in _layer_rows(vol_id, n, r, el)]
+        except Exception as e:  # one scan's failure is a result
+            metrics, out = {"error": _reason(e)}, []
+        none = (None,) * 9
+        out += [(vol_id, n, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None, *none) for n, v in sorted(metrics.items())]
+        return pa.table({n: pa.array(list(c), k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
+
+    return rows.groupBy("vol_id").cogroup(headers(scans, overrides).groupBy("vol_id")).applyInArrow(run, RESULT)
+
+
+def metrics_of(results: DataFrame) -> DataFrame:
+    """``vol_id, parameter, value, note`` of RESULT rows."""
+    return results.where("data IS NULL").select("vol_id", F.col("name").alias("parameter"), "value", "note")
+
+
+def layers_of(results: DataFrame, *names: str) -> DataFrame:
+    """The slices of some layers (all, if none is named)."""
+    out = results.where("data IS NOT NULL")
+    return out.where(F.col("name").isin(*names)) if names else out

@@ -131,6 +131,13 @@ def new_header(grid: Grid, log: str = "") -> bytes:
     return struct.pack("<5i", 20, 4 * len(fields), len(text), 0, 0) + struct.pack(f"<{len(fields)}i", *fields) + text
 
 
+def encode_volume_030(data: np.ndarray, grid: Grid, log: str = "") -> bytes:
+    """A volume of the newer version: one, two or four bytes a voxel; sizes in millionths of a mm."""
+    fields = [0, 0, *grid.origin[::-1], *grid.shape[::-1], *[0] * 15, *[round(e * 1e6) for e in grid.el[::-1]]]
+    head, text, body = struct.pack(f"<{len(fields)}q", *fields), log.encode("latin-1"), np.ascontiguousarray(data).tobytes()
+    return VERSION_030.ljust(16, b"\0") + struct.pack("<5q", 40, len(head), len(text), len(body), 0) + head + text + body
+
+
 # ---- contour files
 
 
@@ -151,6 +158,20 @@ def decode_contours(raw: bytes) -> list[dict]:
     return out
 
 
+def encode_contours(contours: list[dict]) -> bytes:
+    """A contour file of ``z, x0, y0, codes``, slices in order."""
+    out = [b"\0" * 512]
+    for z in sorted({c["z"] for c in contours}):
+        own = [c for c in contours if c["z"] == z]
+        out.append(struct.pack("<14i", 1, 0, 0, z, *[0] * 9, len(own)))
+        for c in own:
+            packed = pack_codes(c["codes"])
+            fields = [0] * 17
+            fields[13], fields[14], fields[15], fields[16] = c["x0"], c["y0"], len(c["codes"]) + 1, len(packed)
+            out += [struct.pack("<17i", *fields), packed]
+    return b"".join(out)
+
+
 def pack_codes(codes: list[int]) -> bytes:
     """Three bits for each code, least bit first."""
     bits = np.array([[c & 1, c >> 1 & 1, c >> 2 & 1] for c in codes], np.uint8).ravel()
@@ -299,8 +320,18 @@ def decode_nifti(raw: bytes) -> tuple[np.ndarray, Grid]:
 VOLUME_ROWS = "path string, z int, oy int, ox int, ny int, nx int, ez double, ey double, ex double, dtype string, log string, data binary"
 
 
-def read_volumes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row for each slice of each scanner, NRRD or NIfTI volume under ``path``."""
+def put(spark: SparkSession, path: str, raw: bytes) -> None:
+    """Write one file, through Hadoop, so to any store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
+def read_volumes(spark: SparkSession, path: str, glob: str = "*", deep: bool = False) -> DataFrame:
+    """One row for each slice of each scanner, NRRD or NIfTI volume under ``path`` (``deep``: and its subfolders)."""
 
     def run(batches):
         for batch in batches:
@@ -309,13 +340,33 @@ def read_volumes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                 kind = image.data.dtype.str.lstrip("<|=")
                 (oz, oy, ox), (ez, ey, ex) = image.origin, image.el
                 rows = [(name, oz + k, oy, ox, *plane.shape, ez, ey, ex, kind, image.log if k == 0 else "", np.ascontiguousarray(plane).tobytes()) for k, plane in enumerate(image.data)]
-                kinds = [pa.string(), *[pa.int32()] * 5, *[pa.float64()] * 3, pa.string(), pa.string(), pa.binary()]
-                names = [c.split()[0] for c in VOLUME_ROWS.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield _slice_batch(rows)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(deep).lower()).load(path)
+    return files.select("path", "content").mapInArrow(run, VOLUME_ROWS)
+
+
+def read_segments(spark: SparkSession, path: str, name: str | None = None, label: int | None = None, glob: str = "*") -> DataFrame:
+    """Slices (1 where set) of one segment of each NRRD file under ``path``, chosen as by ``select_segment``."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                data, fields = decode_nrrd(content)
+                grid = nrrd_grid(data.shape[:3], fields)
+                on = select_segment(data, fields, name, label).astype(np.uint8)
+                (oz, oy, ox), (ez, ey, ex) = grid.origin, grid.el
+                rows = [(file, oz + k, oy, ox, *plane.shape, ez, ey, ex, "u1", "", np.ascontiguousarray(plane).tobytes()) for k, plane in enumerate(on)]
+                yield _slice_batch(rows)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(run, VOLUME_ROWS)
 
 
+def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), *[pa.int32()] * 5, *[pa.float64()] * 3, pa.string(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in VOLUME_ROWS.split(", ")])
+
+
 def decode_any(name: str, content: bytes) -> Image:
     lower = name.lower()
     if lower.endswith(".nrrd"):

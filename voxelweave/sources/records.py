@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,21 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType, exc
     return out.where(~F.col(key).isin(excluded)) if excluded else out
 
 
+def pooled_records(spark: SparkSession, folders: dict[str, str], schema: str | T.StructType, needed: str | None = None, excluded: list[str] | None = None, key: str = "id") -> DataFrame:
+    """Records of several folders with the ``pool`` each is from; those without the ``needed`` part are left out.
+
+    Of an id that several folders hold the one of the first folder stays.
+    """
+    found = None
+    for place, (pool, path) in enumerate(folders.items()):
+        own = read_records(spark, path, schema, excluded, key).withColumns({"pool": F.lit(pool), "__place": F.lit(place)})
+        found = own if found is None else found.unionByName(own)
+    if needed:
+        found = found.where(F.col(needed).isNotNull())
+    first = Window.partitionBy(key).orderBy("__place", "source_file")
+    return found.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__place", "__first")
+
+
 def read_keyed(spark: SparkSession, path: str, key: str, numbers: list[str]) -> DataFrame:
     """A CSV table by key; what is no number becomes null."""
     raw = spark.read.csv(path, header=True)
