@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidied
 
 _INF = 1 << 62
 _NONE = 1 << 30
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
                 out.append(pa.array([own.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*[batch.column(taken.index(c)) for c in rest], *out], [*rest, *new])
 
-    return docs.select(*taken).mapInArrow(run, schema)
+    return docs.select(*taken).mapInArrow(tidied(run), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -445,7 +445,7 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", out_
             texts = [own.decode(flat[a:b]) if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, out_col])
 
-    return coded.select(*rest).mapInArrow(run, field.schema)
+    return coded.select(*rest).mapInArrow(tidied(run), field.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

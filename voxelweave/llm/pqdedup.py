@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, cut, prepare, public_id, small
+from .common import NO_ID, cut, prepare, public_id, small, tidied
 from .components import components, local_labels
 from .vectors import matrices
 
@@ -279,7 +279,7 @@ def _links(classes: DataFrame, rows: int, cosine: float, margin: float | None, s
                     ["cell", "own", "cid", "did", "n", "vector", "code", "error", "seen"],
                 )
 
-    dealt = cut(classes.select("cid", "did", "n", "v").mapInArrow(index, "cell long, own long, cid long, did long, n long, vector binary, code binary, error double, seen array<long>"))
+    dealt = cut(classes.select("cid", "did", "n", "v").mapInArrow(tidied(index), "cell long, own long, cid long, did long, n long, vector binary, code binary, error double, seen array<long>"))
     sizes = cut(dealt.groupBy("cell").agg(F.ceil(F.count_if(F.col("own") == F.col("cell")) / LIST_BLOCK).cast("int").alias("lists"), F.ceil(F.count("*") / VISIT_BLOCK).cast("int").alias("visits")).where("lists > 0"))
     rows_ = dealt.join(small(sizes), "cell")
     side = F.pmod(F.xxhash64("cid"), F.col("lists")), F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("visits"))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, prepare
+from .common import cut, drop_cut, prepare, tidied
 
 #: Labelled rows of either label that are used at most.
 SAMPLE_ROWS = 3000
@@ -127,7 +127,7 @@ def pieces(texts: DataFrame) -> pa.Table:
             found = ["\n".join(line for line in t.split("\n") if digest(line.encode(), 42) not in known).encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), batch.column("h"), pa.array([middle(t, DOC_BYTES) for t in found], pa.binary())], ["__id", "q", "h", "piece"])
 
-    out = texts.select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "h", "text").mapInArrow(run, "__id long, q int, h long, piece binary")
+    out = texts.select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "h", "text").mapInArrow(tidied(run), "__id long, q int, h long, piece binary")
     return out.toArrow().sort_by([("h", "ascending"), ("__id", "ascending"), ("piece", "ascending")])
 
 
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = batch_sizes(batch.column("text").to_pylist(), model, own)
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), *(pa.array(x[:, k]) for k in range(3))], ["__id", "q", "bad", "good", "own"])
 
-    rows = sample.where(~half).select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "text").mapInArrow(run, "__id long, q int, bad double, good double, own double").toArrow().sort_by([(c, "ascending") for c in ("__id", "bad", "good", "own")])
+    rows = sample.where(~half).select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "text").mapInArrow(tidied(run), "__id long, q int, bad double, good double, own double").toArrow().sort_by([(c, "ascending") for c in ("__id", "bad", "good", "own")])
     for t in (picked, sample):
         drop_cut(t)
     q = np.asarray(rows.column("q")).astype(float)
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             s = score(model, differences(batch_sizes(batch.column(rest.index(text_col)).to_pylist(), model, own), model.mean))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
 
-    return docs.select(*rest).mapInArrow(run, kind)
+    return docs.select(*rest).mapInArrow(tidied(run), kind)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, drop_cut, keyed, prepare, public_id, small
+from .common import NO_ID, cut, drop_cut, keyed, prepare, public_id, small, tidied
 from .components import components, local_labels
 from .graytree import linked
 from .wordhash import mix, split_words, window_hashes, word_hashes
@@ -34,13 +34,13 @@ NODE_CODES = 40_000
 #: Codes that a top node has on average at most before masks of more bits are taken.
 CROWD = 4096
 #: Rows a task of the search gets on average.
-TASK_ROWS = 150_000
+TASK_ROWS = 100_000
 #: Fingerprints of a set, and the differing bits of 64 and of 128 up to which two sets are
 #: compared.  At similarity 0.8 they are 9.7 +- 2.9 and 19.4 +- 4.1.
 SKETCHES, SKETCH_LIMIT, PAIR_LIMIT = 10, 17, 30
 #: Shingles of one block of a group, of the part of a group that may meet every block, and of a
 #: task, in the comparison of sets; and how many sets of a group all its blocks hold, on average.
-BLOCK_SHINGLES, REST_SHINGLES, TASK_SHINGLES, PIVOTS = 16_000, 500_000, 2_000_000, 8
+BLOCK_SHINGLES, REST_SHINGLES, TASK_SHINGLES, PIVOTS = 16_000, 500_000, 500_000, 8
 
 
 def bit_counts(hashes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, words) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), _signed(fps)], ["did", "rk", "fp"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "did long, rk long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(tidied(run), "did long, rk long, fp long")
 
 
 # ---- the index
@@ -159,7 +159,7 @@ def search(nodes: DataFrame, tables: int, rows: int, limit: int = 3, wide_limit:
         far = label != every
         yield pa.RecordBatch.from_arrays([pa.array(ids[far], pa.int64()), pa.array(ids[label[far]], pa.int64())], ["a", "b"])
 
-    return dealt.repartition(max(1, -(-tables * rows // TASK_ROWS), min(12, rows // 500)), "key").mapInArrow(run, "a long, b long")
+    return dealt.repartition(max(1, -(-tables * rows // TASK_ROWS), min(12, rows // 500)), "key").mapInArrow(tidied(run), "a long, b long")
 
 
 def links(classes: DataFrame, limit: int = 3, node_codes: int = NODE_CODES) -> DataFrame:
@@ -321,10 +321,10 @@ def _forests(keys: DataFrame, members: DataFrame, words: int, similarity: float)
             yield pa.RecordBatch.from_arrays([pa.array(fp[i:j][once[a]], pa.int64()), pa.array(fp[i:j][once[b]], pa.int64())], ["a", "b"])
 
     texts = keys.join(small(members.select("did", "rk", "fp", "tasks")), ["did", "rk"])
-    dealt = texts.mapInArrow(sets, "fp long, tasks array<long>, shingles binary").select(F.explode("tasks").alias("key"), "fp", "shingles")
+    dealt = texts.mapInArrow(tidied(sets), "fp long, tasks array<long>, shingles binary").select(F.explode("tasks").alias("key"), "fp", "shingles")
     total = members.agg(F.sum(F.col("n") * F.size("tasks"))).first()[0] or 0
     parts = max(keys.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SHINGLES))
-    return cut(dealt.repartition(parts, "key").mapInArrow(compare, "a long, b long"))
+    return cut(dealt.repartition(parts, "key").mapInArrow(tidied(compare), "a long, b long"))
 
 
 def _compared(keys: DataFrame, group: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -379,7 +379,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.fromiter(map(set_key, sets), np.uint64, len(sets))
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), _signed(fps), pa.array([len(s) for s in sets], pa.int64()), *(_signed(codes[:, k]) for k in range(SKETCHES))], ["did", "rk", "fp", "n", *names])
 
-    rows = cut(keys.mapInArrow(first, "did long, rk long, fp long, n long, " + ", ".join(f"{c} long" for c in names)))
+    rows = cut(keys.mapInArrow(tidied(first), "did long, rk long, fp long, n long, " + ", ".join(f"{c} long" for c in names)))
     classes = representatives(rows, "n", *names)
     count = classes.count()
     quarter = masks(0, 3)

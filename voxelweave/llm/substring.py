@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, fits, keyed, prepare, public_id, small, with_side
+from .common import cut, drop_cut, fits, keyed, prepare, public_id, small, tidied, with_side
 from .wordhash import mix, sliding, split_words, window_hashes, word_hashes
 
 _OUT_ROWS = 100_000
@@ -73,7 +73,7 @@ def signatures(base: DataFrame, length: int, window: int) -> DataFrame:
                 ["did", "rk", "n_words", "c1", "c2", "anchors"],
             )
 
-    return base.mapInArrow(run, "did long, rk long, n_words long, c1 long, c2 long, anchors array<long>")
+    return base.mapInArrow(tidied(run), "did long, rk long, n_words long, c1 long, c2 long, anchors array<long>")
 
 
 def live_windows(hashes: np.ndarray, offsets: np.ndarray, length: int, window: int, known: pa.Array) -> np.ndarray:
@@ -143,7 +143,7 @@ def next_level(rows: DataFrame, length: int, longer: int, window: int) -> DataFr
             else:
                 yield _spans(batch, hashes, offsets, base, window, live, longer)
 
-    return rows.mapInArrow(run, "h1 long, h2 long, did long, rk long, pos int" if longer == window else "did long, rk long, start int, words binary, anchors array<long>")
+    return rows.mapInArrow(tidied(run), "h1 long, h2 long, did long, rk long, pos int" if longer == window else "did long, rk long, start int, words binary, anchors array<long>")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -230,7 +230,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["did", "rk", "n_words", "n_removed", "kept_text"])
 
-    return with_side(keyed(docs, id_col, text_col), side, ["did", "rk"]).mapInArrow(run, "did long, rk long, n_words long, n_removed long, kept_text string")
+    return with_side(keyed(docs, id_col, text_col), side, ["did", "rk"]).mapInArrow(tidied(run), "did long, rk long, n_words long, n_removed long, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

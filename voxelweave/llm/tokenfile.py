@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, larger, vocabulary_path
-from .common import cut, drop_cut, prepare, public_id, row_id, shared_dir, small
+from .common import cut, drop_cut, prepare, public_id, row_id, shared_dir, small, tidied
 
 #: Fixed values of the format: magic numbers and fields.
 SKIP_MAGIC = 0x184D2A50
@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col:
                 held, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["part"])
 
-    out = rows.repartitionByRange(files, "did", "h").sortWithinPartitions("did", "h").select("did", "text").mapInArrow(run, "part binary")
+    out = rows.repartitionByRange(files, "did", "h").sortWithinPartitions("did", "h").select("did", "text").mapInArrow(tidied(run), "part binary")
     out.select(F.col("part").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("encoding", "UTF-8").text(folder)
     return folder
 
@@ -163,7 +163,7 @@ def index_files(spark: SparkSession, folder: str) -> DataFrame:
                     values = [name, int(table["did"].min()), int(table["did"].max()), len(table), int(table["n_tokens"].sum(dtype=np.int64))]
                     yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["file", "first", "last", "documents", "n_tokens"])
 
-    _contents(spark, folder).mapInArrow(run, "file string, first long, last long, documents long, n_tokens long").write.mode("overwrite").parquet(f"{folder}/_index")
+    _contents(spark, folder).mapInArrow(tidied(run), "file string, first long, last long, documents long, n_tokens long").write.mode("overwrite").parquet(f"{folder}/_index")
     return spark.read.parquet(f"{folder}/_index")
 
 
@@ -200,7 +200,7 @@ def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = Non
                     )
 
     kind = "did long, file string, place long, n_tokens long, ids array<long>"
-    return _contents(spark, paths).mapInArrow(run, kind) if paths else spark.createDataFrame([], kind)
+    return _contents(spark, paths).mapInArrow(tidied(run), kind) if paths else spark.createDataFrame([], kind)
 
 
 def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,7 +222,7 @@ def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     s = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(reader.table["did"][s]), pa.array([name] * len(counts[s])), pa.array((np.cumsum(counts) - counts)[s]), pa.array(counts[s]), pa.array(crcs[s])], ["did", "file", "before", "n_tokens", "ids_crc32"])
 
-    rows = cut(_contents(spark, folder).mapInArrow(run, "did long, file string, before long, n_tokens long, ids_crc32 long").withColumn("number", _number()).drop("file"))
+    rows = cut(_contents(spark, folder).mapInArrow(tidied(run), "did long, file string, before long, n_tokens long, ids_crc32 long").withColumn("number", _number()).drop("file"))
     sums = cut(rows.groupBy("number").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.floor(F.col("number") / FILE_GROUP)))
     ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", ahead(Window.orderBy("part")).alias("base"))  # a row for each 1,024 files

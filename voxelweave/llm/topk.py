@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, prepare
+from .common import cut, drop_cut, prepare, tidied
 from .vectors import matrices
 
 #: Queries that are scored at a time, queries and numbers of a pass, and bins of a histogram.
@@ -107,7 +107,7 @@ def _histograms(rows: DataFrame, block: _Pass, scale: float, k: int) -> DataFram
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(q[s]), pa.array(b[s]), pa.array(total[q[s], b[s]])], ["query", "bin", "n"])
 
-    return rows.mapInArrow(run, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidied(run), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
 
 
 def _located(counts: DataFrame, block: _Pass, k: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _filtered(rows: DataFrame, block: _Pass, scale: float, k: int) -> DataFrame:
             q, v, s = (x[i : i + 100_000] for x in held)
             yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(tidied(run), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
