@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_no_event_is_left_out(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id")
-    got = catalog.queries()["vax_float_all"](spark, SF)
+    got = catalog.queries()["vax_float"](spark, SF)
     assert got.count() == events.count() and got.join(events, "event_id", "left_anti").count() == 0
-    assert "where" not in catalog.oracle_sql()["vax_float_all"].lower().split("from f")[1]
+    assert "where" not in catalog.oracle_sql()["vax_float"].lower().split("from f")[1]
 
 
 def test_every_exponent(spark):

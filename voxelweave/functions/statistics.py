@@ -19,9 +19,13 @@ def _all(*keys: str) -> Window:
 
 
 def _centred(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """``df`` with the difference of ``column`` from its group's mean: an aggregate and a join."""
+    """``df`` with the difference of ``column`` from its group's mean: an aggregate and a join.
+
+    Groups grow with the data, so the engine chooses the join by their size as measured; only
+    the one row of a mean over everything is broadcast in any case.
+    """
     means = df.groupBy(*keys).agg(F.avg(column).alias("__m"))
-    joined = df.join(F.broadcast(means), keys) if keys else df.crossJoin(F.broadcast(means))
+    joined = df.join(means, keys) if keys else df.crossJoin(F.broadcast(means))
     return joined.withColumn(name, F.col(column) - F.col("__m")).drop("__m")
 
 
@@ -115,7 +119,7 @@ def voxelwise_regression(counts: DataFrame, *keys: str) -> DataFrame:
     """Weighted least squares of ours on the reference over all cells but (0, 0)."""
     cells = counts.where("NOT (ours = 0 AND ref = 0)").select(*keys, F.col("n").cast("double").alias("w"), F.col("ours").cast("double").alias("p"), F.col("ref").cast("double").alias("q"))
     means = cells.groupBy(*keys).agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("mp"), (F.sum(F.col("w") * F.col("q")) / F.sum("w")).alias("mq"))
-    joined = cells.join(F.broadcast(means), list(keys)) if keys else cells.crossJoin(F.broadcast(means))
+    joined = cells.join(means, list(keys)) if keys else cells.crossJoin(F.broadcast(means))
     dp, dq = F.col("p") - F.col("mp"), F.col("q") - F.col("mq")
     out = joined.groupBy(*keys).agg(F.sum("w").cast("long").alias("n"), F.sum(F.col("w") * dq * dq).alias("sqq"), F.sum(F.col("w") * dp * dq).alias("spq"), F.sum(F.col("w") * dp * dp).alias("spp"), F.first("mp").alias("mp"), F.first("mq").alias("mq"), (F.sum(F.when(F.col("p") == F.col("q"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("exact_fraction"))
     slope = F.when(F.col("sqq") > 0, F.col("spq") / F.col("sqq"))
@@ -173,7 +177,7 @@ def ols(pairs: DataFrame, *keys: str) -> DataFrame:
 def icc(pairs: DataFrame, *keys: str, degenerate: float = float("nan")) -> DataFrame:
     """ICC(2,1): two-way random effects, absolute agreement, two raters."""
     means = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    joined = pairs.join(F.broadcast(means), list(keys)) if keys else pairs.crossJoin(F.broadcast(means))
+    joined = pairs.join(means, list(keys)) if keys else pairs.crossJoin(F.broadcast(means))
     grand, row = (F.col("mx") + F.col("my")) / 2, (F.col("x") + F.col("y")) / 2
     error = lambda v, m: (F.col(v) - row - F.col(m) + grand) * (F.col(v) - row - F.col(m) + grand)
     out = joined.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(2 * (row - grand) * (row - grand)).alias("rows"), F.sum(error("x", "mx") + error("y", "my")).alias("errors"), F.first(grand).alias("g"), F.first("mx").alias("mx"), F.first("my").alias("my"))
