@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, pqdedup, quality, sharding, simhash, substring, tokenfile, topk
+from . import bpe, divergence, filters, lines, mixing, nndescent, pqdedup, quality, sharding, simhash, substring, tokenfile, topk
 from .common import table
 
 
@@ -46,9 +46,21 @@ def op10_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark, sf_dir):
+    return nndescent.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filters.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": substring.SQL, "op3_embedding_dedup": pqdedup.SQL, "op6_line_dedup": lines.SQL, "op8_top_k": topk.SQL}
+    return {"op2_substring_dedup": substring.SQL, "op3_embedding_dedup": pqdedup.SQL, "op6_line_dedup": lines.SQL, "op8_top_k": topk.SQL, "op12_source_divergence": divergence.SQL, "op13_filter_audit": filters.SQL}
