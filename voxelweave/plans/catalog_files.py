@@ -1,7 +1,7 @@
 """Registered queries over files (written from the fixtures and read back), and of smaller operators.
 
-The files of a fixture are written through Hadoop into the shared folder; only the six small
-volumes of the fixtures are ever gathered for that.
+Volumes are written by the executors into the shared folder and read by slabs, both through the
+``volume`` data source; only contour chains and small records are gathered to be written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import json
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +18,10 @@ from ..functions import statistics as S
 from ..functions import text as X
 from ..operators import grid as G
 from ..operators import voxel as V
-from ..operators.grid import KEYS, Grid
+from ..operators.grid import AXES, KEYS, Grid
 from ..sources import images as I
 from ..sources import records as R
+from ..sources import volumes as VF
 from .catalog import _DIAMOND, GRID, _diamond, _t, grey, mask, part, query, shifted, sparse
 from .workflow import headers, thresholds
 
@@ -31,20 +31,14 @@ _EL = (0.06069973, 0.06069973, 0.06069973)
 def _folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.gettempdir() + "/voxelweave-files"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _arrays(voxels: DataFrame, kind=np.int16) -> dict[str, np.ndarray]:
-    out: dict[str, np.ndarray] = {}
-    for r in voxels.collect():
-        out.setdefault(r.vol_id, np.zeros(GRID.shape, kind))[r.z, r.y, r.x] = r.v
-    return out
-
-
-def _written(spark, name: str, ending: str, volumes: dict[str, np.ndarray], encode) -> str:
+def _written(spark, name: str, ending: str, volumes: dict[str, list[dict]], encode) -> str:
     folder = _folder(spark, name)
     for vol_id, data in volumes.items():
         I.put(spark, f"{folder}/{vol_id}.{ending}", encode(vol_id, data))
@@ -56,8 +50,12 @@ def _named(df: DataFrame, column: str = "path") -> DataFrame:
     return df.withColumn(column, F.regexp_extract(column, r"([^/.]+)\.[^/]*$", 1))
 
 
-def _read(spark, folder: str) -> DataFrame:
-    return I.voxels(_named(I.read_volumes(spark, folder)))
+def _through(spark, voxels: DataFrame, ending: str, grid: Grid, dtype: str = "i2", segments: tuple[str, ...] = (), log: str = "") -> DataFrame:
+    """Slices of the fixture's volumes, moved to the grid's origin, written as files by the executors and read back."""
+    folder = _folder(spark, ending)
+    moved = voxels.select("vol_id", *[(F.col(a) + o).alias(a) for a, o in zip(AXES, grid.origin, strict=True)], "v")
+    VF.write_volumes(VF.planes(moved, grid, dtype, log), folder, ending, segments)
+    return VF.register(spark).read.format("volume").option("splitBytes", "4096").load(folder)
 
 
 # ---- volumes
@@ -65,36 +63,45 @@ def _read(spark, folder: str) -> DataFrame:
 
 @query("SELECT vol_id, z, y, x, v FROM mask")
 def aim_read(spark, sf):
-    """Volumes of the older version, written behind a header of their own and read back."""
-    grid = Grid(GRID.shape, GRID.origin, _EL)
-    return _read(spark, _written(spark, "aim", "aim", _arrays(mask(spark, sf)), lambda n, a: I.encode_volume(a, I.new_header(grid))))
+    """Volumes of the older version, one byte a voxel."""
+    return I.voxels(_through(spark, mask(spark, sf), "aim", Grid(GRID.shape, GRID.origin, _EL), "u1"), "vol_id")
 
 
 @query("SELECT vol_id, z, y, x, v FROM grey")
 def aim_v030_read(spark, sf):
-    grid = Grid(GRID.shape, GRID.origin, _EL)
-    return _read(spark, _written(spark, "aim030", "aim", _arrays(grey(spark, sf)), lambda n, a: I.encode_volume_030(a, grid)))
+    """Volumes of the newer version, two bytes a voxel."""
+    return I.voxels(_through(spark, grey(spark, sf), "aim", Grid(GRID.shape, GRID.origin, _EL)), "vol_id")
 
 
 @query("SELECT vol_id, z + 5 AS z, y - 3 AS y, x + 2 AS x, v FROM grey")
 def nrrd_read(spark, sf):
-    grid = Grid(GRID.shape, (5, -3, 2), _EL)
-    return _read(spark, _written(spark, "nrrd", "nrrd", _arrays(grey(spark, sf)), lambda n, a: I.encode_nrrd(a, grid)))
+    return I.voxels(_through(spark, grey(spark, sf), "nrrd", Grid(GRID.shape, (5, -3, 2), _EL)), "vol_id")
 
 
 @query("SELECT vol_id, z + 5 AS z, y - 3 AS y, x + 2 AS x, v FROM grey")
 def nifti_read(spark, sf):
-    grid = Grid(GRID.shape, (5, -3, 2), _EL)
-    return _read(spark, _written(spark, "nifti", "nii.gz", _arrays(grey(spark, sf)), lambda n, a: I.encode_nifti(a, grid)))
+    return I.voxels(_through(spark, grey(spark, sf), "nii.gz", Grid(GRID.shape, (5, -3, 2), _EL)), "vol_id")
+
+
+@query("SELECT vol_id, z, y, x, v FROM grey WHERE z BETWEEN 4 AND 6 AND vol_id IN ('AF', 'RF', 'NO')")
+def slab_read(spark, sf):
+    """Some slices of some volumes: other files are not opened and other slices not read."""
+    slices = _through(spark, grey(spark, sf), "nii", Grid(GRID.shape, GRID.origin, _EL))
+    return I.voxels(slices.where("z >= 4 AND z < 7 AND vol_id IN ('AF', 'RF', 'NO')"), "vol_id")
+
+
+@query("SELECT vol_id, z, y, x, CASE WHEN m.v IS NOT NULL THEN 2 ELSE 1 END AS v FROM shifted s FULL JOIN mask m USING (vol_id, z, y, x) WHERE z BETWEEN 0 AND 11 AND y BETWEEN 0 AND 23 AND x BETWEEN 0 AND 23")
+def layers_written(spark, sf):
+    """Two masks of every volume as one segmentation file each, the second over the first."""
+    both = V.overlay(shifted(spark, sf).withColumn("v", F.lit(1)), mask(spark, sf).withColumn("v", F.lit(2)))
+    return I.voxels(_through(spark, both, "seg.nrrd", Grid(GRID.shape, GRID.origin, _EL), "u1", ("moved", "own")), "vol_id")
 
 
 @query("SELECT vol_id, 0::INT AS oz, -4::INT AS oy, 7::INT AS ox, 12::INT AS nz, 24::INT AS ny, 24::INT AS nx, 61 AS el FROM (SELECT DISTINCT vol_id FROM grey)")
 def volume_headers(spark, sf):
     """Position, size and voxel size (in thousandths of a mm, rounded) of each file."""
-    grid = Grid(GRID.shape, (0, -4, 7), _EL)
-    slices = _named(I.read_volumes(spark, _written(spark, "head", "aim", _arrays(mask(spark, sf)), lambda n, a: I.encode_volume(a, I.new_header(grid)))))
-    out = slices.groupBy(F.col("path").alias("vol_id")).agg(F.min("z").alias("oz"), F.min("oy").alias("oy"), F.min("ox").alias("ox"), F.count("*").cast("int").alias("nz"), F.max("ny").alias("ny"), F.max("nx").alias("nx"), F.round(F.max("ex") * 1000).cast("int").alias("el"))
-    return out
+    slices = _through(spark, mask(spark, sf), "aim", Grid(GRID.shape, (0, -4, 7), _EL), "u1")
+    return slices.groupBy("vol_id").agg(F.min("z").alias("oz"), F.min("oy").alias("oy"), F.min("ox").alias("ox"), F.count("*").cast("int").alias("nz"), F.max("ny").alias("ny"), F.max("nx").alias("nx"), F.round(F.max("ex") * 1000).cast("int").alias("el"))
 
 
 _K = "(ascii(vol_id) % 7)"
@@ -103,14 +110,11 @@ _K = "(ascii(vol_id) % 7)"
 @query(f"SELECT vol_id, round_even((500 + 390::DOUBLE + {_K}) / (1600 + 10 * {_K}) * 8192, 0)::INT AS lower, round_even((3000 + 390::DOUBLE + {_K}) / (1600 + 10 * {_K}) * 8192, 0)::INT AS upper FROM (SELECT DISTINCT vol_id FROM grey)")
 def scan_thresholds(spark, sf):
     """Native thresholds of every scan from the calibration in its own log."""
-    grid = Grid(GRID.shape, GRID.origin, _EL)
-
-    def encode(name, data):
-        k = ord(name[0]) % 7
-        return I.encode_volume(data, I.new_header(grid, f"Mu_Scaling   8192\nDensity: slope {1600 + 10 * k}\nDensity: intercept {-390 - k}\n"))
-
-    slices = _named(I.read_volumes(spark, _written(spark, "logs", "aim", _arrays(mask(spark, sf)), encode))).withColumnRenamed("path", "vol_id")
-    return thresholds(headers(slices), lower=500, upper=3000)
+    k = F.ascii("vol_id") % 7
+    log = F.concat(F.lit("Mu_Scaling   8192\nDensity: slope "), (1600 + 10 * k).cast("string"), F.lit("\nDensity: intercept -"), (390 + k).cast("string"), F.lit("\n"))
+    grid, folder = Grid(GRID.shape, GRID.origin, _EL), _folder(spark, "logs")
+    VF.write_volumes(VF.planes(mask(spark, sf), grid, "u1").withColumn("log", F.when(F.col("z") == 0, log)), folder)
+    return thresholds(headers(VF.register(spark).read.format("volume").load(folder)), lower=500, upper=3000)
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 THEN 0.0607::DOUBLE ELSE (s_suppkey % 5)::DOUBLE / 50 END AS ex, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 THEN 0.05::DOUBLE ELSE 4 * (s_suppkey % 3)::DOUBLE END AS ey FROM supplier")
@@ -132,18 +136,18 @@ def contour_file_read(spark, sf):
     for r in rows:
         volumes.setdefault(r.vol_id, []).append({"z": r.z, "x0": r.c[0].x, "y0": r.c[0].y, "codes": [p.code for p in r.c]})
     folder = _written(spark, "gobj", "gobj", volumes, lambda n, c: I.encode_contours(c))
-    found = _named(I.read_contours(spark, folder)).select(F.col("path").alias("vol_id"), "z", "x0", F.posexplode("codes").alias("i", "code"))
-    return found
+    found = VF.register(spark).read.format("contours").load(folder)
+    return found.select("vol_id", "z", "x0", F.posexplode("codes").alias("i", "code"))
 
 
 @query("SELECT vol_id, z, y, x, 127 AS v FROM shifted ANTI JOIN mask USING (vol_id, z, y, x) WHERE z BETWEEN 0 AND 11 AND y BETWEEN 0 AND 23 AND x BETWEEN 0 AND 23")
 def segment_read(spark, sf):
     """One named segment of files that hold two."""
-    one, two = _arrays(mask(spark, sf)), _arrays(G.crop(shifted(spark, sf), GRID))
-    labels = {n: np.where(one[n] != 0, 1, np.where(two[n] != 0, 2, 0)).astype(np.uint8) for n in one}
-    names = {"Segment0_Name": "Cortical", "Segment0_LabelValue": "1", "Segment1_Name": "Trabecular", "Segment1_LabelValue": "2"}
-    folder = _written(spark, "seg", "seg.nrrd", labels, lambda n, a: I.encode_nrrd(a, Grid(GRID.shape, GRID.origin, _EL), names))
-    return I.voxels(_named(I.read_segments(spark, folder, "trab"))).select(*KEYS, F.lit(127).alias("v"))
+    both = V.overlay(shifted(spark, sf).withColumn("v", F.lit(2)), mask(spark, sf).withColumn("v", F.lit(1)))
+    folder = _folder(spark, "seg")
+    VF.write_volumes(VF.planes(both, Grid(GRID.shape, GRID.origin, _EL), "u1"), folder, "seg.nrrd", ("Cortical", "Trabecular"))
+    segments = I.read_segments(spark, folder, "trab", glob="*.nrrd").withColumn("vol_id", F.regexp_extract("path", r"([^/.]+)\.seg\.nrrd$", 1))
+    return I.voxels(segments, "vol_id").select(*KEYS, F.lit(127).alias("v"))
 
 
 # ---- records and inventories
@@ -261,11 +265,11 @@ def configurations(spark, sf):
     return D.configurations(_t(spark, sf, "nation").select("n_nationkey"), k % 2 == 0, k % 3 == 0)
 
 
-@query("SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'raw' END, CASE WHEN s_suppkey % 2 = 0 THEN 'derived' END, 'own') AS object, abs(s_acctbal - s_acctbal * (1 + (s_suppkey % 3) * 1e-9::DOUBLE)) <= greatest(1e-15::DOUBLE, 1e-9::DOUBLE * greatest(abs(s_acctbal), abs(s_acctbal * (1 + (s_suppkey % 3) * 1e-9::DOUBLE)))) AS close FROM supplier WHERE s_suppkey % 3 <> 1")
+@query("SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'raw' END, CASE WHEN s_suppkey % 2 = 0 THEN 'derived' END, 'own') AS object, abs(s_acctbal - s_acctbal * (1 + (s_suppkey % 3) * 1e-9::DOUBLE)) <= greatest(1e-15::DOUBLE, 1e-9::DOUBLE * greatest(abs(s_acctbal), abs(s_acctbal * (1 + (s_suppkey % 3) * 1e-9::DOUBLE)))) AS close FROM supplier")
 def stand_ins_and_tolerance(spark, sf):
     k, x = F.col("s_suppkey"), F.col("s_acctbal")
     other = x * (1 + (k % 3) * F.lit(1e-9))
-    return _t(spark, sf, "supplier").where(k % 3 != 1).select("s_suppkey", D.stand_in(F.when(k % 3 == 0, "raw"), F.when(k % 2 == 0, "derived"), F.lit("own")).alias("object"), S.within(x, other).alias("close"))
+    return _t(spark, sf, "supplier").select("s_suppkey", D.stand_in(F.when(k % 3 == 0, "raw"), F.when(k % 2 == 0, "derived"), F.lit("own")).alias("object"), S.within(x, other).alias("close"))
 
 
 # ---- texts

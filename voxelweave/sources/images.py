@@ -77,40 +77,46 @@ def _sizes(el) -> tuple[float, float, float]:
     return tuple((el if good else NOMINAL)[::-1])
 
 
-def decode_volume(raw: bytes) -> Image:
-    """A scanner volume of either version."""
+def volume_head(raw: bytes, body: int):
+    """``(type, shape, origin, voxel size, log)`` of a scanner volume of either version, axes z, y, x.
+
+    ``raw`` is everything before the body of ``body`` bytes.  The type is None if voxels are run-length coded.
+    """
     if raw[:12] == VERSION_030:
         sizes = struct.unpack_from("<5q", raw, 16)
         head = 16 + sizes[0]
         fields = struct.unpack_from(f"<{sizes[1] // 8}q", raw, head)
         pos, dim, el = fields[2:5], fields[5:8], [f / 1e6 for f in fields[23:26]]
-        start = head + sizes[1] + sizes[2]
-        body, voxels = raw[start : start + sizes[3]], dim[0] * dim[1] * dim[2]
-        kinds = {4: np.float32, 2: np.int16, 1: np.uint8}
-        if voxels == 0 or len(body) % voxels or len(body) // voxels not in kinds:
-            raise ValueError(f"{len(body)} bytes for {voxels} voxels: unknown value type")
-        values = np.frombuffer(body, kinds[len(body) // voxels])
-        log = raw[head + sizes[1] : start]
+        body, voxels = min(body, sizes[3]), dim[0] * dim[1] * dim[2]
+        kinds = {4: "<f4", 2: "<i2", 1: "u1"}
+        if voxels == 0 or body % voxels or body // voxels not in kinds:
+            raise ValueError(f"{body} bytes for {voxels} voxels: unknown value type")
+        kind = kinds[body // voxels]
+    else:
+        head, sizes = 20, struct.unpack_from("<5i", raw)
+        fields = struct.unpack_from(f"<{sizes[1] // 4}i", raw, head)
+        code, pos, dim, el = fields[5], fields[6:9], fields[9:12], [vax(f) for f in fields[27:30]]
+        body, voxels = min(body, sizes[3]), dim[0] * dim[1] * dim[2]
+        kind = {CHAR: "u1", SHORT: "<i2", RUN_CHAR: None, RUN_BITS: None}.get(code, "")
+        if kind == "" and body != 4 * voxels:
+            raise ValueError(f"unknown value type 0x{code & 0xFFFFFFFF:08x}")
+        kind = "<f4" if kind == "" else kind
+    log = raw[head + sizes[1] : head + sizes[1] + sizes[2]].decode("latin-1")
+    return kind and np.dtype(kind), tuple(dim[::-1]), tuple(pos[::-1]), _sizes(el), log
+
+
+def decode_volume(raw: bytes) -> Image:
+    """A scanner volume of either version."""
+    wide = raw[:12] == VERSION_030
+    sizes = struct.unpack_from("<5q" if wide else "<5i", raw, 16 if wide else 0)
+    start = (16 + sizes[0] if wide else 20) + sizes[1] + sizes[2]
+    kind, shape, origin, el, log = volume_head(raw[:start], len(raw) - start)
+    body, voxels = np.frombuffer(raw[start : start + sizes[3]], np.uint8), shape[0] * shape[1] * shape[2]
+    if kind is not None:
+        values = body[: voxels * kind.itemsize].view(kind)
     else:
-        sizes = struct.unpack_from("<5i", raw)
-        fields = struct.unpack_from(f"<{sizes[1] // 4}i", raw, 20)
-        kind, pos, dim, el = fields[5], fields[6:9], fields[9:12], [vax(f) for f in fields[27:30]]
-        start = 20 + sizes[1] + sizes[2]
-        body, voxels = np.frombuffer(raw[start : start + sizes[3]], np.uint8), dim[0] * dim[1] * dim[2]
-        if kind == CHAR:
-            values = body[:voxels]
-        elif kind == SHORT:
-            values = body[: 2 * voxels].view(np.int16)
-        elif kind == RUN_CHAR:
-            values = run_char(body, voxels)
-        elif kind == RUN_BITS:
-            values = run_bits(body, voxels)
-        elif len(body) == 4 * voxels:
-            values = body.view(np.float32)
-        else:
-            raise ValueError(f"unknown value type 0x{kind & 0xFFFFFFFF:08x}")
-        log = raw[20 + sizes[1] : start]
-    return Image(values.reshape(dim[::-1]), tuple(pos[::-1]), _sizes(el), log.decode("latin-1"), raw[:start])
+        values = (run_char if struct.unpack_from("<i", raw, 40)[0] == RUN_CHAR else run_bits)(body, voxels)
+    return Image(values.reshape(shape), origin, el, log, raw[:start])
 
 
 def encode_volume(data: np.ndarray, template: bytes, pad: bool = True) -> bytes:
@@ -296,9 +302,8 @@ def encode_nifti(data: np.ndarray, grid: Grid, compress: bool = True) -> bytes:
     return gzip.compress(raw, mtime=0) if compress else raw
 
 
-def decode_nifti(raw: bytes) -> tuple[np.ndarray, Grid]:
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+def decode_nifti_head(raw: bytes) -> tuple[tuple[np.dtype, int], Grid]:
+    """Type and place of the voxels, and their grid, from a header of 348 bytes."""
     if struct.unpack_from("<i", raw)[0] != 348:
         raise ValueError("not a little-endian NIfTI file")
     n, *dim = struct.unpack_from("<8h", raw, 40)
@@ -310,8 +315,14 @@ def decode_nifti(raw: bytes) -> tuple[np.ndarray, Grid]:
     rows = np.array(struct.unpack_from("<12f", raw, 280)).reshape(3, 4)
     el = np.abs(rows[[0, 1, 2], [0, 1, 2]])
     at = [int(round(float(r) / e)) for r, e in zip((-rows[0, 3], -rows[1, 3], rows[2, 3]), el, strict=True)]
-    data = np.frombuffer(raw, np.dtype("<" + kinds[code]), int(np.prod(dim[:3])), start).reshape(dim[:3][::-1])
-    return data, Grid(data.shape, tuple(at[::-1]), tuple(float(e) for e in el[::-1]))
+    return (np.dtype("<" + kinds[code]), start), Grid(tuple(dim[:3][::-1]), tuple(at[::-1]), tuple(float(e) for e in el[::-1]))
+
+
+def decode_nifti(raw: bytes) -> tuple[np.ndarray, Grid]:
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    (kind, start), grid = decode_nifti_head(raw)
+    return np.frombuffer(raw, kind, int(np.prod(grid.shape)), start).reshape(grid.shape), grid
 
 
 # ---- Spark
