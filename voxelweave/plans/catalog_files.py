@@ -23,6 +23,7 @@ from ..sources import images as I
 from ..sources import records as R
 from ..sources import volumes as VF
 from .catalog import _DIAMOND, GRID, _diamond, _t, grey, mask, part, query, shifted, sparse
+from . import given as GM
 from .workflow import headers, thresholds
 
 _EL = (0.06069973, 0.06069973, 0.06069973)
@@ -353,3 +354,59 @@ def cube_summary(spark, sf):
 def sql_text(spark, sf):
     """The same statement as SQL text over voxel tables: a CTE and a scalar subquery."""
     return spark.sql("WITH m AS (SELECT vol_id, avg(v) AS mean FROM {grey} GROUP BY 1) SELECT g.vol_id, g.z, count(*) AS voxels, CAST((SELECT max(v) FROM {grey}) AS INT) AS highest FROM {grey} g JOIN m USING (vol_id) WHERE g.v > m.mean GROUP BY 1, 2", grey=grey(spark, sf))
+
+
+# ---- given masks
+
+
+def _layer(voxels: DataFrame, name: str, grid: Grid = GRID) -> DataFrame:
+    return VF.planes(voxels, Grid(grid.shape, grid.origin, _EL)).withColumn("name", F.lit(name))
+
+
+_PLANES = """, moved AS (SELECT vol_id, 'TRAB_TH' AS name, z, y, x, v % 7 AS v FROM grey WHERE z < 11 AND v % 7 <> 0),
+theirs AS (SELECT vol_id, 'TRAB_TH' AS name, z + 1 AS z, y, x - 2 AS x, v % 5 AS v FROM grey WHERE v % 5 <> 0)"""
+_REPORT = """, box AS (SELECT vol_id, 'TRAB_TH' AS name, %s AS n FROM (SELECT DISTINCT vol_id FROM grey)),
+cells AS (SELECT vol_id, name, z, coalesce(m.v, 0) AS p, coalesce(t.v, 0) AS q FROM moved m FULL JOIN theirs t USING (vol_id, name, z, y, x) WHERE %s),
+diffs AS (SELECT vol_id, name, p - q AS d, count(*) AS n FROM cells WHERE p <> q GROUP BY 1, 2, 3)
+SELECT vol_id, name, any_value(box.n)::BIGINT AS voxels, count(*) FILTER (p <> q) AS mismatches, count(*) FILTER (p <> q AND q = 0) AS ours_only, count(*) FILTER (p <> q AND p = 0) AS ref_only,
+       count(*) FILTER (p > 0) AS ours_support, count(*) FILTER (q > 0) AS ref_support, coalesce(avg(p) FILTER (p > 0), 0)::DOUBLE AS ours_mean, coalesce(avg(q) FILTER (q > 0), 0)::DOUBLE AS ref_mean,
+       array_to_string(list_slice(list_sort(list_distinct(list(z) FILTER (p <> q))), 1, 50), ' ') AS slices,
+       (SELECT string_agg(d || ':' || n, ' ' ORDER BY d) FROM diffs WHERE diffs.vol_id = cells.vol_id) AS differences
+FROM cells JOIN box USING (vol_id, name) GROUP BY vol_id, name"""
+
+
+def _compared_planes(spark, sf, union: bool):
+    value = F.col("v")
+    ours = _layer(grey(spark, sf).where("z < 11").withColumn("v", value % 7).where("v <> 0"), "TRAB_TH")
+    moved = grey(spark, sf).select("vol_id", (F.col("z") + 1).alias("z"), "y", (F.col("x") - 2).alias("x"), (value % 5).alias("v")).where("v <> 0")
+    theirs = _layer(moved, "TRAB_TH", Grid(GRID.shape, (1, 0, -2)))
+    out = GM.comparison(GM.joint_planes(ours, theirs, union)).drop("ours_mean_mm", "ref_mean_mm")
+    text = F.array_join(F.transform(F.map_entries("differences"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), " ")
+    return out.withColumns({"slices": F.array_join(F.col("slices").cast("array<string>"), " "), "differences": text})
+
+
+@query(_PLANES + _REPORT % ("12 * 24 * 24", "z BETWEEN 0 AND 11 AND x BETWEEN 0 AND 23"))
+def compare_planes_own(spark, sf):
+    """Two maps plane by plane on the first one's grid: what the second holds outside is not compared."""
+    return _compared_planes(spark, sf, False)
+
+
+@query(_PLANES + _REPORT % ("13 * 24 * 26", "true"))
+def compare_planes_union(spark, sf):
+    """The same on the box around both."""
+    return _compared_planes(spark, sf, True)
+
+
+@query()
+def given_masks(spark, sf):
+    """Layers of every scan written as files, found again by their names, measured, and their maps compared with themselves, moved."""
+    folder = _folder(spark, "given")
+    layers = {"SEG": sparse(spark, sf), "TRAB_MASK": mask(spark, sf), "CORT_MASK": part(spark, sf), "TRAB_TH": shifted(spark, sf)}
+    for name, voxels in layers.items():
+        VF.write_volumes(VF.planes(voxels, Grid(GRID.shape, GRID.origin, _EL)).withColumn("vol_id", F.concat("vol_id", F.lit(f"_{name}"))), folder)
+    found = GM.scan_files(spark, folder)
+    results = GM.measure_given(found)
+    metrics = results.where("data IS NULL").select("vol_id", "name", "value", "note")
+    report = GM.compare_maps(results, found)
+    long = report.select("vol_id", F.explode(F.array(*[F.struct(F.concat("name", F.lit(f" {c}")).alias("name"), F.col(c).cast("double").alias("value")) for c in ("voxels", "mismatches", "ours_only", "ref_only", "ours_support", "ref_support")])).alias("r"))
+    return metrics.unionByName(long.select("vol_id", "r.*").withColumn("note", F.lit(None).cast("string")))
