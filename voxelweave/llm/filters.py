@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, prepare, row_id, tidied
+from .common import prepare, row_id, tidied
 
 #: Failure conditions: fewer words, fewer distinct words of 100, more capitals of 100 code points, a symbol.
 WORDS, DISTINCT, CAPITALS, SYMBOLS = 50, 65, 5, b"#$%&*|"
@@ -146,12 +146,11 @@ def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     labels are counted together with their least id and how many rows have it; the least of
     these over a text then says how many of them are not its first.
     """
-    own = _masks(docs, id_col, text_col, source_col)
     marks = labels.where(labels[id_col].isNotNull()).groupBy(F.col(id_col).cast("long").alias("did")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     keys = ["h1", "h2", "part", "mask", "good", "toxic"]
     never = {"good": F.lit(False), "toxic": F.lit(False)}
-    known = own.where(F.col("did") != NO_ID).join(marks, "did", "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in never})
-    lost = own.where(F.col("did") == NO_ID).withColumns(never)
+    known = _masks(docs.where(docs[id_col].isNotNull()), id_col, text_col, source_col).join(marks, "did", "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in never})
+    lost = _masks(docs.where(docs[id_col].isNull()), id_col, text_col, source_col).withColumns(never)
     by_id = known.groupBy("did", *keys).count().unionByName(lost.groupBy("did", *keys).count())
     copies = by_id.groupBy(*keys).agg(F.sum("count").alias("n"), F.min(F.struct("did", "count")).alias("least"))
     # A text has as many rows now as its copies have sources and labels; the least id goes back to each by an array of them.
