@@ -30,3 +30,20 @@ def test_even_share():
     assert quality.even_share([3, 4], 100) >= 4 and quality.even_share([], 9) == 0
     pieces = [bytes([65 + k % 26]) * 1500 for k in range(2000)]
     assert len(quality.dictionary(pieces).split(b"\n")) == 2000
+
+
+def test_few_texts_fill_a_dictionary(spark):
+    """No text is cut before its share: two texts of a label give all they have up to the dictionary's size."""
+    texts = spark.createDataFrame([(k, k % 2, k, " ".join(f"{k}w{i}" for i in range(9000))) for k in range(4)], "__id long, q int, h long, text string")
+    bad, good = quality.dictionaries(texts, 50_000)
+    assert all(49_000 <= len(d) <= 50_000 for d in (bad, good))
+    assert all(f"{k}w4500 ".encode() in d for d, ids in ((bad, (0, 2)), (good, (1, 3))) for k in ids)
+    whole = quality.dictionaries(texts, 1 << 20)
+    assert whole[0] == b"\n".join(" ".join(f"{k}w{i}" for i in range(9000)).encode() for k in (0, 2))
+    assert quality.dictionaries(texts.limit(0), 100) == (b"", b"") and quality.dictionaries(texts, 1) == (b"", b"")
+
+
+def test_shared_lines(spark):
+    rows = [(1, 0, 30, "notice\nbad one\nboth"), (2, 0, 10, "notice\nbad two\nbad two"), (3, 0, 20, "notice"), (4, 1, 5, "good one\nboth\n"), (5, 1, 6, "")]
+    kept = {r["__id"]: r["text"] for r in quality.telling_lines(spark.createDataFrame(rows, "__id long, q int, h long, text string")).collect()}
+    assert kept == {1: "bad one", 2: "notice\nbad two", 4: "good one\n"}

@@ -9,7 +9,10 @@ nothing else, on labelled documents that are in neither dictionary gives the sco
 
 The classifier is fitted on a bounded sample of labelled rows (``sample_rows`` of either
 label, the first in the order of a hash of their id); every text of the training half is
-in its dictionary, with an even share of its ``dict_bytes``.  Everything is scored whole.
+in its dictionary, with an even share of its ``dict_bytes`` from the middle of what is left of the
+whole text: a line that several texts of one label hold stays once, in the first of them, so
+boilerplate is in the dictionary without filling it, and a line of both labels, which tells
+nothing, is left out.  Everything is scored whole.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from .common import cut, drop_cut, prepare, tidied
 
 #: Labelled rows of either label that are used at most.
 SAMPLE_ROWS = 3000
-#: Bytes of a dictionary, most bytes of one document in it, bytes of a chunk, and zstandard's level.
-DICT_BYTES, DOC_BYTES, CHUNK, LEVEL = 128 << 10, 1500, 1024, 6
+#: Bytes of a dictionary, bytes of a chunk, and zstandard's level.
+DICT_BYTES, CHUNK, LEVEL = 128 << 10, 1024, 6
 #: Bytes that the mean difference counts for beside a text's own.
 SMOOTH = 64
 
@@ -111,24 +113,41 @@ def dictionary(pieces: list[bytes], dict_bytes: int = DICT_BYTES) -> bytes:
     return b"\n".join(middle(p, share) for p in pieces)[:dict_bytes] if share > 0 else b""
 
 
-def pieces(texts: DataFrame) -> pa.Table:
-    """``__id, q, h, piece`` by hash: up to DOC_BYTES from the middle of each whole text.
+def telling_lines(texts: DataFrame) -> DataFrame:
+    """``__id, q, h, text``: the lines of ``texts`` that are in the dictionaries, those of a text put together again.
 
-    Lines that several texts hold are left out.  They are told by their hashes, and texts
-    are cut where they lie, so the driver gets pieces only.
+    Of equal lines of one label the first stays (by hash and id of the text, then by position), and
+    of both labels none.  Texts without such a line are left out.
     """
-    lines = texts.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).groupBy(F.xxhash64("line").alias("line")).count()
-    shared = set(lines.where("count > 1").select("line").toArrow().column("line").to_pylist())
+    lines = texts.select("__id", "q", "h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", F.xxhash64("line"))
+    place = F.struct("h", "__id", "pos")
+    rule = lines.groupBy("key").agg(F.min(place).alias("first"), F.min("q").alias("low"), F.max("q").alias("high")).where("low = high").select("key", "first")
+    kept = lines.join(rule, "key").where(place == F.col("first"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    return kept.groupBy("__id", "q", "h").agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def dictionaries(texts: DataFrame, dict_bytes: int) -> tuple[bytes, bytes]:
+    """The dictionaries of bad and good ``texts(__id, q, h, text)``, by hash: from the middle of every text the same
+    share, or all of it where it is shorter.
+
+    The driver gets the texts' lengths, which are as many as labelled rows are sampled, and the shares.
+    """
+    own = cut(telling_lines(texts))
+    lengths = own.select("q", F.octet_length("text").alias("n")).toArrow()
+    label, n = (np.asarray(lengths.column(c)) for c in ("q", "n"))
+    share = {q: even_share((n[(label == q) & (n > 0)] + 1).tolist(), dict_bytes + 1) - 1 for q in (0, 1)}
 
     def run(batches):
-        digest = xxhash.xxh64_intdigest
-        known = {h % (1 << 64) for h in shared}
         for batch in batches:
-            found = ["\n".join(line for line in t.split("\n") if digest(line.encode(), 42) not in known).encode() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), batch.column("h"), pa.array([middle(t, DOC_BYTES) for t in found], pa.binary())], ["__id", "q", "h", "piece"])
+            pieces = [middle(t.encode(), share[q]) for t, q in zip(batch.column("text").to_pylist(), batch.column("q").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__id", "q", "h")), pa.array(pieces, pa.binary())], ["__id", "q", "h", "piece"])
 
-    out = texts.select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "h", "text").mapInArrow(tidied(run), "__id long, q int, h long, piece binary")
-    return out.toArrow().sort_by([("h", "ascending"), ("__id", "ascending"), ("piece", "ascending")])
+    # With a dictionary of fewer bytes than texts no text has a share, and the dictionary is empty.
+    pieces = own.where(F.octet_length("text") > 0).where(F.col("q").isin([q for q in (0, 1) if share[q] > 0])).select(F.col("__id").cast("long").alias("__id"), F.col("q").cast("int").alias("q"), "h", "text").mapInArrow(tidied(run), "__id long, q int, h long, piece binary")
+    rows = pieces.toArrow().sort_by([("h", "ascending"), ("__id", "ascending")]).to_pylist()
+    drop_cut(own)
+    return tuple(dictionary([r["piece"] for r in rows if r["q"] == q], dict_bytes) for q in (0, 1))
 
 
 def held_out(id_: Column) -> Column:
@@ -140,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit a model on labelled rows that are not held out, at most ``sample_rows`` of either label.
 
     About half of them are in the dictionaries of ``dict_bytes`` each, every text with an even
-    share from the middle of its whole text; the others calibrate.  Labels other than 0 and 1, null ids, ids with both labels and labels without a
+    share (see ``dictionaries``); the others calibrate.  Labels other than 0 and 1, null ids, ids with both labels and labels without a
     document are left out.  With no label of one kind the score is the constant share of
     good labels (one added to either count).
     """
@@ -153,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = {r["q"]: r["count"] for r in known.groupBy("q").count().collect()}  # two rows
     sample = cut(docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "__id"))  # at most twice sample_rows
     half = (F.shiftrightunsigned("h", 7) % 2) == 0
-    taken = pieces(sample.where(half)).to_pylist()
-    bad, good = (dictionary([r["piece"] for r in taken if r["q"] == q], dict_bytes) for q in (0, 1))
+    taken = {r["q"]: r["count"] for r in sample.where(half).groupBy("q").count().collect()}  # two rows
+    bad, good = dictionaries(sample.where(half), dict_bytes)
     model = Model(bad, good, ())
 
     def run(batches):
@@ -168,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         drop_cut(t)
     q = np.asarray(rows.column("q")).astype(float)
     if len(set(q.tolist())) < 2 or not bad or not good:
-        share = (sum(r["q"] for r in taken) + q.sum() + 1) / (len(taken) + len(q) + 2)
+        share = (taken.get(1, 0) + q.sum() + 1) / (sum(taken.values()) + len(q) + 2)
         return Model(bad, good, (float(np.log(share / (1 - share))), 0.0, 0.0))
     found = np.column_stack([np.asarray(rows.column(c)) for c in ("bad", "good", "own")])
     # Either label counts as much as among all labelled rows, not as in the sample.
