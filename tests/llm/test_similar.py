@@ -164,3 +164,52 @@ def test_group_in_parts(spark, monkeypatch):
     ends = [(place[r.a], place[r.b]) for r in simhash._compared(keys, simhash.cut(group), 5, 0.8).collect()]
     want = simhash.local_labels(len(sets), *simhash.similar_forest(sets, 0.8))
     assert (simhash.local_labels(len(sets), *map(np.array, zip(*ends))) == want).all() and 5 < len(set(want.tolist())) < len(sets)
+
+
+def test_slices_count_like_sets():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 400, 700, 700)]
+    a, b, both = simhash.slice_counts(np.arange(10, 15), sets, step=100)
+    want = [(10 + i, 10 + j, len(set(sets[i].tolist()) & set(sets[j].tolist()))) for i in range(5) for j in range(i + 1, 5)]
+    assert list(zip(a.tolist(), b.tolist(), both.tolist())) == [w for w in want if w[2]]
+
+
+def test_slices_and_blocks_give_the_same(spark, monkeypatch):
+    """Groups compared in slices, in blocks with pivots and in parts, against brute force."""
+    rng = random.Random(12)
+    rows = near_copies(6, 120, [1, 2, 3, 1, 2, 1], seed=3)
+    base = [f"v{k}" for k in range(150)]
+    for k in range(90):  # one large group of near copies, and others that are only like some of them
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 6])):
+            words[at] = f"y{k}"
+        rows.append((1000 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_kept(rows)
+    for sizes in ({}, {"SLICE_SHINGLES": 200}, {"BLOCK_SHINGLES": 500, "PIVOTS": 2}, {"BLOCK_SHINGLES": 500, "PIVOTS": 1, "SLICE_SHINGLES": 100, "REST_SHINGLES": 300}):
+        with monkeypatch.context() as m:
+            for name, value in sizes.items():
+                m.setattr(simhash, name, value)
+            got = {r.doc_id for r in simhash.keep_first(docs).collect()}
+        assert want <= got and len(got - want) <= 2
+
+
+def test_several_very_long_near_copies(spark):
+    """Six texts of two million words each: they are one block in slices, and little more than themselves is sent."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{k % 99991}x{k}" for k in range(2_000_000)]
+    rows = []
+    for k in range(6):
+        own = list(words)
+        own[1000 * k : 1000 * k + 500] = [f"z{k}"] * 500
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_first(docs).collect()] == [0]
+    keys = simhash.cut(simhash.keyed(docs))
+    group = keys.select(F.lit(0).alias("component"), F.col("did").alias("id"), F.struct("did", "rk").alias("head"), F.lit(2_000_000).cast("long").alias("n"))
+    placed = simhash.placed_sets(group)
+    members, sliced = simhash._tasks(placed)
+    sent = simhash.dealt_sets(keys, members, 5).agg(F.sum(F.length("shingles")), F.max(F.length("shingles"))).first()
+    assert sliced and sent[0] < 8 * 3 * 6 * 2_000_000 and sent[1] < 8 * simhash.SLICE_SHINGLES

@@ -41,6 +41,9 @@ SKETCHES, SKETCH_LIMIT, PAIR_LIMIT = 10, 17, 30
 #: Shingles of one block of a group, of the part of a group that may meet every block, and of a
 #: task, in the comparison of sets; and how many sets of a group all its blocks hold, on average.
 BLOCK_SHINGLES, REST_SHINGLES, TASK_SHINGLES, PIVOTS = 16_000, 500_000, 500_000, 8
+#: Shingles from which on a block is compared in slices of the range of hashes, and bytes of shingles sent on at a time.
+SLICE_SHINGLES, SEND_BYTES = 1_000_000, 4 << 20
+_DEALT = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
 
 def bit_counts(hashes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
@@ -296,35 +299,117 @@ def similar_forest(sets: list[np.ndarray], similarity: float):
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
 
 
-def _forests(keys: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` of ``members(did, rk, fp, n, tasks)``: those whose arrays of tasks share one are compared there."""
+def slice_counts(own: np.ndarray, sets: list[np.ndarray], step: int = 50_000):
+    """``(i, j, shared)`` for places ``i < j`` of sets (``own``: their numbers) that share hashes."""
+    words, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat, at = flat[order], at[order]
+    for low in range(0, len(words), step):
+        i, j = np.searchsorted(flat, (low, low + step))
+        held = np.zeros((min(step, len(words) - low), len(sets)), np.float32)
+        held[flat[i:j] - low, at[i:j]] = 1
+        shared += (held.T @ held).astype(np.int64)
+    i, j = np.nonzero(np.triu(shared, 1))
+    return own[i], own[j], shared[i, j]
+
+
+def _tasks(members: DataFrame) -> tuple[DataFrame, bool]:
+    """``(did, rk, fp, n, at)``: the tasks of each set as ``(key, slices)``, and whether any task has several slices.
+
+    A task of more than SLICE_SHINGLES is dealt into slices of the range of hashes, so that a task
+    holds about so many of them, however long its sets are.
+    """
+    each = members.select("did", "rk", "fp", "n", F.explode("tasks").alias("key"))
+    sizes = cut(each.groupBy("key").agg(F.ceil(F.sum("n") / SLICE_SHINGLES).cast("int").alias("slices")).where("slices > 1"))
+    if not sizes.limit(1).count():
+        drop_cut(sizes)
+        return members.select("did", "rk", "fp", "n", F.transform("tasks", lambda t: F.struct(t.alias("key"), F.lit(1).alias("slices"))).alias("at")), False
+    each = each.join(small(sizes), "key", "left").select("did", "rk", "fp", "n", F.struct("key", F.coalesce("slices", F.lit(1)).alias("slices")).alias("t"))
+    return cut(each.groupBy("did", "rk", "fp").agg(F.first("n").alias("n"), F.collect_list("t").alias("at"))), True
+
+
+def dealt_sets(keys: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``(key, slice, slices, fp, n, shingles)``: each set, or the slices of it, for each of its tasks ``at``.
+
+    Nothing but the slice that a task compares is sent to it; a set's texts are cut once.
+    """
+    names = ["key", "slice", "slices", "fp", "n", "shingles"]
 
     def sets(batches):
         seen: set[int] = set()  # a text that many rows of one id have goes on once
         for batch in batches:
             fps = batch.column("fp").to_pylist()
             batch = batch.take(pa.array([k for k, f in enumerate(fps) if not (f in seen or seen.add(f))], pa.int64()))
-            found = batch_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("tasks"), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "tasks", "shingles"])
+            out, held = [], 0
+            for own, fp, at in zip(batch_sets(batch.column("text"), words), batch.column("fp").to_pylist(), batch.column("at").to_pylist()):
+                for task in at:
+                    slices = task["slices"]
+                    edge = np.searchsorted((own >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32), np.arange(slices + 1)).tolist()
+                    for k, (i, j) in enumerate(zip(edge, edge[1:])):
+                        out.append((task["key"], k, slices, fp, len(own), own[i:j].tobytes()))
+                        held += 8 * (j - i)
+                        if held > SEND_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DEALT)], names)
+                            out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DEALT)], names)
+
+    texts = keys.join(small(members.select("did", "rk", "fp", "at")), ["did", "rk"])
+    return texts.mapInArrow(tidied(sets), "key long, slice int, slices int, fp long, n long, shingles binary")
+
+
+def _forests(keys: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of ``members(did, rk, fp, n, tasks)``: those whose arrays of tasks share one are compared there."""
+    members, sliced = _tasks(members)
 
     def compare(batches):
         held = list(batches)
         if not held:
             return
-        table = pa.Table.from_batches(held).sort_by("key")
-        key, fp = (np.asarray(table.column(c)) for c in ("key", "fp"))
+        table = pa.Table.from_batches(held).sort_by([("key", "ascending"), ("slice", "ascending")])
+        key, part, slices, fp, n = (np.asarray(table.column(c)) for c in ("key", "slice", "slices", "fp", "n"))
         raw = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        edge = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        edge = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, len(key)].tolist()
         for i, j in zip(edge, edge[1:]):
             _, once = np.unique(fp[i:j], return_index=True)
-            a, b = similar_forest([raw[i + k] for k in once.tolist()], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i:j][once[a]], pa.int64()), pa.array(fp[i:j][once[b]], pa.int64())], ["a", "b"])
-
-    texts = keys.join(small(members.select("did", "rk", "fp", "tasks")), ["did", "rk"])
-    dealt = texts.mapInArrow(tidied(sets), "fp long, tasks array<long>, shingles binary").select(F.explode("tasks").alias("key"), "fp", "shingles")
-    total = members.agg(F.sum(F.col("n") * F.size("tasks"))).first()[0] or 0
+            sets = [raw[i + k] for k in once.tolist()]
+            if slices[i] == 1:  # decided here
+                a, b = (once[x] for x in similar_forest(sets, similarity))
+                both, na, nb = (np.ones(len(a), np.int64) for _ in range(3))
+            else:
+                a, b, both = slice_counts(once, sets)
+                na, nb = n[i + a], n[i + b]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), key[i]), fp[i:j][a], fp[i:j][b], both, na, nb)], ["key", "a", "b", "both", "na", "nb"])
+
+    total = members.agg(F.sum(F.col("n") * F.size("at"))).first()[0] or 0
     parts = max(keys.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SHINGLES))
-    return cut(dealt.repartition(parts, "key").mapInArrow(tidied(compare), "a long, b long"))
+    found = dealt_sets(keys, members, words).repartition(parts, "key", "slice").mapInArrow(tidied(compare), "key long, a long, b long, both long, na long, nb long")
+    if sliced:
+        found = found.groupBy("key", "a", "b").agg(F.sum("both").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        found = found.where(F.col("both") + 1e-9 >= similarity * (F.col("na") + F.col("nb") - F.col("both")))
+    out = cut(found.select("a", "b"))
+    if sliced:
+        drop_cut(members)
+    return out
+
+
+def placed_sets(group: DataFrame) -> DataFrame:
+    """``(did, rk, fp, component, n, blocks, own, pivot, tasks)``: the blocks in which each set of a group is compared.
+
+    A small group is one block.  A large one has at least four times as many sets of its own in
+    each block as there are pivots, the few sets that all its blocks hold, so a group of few long
+    texts is one block too and hardly more than the group itself is sent anywhere.
+    """
+    sizes = group.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("sets"), F.min("head").alias("first"))
+    blocks = F.least(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("sets") / (4 * PIVOTS))).cast("int")
+    large = cut(sizes.withColumn("blocks", blocks).where("blocks > 1").select("component", "blocks", "sets", "first"))
+    placed = group.join(small(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    pivot = (F.col("head") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sets")) < PIVOTS)
+    placed = placed.withColumns({"own": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "pivot": F.coalesce(pivot, F.lit(False))})
+    tasks = F.transform(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")), lambda b: F.xxhash64("component", b))
+    return cut(placed.select(F.col("head.did").alias("did"), F.col("head.rk").alias("rk"), F.col("id").alias("fp"), "component", "n", "blocks", "own", "pivot", tasks.alias("tasks")))
 
 
 def _compared(keys: DataFrame, group: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -334,25 +419,20 @@ def _compared(keys: DataFrame, group: DataFrame, words: int, similarity: float)
     holds a few sets of the whole group besides its own.  That connects most of a group of near
     copies; the sets which it leaves apart from the group's main part then meet every block.
     """
-    sizes = group.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("sets"), F.min("head").alias("first"))
-    large = cut(sizes.where(F.col("all") > BLOCK_SHINGLES).select("component", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("blocks"), "sets", "first"))
-    placed = group.join(small(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    pivot = (F.col("head") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sets")) < PIVOTS)
-    placed = placed.withColumns({"own": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "pivot": F.coalesce(pivot, F.lit(False))})
-    placed = cut(placed.select(F.col("head.did").alias("did"), F.col("head.rk").alias("rk"), F.col("id").alias("fp"), "component", "n", "blocks", "own", "pivot"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tasks = F.transform(F.when(F.col("pivot"), every).otherwise(F.array("own")), lambda b: F.xxhash64("component", b))
-    first = _forests(keys, placed.withColumn("tasks", tasks), words, similarity)
+    placed = placed_sets(group)
+    first = _forests(keys, placed, words, similarity)
     # What is apart from the main part of a large group.
     many = placed.where("blocks > 1")
     part = components(first.join(small(cut(many.select(F.col("fp").alias("a")))), "a", "left_semi"))
     many = cut(many.join(part.select(F.col("id").alias("fp"), F.col("component").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp")))
     main = many.groupBy("component", "part").agg(F.sum("n").alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     many = cut(many.join(small(cut(main)), "component").withColumn("apart", F.col("part") != F.col("main")))
-    rest = cut(many.where("apart").groupBy("component").agg(F.ceil(F.sum("n") / REST_SHINGLES).cast("int").alias("parts")))
+    parts = F.least(F.ceil(F.sum("n") / REST_SHINGLES), F.ceil(F.count("*") / (4 * PIVOTS))).cast("int")
+    rest = cut(many.where("apart").groupBy("component").agg(parts.alias("parts")))
     if not rest.limit(1).count():
         return first
     many = many.join(small(rest), "component")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("component", "own", p))
     visits = F.transform(every, lambda b: F.xxhash64("component", b, F.pmod(F.xxhash64(F.lit(6), "fp"), F.col("parts")).cast("int")))
     second = _forests(keys, cut(many.withColumn("tasks", F.when(F.col("apart"), F.array_union(meets, visits)).otherwise(meets)).select("did", "rk", "fp", "n", "tasks")), words, similarity)
