@@ -408,7 +408,8 @@ def search(graph: Graph | None, queries: DataFrame, k: int = 20, id_col: str = "
         after = cut(_merged(opened.unionByName(found), parts, beam))
         drop_cut(state)
         state = after
-        if not state.where(F.exists("flags", lambda f: ~f)).limit(1).count():
+        left = state.select(F.coalesce(F.sum(F.size(F.filter("flags", lambda f: ~f))), F.lit(0))).first()[0]
+        if left <= count:  # about one node a query: another round would find hardly anything
             break
     starts = asked.select("qid", F.explode("starts").alias("nid"))
     pair = state.select(F.col("key").alias("qid"), F.explode(F.slice("ids", 1, RANKED * k)).alias("nid")).unionByName(starts).distinct()
