@@ -313,24 +313,34 @@ def rank_order(sizes) -> np.ndarray:
     return np.array([i for _, i in items])
 
 
-def keep_ranks(r: Raster, first: int = 1, last: int = 1, join_border: bool = False, value: int = SET) -> Raster:
-    """The components of the given ranks by size; all that touch a face can count as one."""
+def chosen_ranks(sizes: np.ndarray, first: int = 1, last: int = 1, border: np.ndarray | None = None) -> np.ndarray:
+    """Which labels have the given ranks by size (``sizes`` from the background on); all on the ``border`` can count as one."""
     if first < 1 or last < first:
         raise ValueError(f"ranks start at 1 and do not fall: {first} .. {last}")
-    labels, sizes = label(r.on, SIX)
     new = np.arange(len(sizes))
-    if join_border:
-        border = np.zeros(len(sizes), bool)
-        for axis in range(3):
-            border[np.take(labels, [0, -1], axis=axis).ravel()] = True
-        border[0] = False
+    if border is not None:
+        border = border & (new > 0)
         new = np.where(border, 1, 1 + np.cumsum(~border))
         new[~border] -= 1  # the background is the first that does not touch
         new[0] = 0
         sizes = np.bincount(new, weights=sizes, minlength=2).astype(np.int64)
     chosen = np.zeros(len(sizes), bool)
     chosen[rank_order(sizes[1:])[first - 1 : last] + 1] = True
-    return r.with_on(chosen[new][labels], value)
+    return chosen[new]
+
+
+def on_faces(labels: np.ndarray, count: int, axes=(0, 1, 2)) -> np.ndarray:
+    """Which of ``count`` labels touch the first or last plane along an axis."""
+    border = np.zeros(count, bool)
+    for axis in axes:
+        border[np.take(labels, [0, -1], axis=axis).ravel()] = True
+    return border
+
+
+def keep_ranks(r: Raster, first: int = 1, last: int = 1, join_border: bool = False, value: int = SET) -> Raster:
+    """The components of the given ranks by size; all that touch a face can count as one."""
+    labels, sizes = label(r.on, SIX)
+    return r.with_on(chosen_ranks(sizes, first, last, on_faces(labels, len(sizes)) if join_border else None)[labels], value)
 
 
 def keep_sizes(r: Raster, least: int = 1, most: int = 0, value: int = SET) -> Raster:

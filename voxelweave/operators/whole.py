@@ -1,4 +1,8 @@
-"""Whole-volume and slice operators on voxel tables: kernels behind a DataFrame face."""
+"""Whole-volume and slice operators on voxel tables: kernels behind a DataFrame face.
+
+Where an operator has a form on slabs, a volume of more than one slab (``slabs.SLAB_VOXELS``, or of more
+planes than ``height``) takes it; a smaller one is a single task.  The results are the same.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import contour, frequency, raster, sphere
+from . import contour, frequency, raster, slabs, sphere
 from .grid import AXES, KEYS, Grid, crop, each_slice, each_volume, each_volume_with, raster_of
 from .raster import Raster
 
 
-def labels(voxels: DataFrame, grid: Grid) -> DataFrame:
+def _many(grid: Grid, height: int | None) -> bool:
+    return grid.shape[0] > slabs.slab_height(grid, height)
+
+
+def labels(voxels: DataFrame, grid: Grid, height: int | None = None) -> DataFrame:
     """``v`` is the label of the voxel's 6-connected component, in raster order from 1 on."""
+    if _many(grid, height):
+        return slabs.labels(voxels, grid, height)
     return each_volume(voxels, lambda r: Raster(raster.label(r.on, raster.SIX)[0], r.origin), grid)
 
 
@@ -22,11 +32,15 @@ def slice_labels(voxels: DataFrame, grid: Grid, eight: bool = False) -> DataFram
     return each_slice(voxels, lambda a: raster.label((a != 0)[None], steps)[0][0], grid)
 
 
-def keep_ranks(voxels, grid, first=1, last=1, join_border=False, value=raster.SET):
+def keep_ranks(voxels, grid, first=1, last=1, join_border=False, value=raster.SET, height=None):
+    if _many(grid, height):
+        return slabs.keep_ranks(voxels, grid, first, last, join_border, value, height)
     return each_volume(voxels, lambda r: raster.keep_ranks(r, first, last, join_border, value), grid)
 
 
-def keep_sizes(voxels, grid, least=1, most=0, value=raster.SET):
+def keep_sizes(voxels, grid, least=1, most=0, value=raster.SET, height=None):
+    if _many(grid, height):
+        return slabs.keep_sizes(voxels, grid, least, most, value, height)
     return each_volume(voxels, lambda r: raster.keep_sizes(r, least, most, value), grid)
 
 
@@ -38,23 +52,33 @@ def hysteresis(voxels, grid, low, high, mode=0, axes=(1, 0, 0), value=raster.SET
     return each_volume(voxels, lambda r: raster.hysteresis(r, low, high, mode, axes, value), grid)
 
 
-def erode(voxels, grid, n):
+def erode(voxels, grid, n, height=None):
+    if _many(grid, height):
+        return slabs.erode(voxels, grid, n, height)
     return each_volume(voxels, lambda r: raster.erode(r, n), grid)
 
 
-def dilate(voxels, grid, n, mirror=(0, 0, 0)):
+def dilate(voxels, grid, n, mirror=(0, 0, 0), height=None):
+    if _many(grid, height):
+        return slabs.dilate(voxels, grid, n, mirror, height)
     return each_volume(voxels, lambda r: raster.dilate(r, n, mirror), grid)
 
 
-def close(voxels, grid, n, mirror=(0, 0, 0)):
+def close(voxels, grid, n, mirror=(0, 0, 0), height=None):
+    if _many(grid, height):
+        return slabs.close(voxels, grid, n, mirror, height)
     return each_volume(voxels, lambda r: raster.close(r, n, mirror), grid)
 
 
-def open_(voxels, grid, n):
+def open_(voxels, grid, n, height=None):
+    if _many(grid, height):
+        return slabs.open_(voxels, grid, n, height)
     return each_volume(voxels, lambda r: raster.open_(r, n), grid)
 
 
-def gauss_band(voxels, grid, low, high, sigma=2.0, support=3):
+def gauss_band(voxels, grid, low, high, sigma=2.0, support=3, height=None):
+    if _many(grid, height) and not low <= 0 <= high:
+        return slabs.gauss_band(voxels, grid, raster.whole_number(low, "low"), raster.whole_number(high, "high"), sigma, support, height)
     return each_volume(voxels, lambda r: raster.gauss_band(r, sigma, support, low, high), grid)
 
 

@@ -343,7 +343,7 @@ def seg_gauss(spark, sf):
 
 @query(f"SELECT vol_id, z, y, x, 127 AS v FROM {_SMOOTH} WHERE v BETWEEN 1500 AND 1900 AND z BETWEEN 3 AND 8 AND y BETWEEN 3 AND 20 AND x BETWEEN 3 AND 20")
 def seg_gauss_kernel(spark, sf):
-    return W.gauss_band(_bright(spark, sf), GRID, 1500, 1900)
+    return W.gauss_band(_bright(spark, sf), GRID, 1500, 1900, height=4)
 
 
 def _near_sql(source: str, n: int) -> str:
@@ -383,7 +383,7 @@ def erosion_1(spark, sf):
 
 @query(_DENSE_MASK + _with_value(_erode_sql("thick", 3)))
 def erosion_3(spark, sf):
-    return V.erode(_thick(spark, sf), GRID, 3)
+    return W.erode(_thick(spark, sf), GRID, 3, height=4)
 
 
 @query(_DENSE_MASK + _with_value(_erode_sql("thick", 3)))
@@ -420,7 +420,7 @@ _CLOSED = f"(SELECT * FROM {_erode_sql(_box_sql(_near_sql('sparse', 1) + ' q', 3
 
 @query(_with_value(_CLOSED))
 def close_1(spark, sf):
-    return V.close(sparse(spark, sf), GRID, 1)
+    return W.close(sparse(spark, sf), GRID, 1, height=4)
 
 
 @query(_with_value(_CLOSED))
@@ -464,7 +464,7 @@ _EIGHT = _COMPONENTS.format(near="a.z = b.z AND greatest(abs(a.y - b.y), abs(a.x
 
 @query(_SIX + "SELECT vol_id, z, y, x, (dense_rank() OVER (PARTITION BY vol_id ORDER BY r))::INT AS v FROM sized")
 def label6(spark, sf):
-    return W.labels(sparse(spark, sf), GRID)
+    return W.labels(sparse(spark, sf), GRID, height=3)
 
 
 @query(_EIGHT + "SELECT vol_id, z, y, x, (dense_rank() OVER (PARTITION BY vol_id, z ORDER BY r))::INT AS v FROM sized")
@@ -479,7 +479,7 @@ def label6_sizes(spark, sf):
 
 @query(_SIX + "SELECT vol_id, z, y, x, 127 AS v FROM sized WHERE n BETWEEN 3 AND 20")
 def nr_extract(spark, sf):
-    return W.keep_sizes(sparse(spark, sf), GRID, 3, 20)
+    return W.keep_sizes(sparse(spark, sf), GRID, 3, 20, height=3)
 
 
 @query(_SIX + "SELECT vol_id, z, y, x FROM sized WHERE n BETWEEN 3 AND 20")
@@ -506,13 +506,13 @@ _BARS = "x <= 6 * (z // 3) + (y // 4) AND z % 3 = 0 AND y % 4 = 1"
 def rank_extract(spark, sf):
     """Components by rank of size: bars of 1 to 24 voxels, so no two are of one size."""
     bars = G.lattice(grey(spark, sf), GRID).where("x <= 6 * (z DIV 3) + (y DIV 4) AND z % 3 = 0 AND y % 4 = 1").withColumn("v", F.lit(1))
-    return W.keep_ranks(bars, GRID, 2, 4)
+    return W.keep_ranks(bars, GRID, 2, 4, height=3)
 
 
 @query(_SIX + """, edge AS (SELECT DISTINCT vol_id, r FROM sized WHERE z IN (0, 11) OR y IN (0, 23) OR x IN (0, 23))
 SELECT s.vol_id, s.z, s.y, s.x, 127 AS v FROM sized s SEMI JOIN edge USING (vol_id, r)""")
 def rank_extract_joined(spark, sf):
-    return W.keep_ranks(sparse(spark, sf), GRID, 1, 1, join_border=True)
+    return W.keep_ranks(sparse(spark, sf), GRID, 1, 1, join_border=True, height=5)
 
 
 _HYST = """~ d AS (SELECT lat.vol_id, lat.z, lat.y, lat.x, coalesce(grey.v, 0) AS v FROM lat LEFT JOIN grey USING (vol_id, z, y, x)),

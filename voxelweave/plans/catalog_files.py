@@ -7,8 +7,6 @@ Volumes are written by the executors into the shared folder and read by slabs, b
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +20,7 @@ from ..operators.grid import AXES, KEYS, Grid
 from ..sources import images as I
 from ..sources import records as R
 from ..sources import volumes as VF
+from ..sources.shared import folder as _folder
 from .catalog import _DIAMOND, GRID, _diamond, _t, grey, mask, part, query, shifted, sparse
 from . import given as GM
 from .workflow import headers, thresholds
@@ -29,16 +28,6 @@ from .workflow import headers, thresholds
 _EL = (0.06069973, 0.06069973, 0.06069973)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.gettempdir() + "/voxelweave-files"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _written(spark, name: str, ending: str, volumes: dict[str, list[dict]], encode) -> str:
     folder = _folder(spark, name)
     for vol_id, data in volumes.items():
