@@ -95,3 +95,9 @@ def test_phantom(spark):
     y, x = F.col("y") - 200, F.col("x") - 100
     pores = catalog.pore_cascade(spark, SF)
     assert pores.count() > 0 and pores.where((2 * y - 89) * (2 * y - 89) + (2 * x - 89) * (2 * x - 89) > 6400).count() == 0
+
+
+def test_chains_by_sql(spark):
+    key = lambda r: (r.vol_id, r.z, r.contour, r.kind, r.i, r.y, r.x)
+    got, want = (sorted(map(key, catalog.queries()[n](spark, SF).collect())) for n in ("slice_chains_sql", "contour_chains"))
+    assert got == want and len(got) > 10

@@ -105,3 +105,21 @@ def test_decisions(spark):
     df = spark.createDataFrame([(["a", "b"], "Pat L_raduis 3")], "c array<string>, n string")
     r = df.select(D.section_kind(F.col("c"), {"first": ["a", "x"], "second": ["a"], "third": ["b"]}).alias("k"), D.bone_of(F.col("n"), {"raduis": "radius"}).alias("b"), D.stand_in(F.lit(None).cast("int"), F.lit(3)).alias("s")).first()
     assert (r.k, r.b, r.s) == ("second", "left radius", 3)
+
+
+def test_sketches_merge_in_any_order(spark):
+    import random
+
+    from voxelweave.functions import sketches as K
+
+    rng = random.Random(2)
+    rows = [(f"s{k % 20}", rng.randrange(3000)) for k in range(20_000)] + [("s1", None)]
+    parts = K.scan_sketches(spark.createDataFrame(rows, "scan string, v int"), "scan")
+    estimate = lambda df: df.select("n", K.distinct_count().alias("d"), K.quantile(0.9).alias("q"), K.rank(F.lit(1500.0)).alias("r")).first()
+    at_once = estimate(K.pooled_sketches(parts))
+    by_steps = estimate(K.pooled_sketches(K.pooled_sketches(parts.orderBy(F.desc("scan")).withColumn("g", F.substring("scan", 2, 1)), "g")))
+    values = sorted(v for _, v in rows if v is not None)
+    for got in (at_once, by_steps):
+        assert got.n == 20_000 and abs(got.d - len(set(values))) <= K.distinct_error() * len(set(values))
+        assert abs(sum(v <= got.q for v in values) / 20_000 - 0.9) <= K.rank_error() + 1 / 3000 and abs(got.r - sum(v <= 1500 for v in values) / 20_000) <= K.rank_error() + 1 / 3000
+    assert at_once.d == by_steps.d

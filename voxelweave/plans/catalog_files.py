@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
+from ..functions import denylist as DL
+from ..functions import policy as P
+from ..functions import sketches as K
 from ..functions import statistics as S
+from ..functions import tables as TF
 from ..functions import text as X
 from ..operators import grid as G
 from ..operators import voxel as V
@@ -21,7 +25,7 @@ from ..sources import images as I
 from ..sources import records as R
 from ..sources import volumes as VF
 from ..sources.shared import folder as _folder
-from .catalog import _DIAMOND, GRID, _diamond, _t, grey, mask, part, query, shifted, sparse
+from .catalog import _DIAMOND, GRID, _blob, _diamond, _t, grey, mask, part, query, shifted, sparse
 from . import given as GM
 from .workflow import headers, thresholds
 
@@ -399,3 +403,60 @@ def given_masks(spark, sf):
     report = GM.compare_maps(results, found)
     long = report.select("vol_id", F.explode(F.array(*[F.struct(F.concat("name", F.lit(f" {c}")).alias("name"), F.col(c).cast("double").alias("value")) for c in ("voxels", "mismatches", "ours_only", "ref_only", "ours_support", "ref_support")])).alias("r"))
     return metrics.unionByName(long.select("vol_id", "r.*").withColumn("note", F.lit(None).cast("string")))
+
+
+# ---- identifiers and nested records
+
+
+@query('SELECT o_orderkey, p.k::INT AS "at", c_name AS term FROM orders JOIN customer ON c_custkey = o_custkey, (VALUES (51), (70)) p(k)')
+def denylist_terms(spark, sf):
+    """Every customer's name as a term, in a text for each order: alone in any case, before a digit (no hit), behind a letter (no hit)."""
+    customers = _t(spark, sf, "customer")
+    name = F.col("c_name")
+    text = F.concat(F.lit("first "), F.upper(name), F.lit("7; x"), name, F.lit(" and "), F.lower(name), F.lit("\n"), name)
+    texts = _t(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", text.alias("text"))
+    terms = [r.c_name for r in customers.select("c_name").distinct().collect()]  # a denylist is held by the driver
+    return DL.find_terms(texts, "text", terms).select("o_orderkey", "at", "term")
+
+
+_RECORD = """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS site, CASE WHEN c_custkey % 5 <> 0 THEN 'r' || (c_custkey % 3) END AS first_role,
+CASE WHEN c_custkey % 5 <> 0 THEN 2 ELSE 0 END AS roles, c_nationkey::BIGINT AS n, CASE WHEN c_custkey % 2 = 0 THEN 'line,note' ELSE 'line' END AS evidence FROM customer"""
+
+
+@query(_RECORD)
+def nested_policy(spark, sf):
+    """A nested record of every customer: names and paths go at every depth, the rest stays."""
+    k = F.col("c_custkey")
+    role = lambda i: F.struct(F.concat(F.lit("r"), (k % 3 + i).cast("string")).alias("role"), F.col("c_name").alias("path"))
+    record = _t(spark, sf, "customer").select(
+        "c_custkey", F.when(k % 7 != 0, F.struct(F.col("c_mktsegment").alias("site"), F.col("c_name").alias("name"))).alias("meta"),
+        F.when(k % 5 != 0, F.array(role(0), role(1))).otherwise(F.slice(F.array(role(0)), 1, 0)).alias("files"),
+        F.create_map(F.lit("scan"), F.struct(F.col("c_name").alias("path"), F.col("c_nationkey").cast("long").alias("n"))).alias("inputs"),
+        F.map_filter(F.create_map(F.lit("line"), F.lit(1), F.lit("log"), F.lit(2), F.lit("note"), F.lit(3)), lambda key, _: (key != "note") | (k % 2 == 0)).alias("evidence"), F.struct("c_name", "c_acctbal").alias("spare"),
+    )
+    policy = {"c_custkey": "keep", "meta.site": "keep", "meta.name": "drop", "files[].role": "keep", "files[].path": "drop", "inputs{}.path": "drop", "inputs{}.n": "keep", "evidence": "keep", "evidence{log}": "drop", "spare": "drop"}
+    out = P.apply_policy(record, policy)
+    return out.select("c_custkey", F.col("meta.site").alias("site"), F.get("files", F.lit(0))["role"].alias("first_role"), F.size("files").alias("roles"), F.col("inputs")["scan"]["n"].alias("n"), F.array_join(F.array_sort(F.map_keys("evidence")), ",").alias("evidence"))
+
+
+# ---- sketches, table functions
+
+
+@query("SELECT substr(vol_id, 2, 1) AS pool, count(*) AS n, count(DISTINCT v) AS kinds, true AS kinds_close, true AS median_close FROM grey GROUP BY 1")
+def pooled_sketches(spark, sf):
+    """Sketches of every volume, merged for pools of volumes, beside the exact numbers: both lie within the bounds."""
+    voxels = grey(spark, sf)
+    pool = F.substring("vol_id", 2, 1).alias("pool")
+    merged = K.pooled_sketches(K.scan_sketches(voxels, "vol_id").withColumn("pool", pool), "pool")
+    guess = merged.select("pool", "n", K.distinct_count().alias("guess"), K.quantile(0.5).alias("median"))
+    exact = voxels.groupBy(pool).agg(F.countDistinct("v").alias("kinds"))
+    beside = voxels.select(pool, "v").join(guess, "pool").groupBy("pool", "n", "guess").agg(F.avg((F.col("v") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("median")).cast("int")).alias("up_to"))
+    e = K.rank_error()
+    return exact.join(beside, "pool").select("pool", "n", "kinds", (F.abs(F.col("guess") - F.col("kinds")) <= F.ceil(F.col("kinds") * K.distinct_error())).alias("kinds_close"), ((F.col("below") <= 0.5 + e) & (F.col("up_to") >= 0.5 - e)).alias("median_close"))
+
+
+@query()
+def slice_chains_sql(spark, sf):
+    """The contours of every slice by SQL alone."""
+    VF.planes(_blob(spark, sf), Grid(GRID.shape, GRID.origin, _EL)).createOrReplaceTempView("slices")
+    return TF.register(spark).sql("SELECT s.vol_id, s.z, c.* FROM slices s, LATERAL slice_chains(s.data, s.dtype, s.oy, s.ox, s.ny, s.nx) c")
