@@ -219,6 +219,38 @@ def _aligned(r: Raster, el, grey: Raster, own, what: str) -> np.ndarray:
     return r.like(grey) != 0
 
 
+def scan_rows(vol_id: str, layers: dict[str, list[dict]], values: dict, p: Evaluation, redo: bool = False) -> list[tuple]:
+    """RESULT rows of one scan from its slices by layer and its calibration; a failure is a result too."""
+    try:
+        layers = dict(layers)
+        if "grey" not in layers:
+            raise ValueError("there is no scan of this name")
+        grey, el = stack(layers.pop("grey"))
+        if missing := [n for n in CALIBRATION if values.get(n) is None]:
+            raise ValueError(f"the scan's log has no calibration ({', '.join(missing)}); give calibration values")
+        own = replace(p, calibration=Calibration(*(values[n] for n in CALIBRATION)))
+        others = {n: _aligned(*stack(s), grey, el, n) for n, s in layers.items()}
+        if not redo:
+            if "contour" not in others:
+                raise ValueError("there is no contour of this name")
+            found = find_masks(grey, others["contour"], own)
+        else:
+            empty = np.zeros(grey.shape, bool)
+            before = Masks(*(others.get(n, empty) for n in ("periosteal", "cort", "trab")))
+            check_masks(before)
+            found = apply_edits(grey, before, own, **{n.removeprefix("new "): m for n, m in others.items() if n.startswith("new ")})
+        check_masks(found)
+        result, made = measure(grey, el, found, own)
+        metrics = result.metrics | {"calibration": values.get("source")} | ({"edited": " ".join(found.edited)} if found.edited else {})
+        drawn = {n: grey.with_on(m, 1) for n, m in (("periosteal", found.periosteal), ("cort", found.cort), ("trab", found.trab))}
+        drawn |= {n: Raster(m.astype(np.int16), grey.origin) for n, m in made.items()} | result.maps
+        out = [row for n, r in drawn.items() for row in _layer_rows(vol_id, n, r, el)]
+    except Exception as e:  # one scan's failure is a result
+        metrics, out = {"error": _reason(e)}, []
+    none = (None,) * 9
+    return out + [(vol_id, n, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None, *none) for n, v in sorted(metrics.items())]
+
+
 def evaluate_scans(scans: DataFrame, contours: DataFrame, params: Evaluation | None = None, overrides: dict[str, float] | None = None, edits: dict[str, DataFrame] | None = None, masks: DataFrame | None = None) -> DataFrame:
     """RESULT rows of each scan: its metrics, masks (``periosteal, cort, trab``), segmentation, maps and pores.
 
@@ -250,37 +282,10 @@ def evaluate_scans(scans: DataFrame, contours: DataFrame, params: Evaluation | N
         names = [f.split()[0] for f in RESULT.split(", ")]
         if not slices.num_rows:  # a header without an edit
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
-        try:
-            layers: dict[str, list[dict]] = {}
-            for r in slices.to_pylist():
-                layers.setdefault(r["layer"], []).append(r)
-            if "grey" not in layers:
-                raise ValueError("there is no scan of this name")
-            grey, el = stack(layers.pop("grey"))
-            values = header.to_pylist()[0] if header.num_rows else {}
-            if missing := [n for n in CALIBRATION if values.get(n) is None]:
-                raise ValueError(f"the scan's log has no calibration ({', '.join(missing)}); give calibration values")
-            own = replace(p, calibration=Calibration(*(values[n] for n in CALIBRATION)))
-            others = {n: _aligned(*stack(s), grey, el, n) for n, s in layers.items()}
-            if not redo:
-                if "contour" not in others:
-                    raise ValueError("there is no contour of this name")
-                found = find_masks(grey, others["contour"], own)
-            else:
-                empty = np.zeros(grey.shape, bool)
-                before = Masks(*(others.get(n, empty) for n in ("periosteal", "cort", "trab")))
-                check_masks(before)
-                found = apply_edits(grey, before, own, **{n.removeprefix("new "): m for n, m in others.items() if n.startswith("new ")})
-            check_masks(found)
-            result, made = measure(grey, el, found, own)
-            metrics = result.metrics | {"calibration": values["source"]} | ({"edited": " ".join(found.edited)} if found.edited else {})
-            drawn = {n: grey.with_on(m, 1) for n, m in (("periosteal", found.periosteal), ("cort", found.cort), ("trab", found.trab))}
-            drawn |= {n: Raster(m.astype(np.int16), grey.origin) for n, m in made.items()} | result.maps
-            out = [row for n, r in drawn.items() for row in _layer_rows(vol_id, n, r, el)]
-        except Exception as e:  # one scan's failure is a result
-            metrics, out = {"error": _reason(e)}, []
-        none = (None,) * 9
-        out += [(vol_id, n, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None, *none) for n, v in sorted(metrics.items())]
+        layers: dict[str, list[dict]] = {}
+        for r in slices.to_pylist():
+            layers.setdefault(r["layer"], []).append(r)
+        out = scan_rows(vol_id, layers, header.to_pylist()[0] if header.num_rows else {}, p, redo)
         return pa.table({n: pa.array(list(c), k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
 
     return rows.groupBy("vol_id").cogroup(headers(scans, overrides).groupBy("vol_id")).applyInArrow(run, RESULT)
