@@ -88,7 +88,7 @@ def test_chains_close(spark):
 def test_phantom(spark):
     """The compartments of the phantom fill its contour, and its pores lie in the ring."""
     labels = catalog.compartment_labels(spark, SF)
-    scan, outline, grid = catalog.cylinder(spark)
+    scan, outline, grid = catalog.cylinder(spark, SF)
     assert labels.count() == outline.count() and {r.v for r in labels.select("v").distinct().collect()} == {1, 2}
     steps = {r.step: r.voxels for r in catalog.compartment_stages(spark, SF).collect()}
     assert len(steps) == 30 and steps["00_all"] == outline.count() == steps["28_cortfinal"] + steps["29_trabfinal"]

@@ -109,3 +109,19 @@ def test_the_same_layer_twice_is_an_error(spark):
     both = [r for n in ("SEG", "SEG", "TRAB_MASK") for r in rows(n, a, (0, 0, 0))]
     results = G.measure_given(slices(spark, both).withColumnRenamed("name", "layer"), which=("TRAB_TH",))
     assert [r.note for r in results.collect()] == ["TRAB_TH: several files hold the SEG"]
+
+
+def test_maps_apart_like_one_task(spark):
+    """Every metric of the whole evaluation, with the maps drawn in tasks of their own."""
+    from voxelweave.plans import catalog
+    from voxelweave.plans.morphometry import Maps
+    from voxelweave.plans.workflow import Evaluation, evaluate
+
+    scan, contour, grid = catalog.cylinder(spark, "/root/testdata/sf0.001")
+    small = Grid((14, 90, 90), grid.origin, grid.el)
+    scan, contour = (df.where("z < 314").persist() for df in (scan, contour))
+    none = spark.createDataFrame([("empty", 300, 200, 100, 1)], "vol_id string, z int, y int, x int, v int")
+    p = Evaluation(compartments=catalog._SMALL, maps=Maps(which=("TRAB_TH", "CORT_TH", "TRAB_TH_old")))
+    got, want = (sorted((r.vol_id, r.parameter, r.value, r.note) for r in f(scan.unionByName(none), contour, small, p).collect()) for f in (G.evaluate_apart, evaluate))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and ("empty", "error") in [r[:2] for r in got]
+    assert all(a == b or a[2] == pytest.approx(b[2], rel=1e-12) for a, b in zip(got, want))

@@ -22,7 +22,8 @@ from ..operators.grid import KEYS, Grid
 from .compartments import Compartments, compartment_steps, compartments
 from .morphometry import Maps
 from .pores import Pores, pores
-from .workflow import Evaluation, evaluate
+from .given import evaluate_apart
+from .workflow import Evaluation
 
 GRID = Grid((12, 24, 24))
 _QUERIES: dict[str, Callable] = {}
@@ -678,14 +679,16 @@ def seg_assembly(spark, sf):
     return V.overlay(cort, trab)
 
 
-def cylinder(spark, volumes: int = 1) -> DataFrame:
-    """The analytic scan: a shell, marrow with rods, and soft tissue."""
+def cylinder(spark, sf: str) -> tuple[DataFrame, DataFrame, Grid]:
+    """Analytic scans, one for every 200 suppliers: a shell, marrow with rods of a density from their balances, and soft tissue."""
     grid = Grid((40, 90, 90), (300, 200, 100), (0.06069973,) * 3)
+    group = F.concat(F.lit("cyl"), F.floor(F.col("s_suppkey") / 200).cast("string")).alias("vol_id")
+    scans = _t(spark, sf, "supplier").groupBy(group).agg((9000 + F.pmod(F.floor(F.sum("s_acctbal")), F.lit(600))).cast("int").alias("rod"))
     y, x = F.col("y") - 200, F.col("x") - 100
     r2 = (2 * y - 89) * (2 * y - 89) + (2 * x - 89) * (2 * x - 89)
-    lat = G.lattice(spark.range(volumes).select(F.concat(F.lit("cyl"), F.col("id")).alias("vol_id")), grid)
-    v = F.when(r2 > 6400, 300).when(r2 >= 4096, 12000).when((r2 < 3136) & (x % 8 < 3) & (y % 8 < 3), 9000).otherwise(1000)
-    return lat.select(*KEYS, v.cast("int").alias("v")), lat.where(r2 <= 6400).withColumn("v", F.lit(127)), grid
+    lat = G.lattice(scans, grid)
+    v = F.when(r2 > 6400, 300).when(r2 >= 4096, 12000).when((r2 < 3136) & (x % 8 < 3) & (y % 8 < 3), F.col("rod")).otherwise(1000)
+    return lat.join(scans, "vol_id").select(*KEYS, v.cast("int").alias("v")), lat.where(r2 <= 6400).withColumn("v", F.lit(127)), grid
 
 
 _SMALL = Compartments(corner_least=200, close_last=15)
@@ -693,19 +696,19 @@ _SMALL = Compartments(corner_least=200, close_last=15)
 
 @query()
 def compartment_labels(spark, sf):
-    scan, contour, grid = cylinder(spark)
+    scan, contour, grid = cylinder(spark, sf)
     return compartments(scan, contour, grid, _SMALL)
 
 
 @query()
 def compartment_stages(spark, sf):
-    scan, contour, grid = cylinder(spark)
+    scan, contour, grid = cylinder(spark, sf)
     return compartment_steps(scan, contour, grid, _SMALL)
 
 
 @query()
 def pore_cascade(spark, sf):
-    scan, contour, grid = cylinder(spark)
+    scan, contour, grid = cylinder(spark, sf)
     y, x = F.col("y") - 200, F.col("x") - 100
     r2 = (2 * y - 89) * (2 * y - 89) + (2 * x - 89) * (2 * x - 89)
     ring = contour.where(r2 >= 4096)
@@ -722,8 +725,8 @@ def ct_po(spark, sf):
 
 @query()
 def morphometry(spark, sf):
-    scan, contour, grid = cylinder(spark)
-    return evaluate(scan, contour, grid, Evaluation(compartments=_SMALL, maps=Maps(which=("TRAB_TH", "TRAB_SP", "TRAB_1N", "CORT_TH", "TRAB_TH_old"))))
+    scan, contour, grid = cylinder(spark, sf)
+    return evaluate_apart(scan, contour, grid, Evaluation(compartments=_SMALL, maps=Maps(which=("TRAB_TH", "TRAB_SP", "TRAB_1N", "CORT_TH", "TRAB_TH_old"))))
 
 
 # ---- statistics

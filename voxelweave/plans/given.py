@@ -9,6 +9,8 @@ in it.  ``comparison`` sums these up.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..operators import sphere
 from ..operators.contour import render
+from ..operators.grid import AXES, KEYS, Grid, raster_of
 from ..operators.raster import Raster
 from ..sources import volumes
-from .morphometry import Maps, map_report
-from .workflow import RESULT, SLICE, _reason, stack
+from ..sources.shared import written
+from .morphometry import Maps, boxed, map_report
+from .workflow import RESULT, SLICE, Evaluation, _reason, evaluate, find_masks, measure, stack
 
 #: Masks that are read, and the maps that each is needed for.
 NEEDS = {
@@ -204,3 +208,48 @@ def compare_maps(results: DataFrame, layers: DataFrame, union: bool = False) ->
     reference = layers.where(F.col("layer").isin(*MAPS)).withColumn("name", F.col("layer"))
     ids = reference.select("vol_id", "name").distinct()
     return comparison(joint_planes(ours.join(ids, ["vol_id", "name"], "left_semi"), reference, union))
+
+
+def evaluate_apart(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Evaluation | None = None) -> DataFrame:
+    """``vol_id, parameter, value, note``: what ``workflow.evaluate`` gives, each map of a scan in a task of its own.
+
+    A first task a scan finds its masks and segmentation, its densities and porosity.  The masks go on as
+    planes on their own boxes (a table on disk, so a lost task of a map does not repeat the first), and
+    the maps, which take most of the time, are drawn from them side by side.  Objects other than
+    the usual ones are left to ``workflow.evaluate``.
+    """
+    p = params or Evaluation()
+    if (p.maps.thickness_object, p.maps.fraction_object, p.maps.cort_object) != ("seg", "seg", "cort_mask"):
+        return evaluate(grey, periosteal, grid, params)
+    without = replace(p, maps=replace(p.maps, which=()))
+    part = lambda df, k: df.select(*KEYS, F.col("v").cast("int").alias("v"), F.lit(k).alias("layer"))
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), *[pa.int32()] * 5, *[pa.float64()] * 3, pa.binary()]
+    names = [f.split()[0] for f in RESULT.split(", ")]
+
+    def run(key, table):
+        vol_id = key[0].as_py()
+        layer = np.asarray(table.column("layer").combine_chunks())
+        columns = [np.asarray(table.column(a).combine_chunks()) for a in (*AXES, "v")]
+        scan, contour = (raster_of(*(c[layer == k] for c in columns), grid) for k in (0, 1))
+        out: list[tuple] = []
+        try:
+            masks = find_masks(scan, contour.on, p)
+            result, made = measure(scan, grid.el, masks, without)
+            metrics = result.metrics
+            for name, on in (("SEG", made["seg"] != 0), ("TRAB_MASK", masks.trab), ("CORT_MASK", masks.cort), ("TRAB_SEG", made["trab_seg"] != 0)):
+                if not on.any():
+                    continue
+                box, at = boxed(on, scan.origin)
+                for k, plane in enumerate(on[box].astype("<i2")):
+                    out.append((vol_id, name, None, None, at[0] + k, *at[1:], *plane.shape, *grid.el, np.ascontiguousarray(plane).tobytes() if plane.any() else b""))
+        except Exception as e:  # one scan's failure is a result
+            metrics, out = {"error": _reason(e)}, []
+        out += [(vol_id, n, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None, *(None,) * 9) for n, v in sorted(metrics.items())]
+        return pa.table({n: pa.array(list(c), k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
+
+    first = written(part(grey, 0).unionByName(part(periosteal, 1)).groupBy("vol_id").applyInArrow(run, RESULT), "scans")
+    layers = first.where("data IS NOT NULL").withColumns({"layer": F.col("name"), "dtype": F.lit("i2")})
+    maps = measure_given(layers, p.maps, p.maps.which).where("data IS NULL")
+    own = first.where("data IS NULL")
+    twice = F.col("name").isin("BV_voxels", "TV_voxels", "BV_TV", "BV_mm3", "TV_mm3")
+    return own.unionByName(maps.where(~twice)).select("vol_id", F.col("name").alias("parameter"), "value", "note")
