@@ -37,11 +37,9 @@ def command_blocks(lines: DataFrame, command: Column, banner: Column, *keys: str
     return lines.withColumn("block", F.sum(command.cast("int")).over(w)).withColumn("run", F.sum(banner.cast("int")).over(w))
 
 
-def choose_run(runs: DataFrame, products: DataFrame, *keys: str) -> DataFrame:
-    """The run that fits the time stamps of products best.
+def run_scores(runs: DataFrame, products: DataFrame, *keys: str) -> DataFrame:
+    """How many time stamps of products lie ``inside`` each run, and ``after`` its end.
 
-    A stamp inside a run speaks for it, one after its end against it; stamps before it say
-    nothing.  Ranked by no refutation, agreement less disagreement, stamps inside, and start.
     Starts, ends and stamps of a key stand in one order of time, and running counts of the
     stamps at a run's two ends give both numbers, so runs and stamps are never paired.
     """
@@ -57,7 +55,16 @@ def choose_run(runs: DataFrame, products: DataFrame, *keys: str) -> DataFrame:
     line = line.withColumn("seen", F.count_if(F.col("kind") == 1).over(before)).withColumn("all", F.count_if(F.col("kind") == 1).over(Window.partitionBy(*k)))
     per = line.where("kind <> 1").groupBy(*k, "run", "start", "end").agg(F.max(F.when(F.col("kind") == 0, F.col("seen"))).alias("early"), F.max(F.when(F.col("kind") == 2, F.col("seen"))).alias("late"), F.max("all").alias("all"))
     inside = F.greatest(F.col("late") - F.col("early"), F.lit(0))
-    scored = per.select(*k, "run", "start", "end", inside.alias("inside"), (F.col("all") - F.col("late")).alias("after"))
+    return per.select(*k, "run", "start", "end", inside.alias("inside"), (F.col("all") - F.col("late")).alias("after"))
+
+
+def choose_run(runs: DataFrame, products: DataFrame, *keys: str) -> DataFrame:
+    """The run that fits the time stamps of products best.
+
+    A stamp inside a run speaks for it, one after its end against it; stamps before it say
+    nothing.  Ranked by no refutation, agreement less disagreement, stamps inside, and start.
+    """
+    k, scored = list(keys), run_scores(runs, products, *keys)
     w = Window.partitionBy(*k).orderBy((F.col("after") > 0).cast("int"), F.desc(F.col("inside") - F.col("after")), F.desc("inside"), F.desc("start"), "run")
     return scored.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 

@@ -18,6 +18,7 @@ from ..functions import sketches as K
 from ..functions import statistics as S
 from ..functions import tables as TF
 from ..functions import text as X
+from ..functions import variants as VA
 from ..operators import grid as G
 from ..operators import voxel as V
 from ..operators.grid import AXES, KEYS, Grid
@@ -460,3 +461,58 @@ def slice_chains_sql(spark, sf):
     """The contours of every slice by SQL alone."""
     VF.planes(_blob(spark, sf), Grid(GRID.shape, GRID.origin, _EL)).createOrReplaceTempView("slices")
     return TF.register(spark).sql("SELECT s.vol_id, s.z, c.* FROM slices s, LATERAL slice_chains(s.data, s.dtype, s.oy, s.ox, s.ny, s.nx) c")
+
+
+# ---- variants
+
+
+_EVENTS = """, b AS (SELECT user_id % 40 AS k, user_id::VARCHAR AS log, event_id % 3 AS run, event_id AS line, event_id % 5 <> 0 AS ok, (event_id % 2)::VARCHAR AS input,
+  CASE event_type WHEN 'click' THEN 'mask' WHEN 'view' THEN 'extract' WHEN 'purchase' THEN 'filter' WHEN 'signup' THEN 'fill' ELSE 'other' END AS name,
+  CASE WHEN event_id % 7 < 3 THEN 'X_TRAB_MASK.GOBJ' ELSE 'x.gobj' END AS gobj FROM events),
+f AS (SELECT k, log, max(line) AS line, arg_max(run, line) AS run, arg_max(input, line) AS input FROM b WHERE name = 'filter' GROUP BY 1, 2),
+s AS (SELECT b.*, f.line AS fl, f.input AS fi, min(CASE WHEN b.name = 'extract' THEN b.line END) OVER (PARTITION BY b.k, b.log) AS fx FROM b JOIN f ON b.k = f.k AND b.log = f.log AND b.run = f.run),
+a AS (SELECT k, log, any_value(run) AS run, any_value(fl) AS filter_line, any_value(fi) AS fi, any_value(fx) AS extract_line,
+  max(line) FILTER (name = 'fill' AND line < fl) AS fill_line, arg_max(ok, line) FILTER (name = 'fill' AND line < fl) AS fill_ok, arg_max(input, line) FILTER (name = 'fill' AND line < fl) AS fill_in,
+  min(line) FILTER (name = 'mask' AND ok) AS mask_line, min(line) FILTER (name = 'mask' AND line > coalesce(fx, -1) AND gobj = 'X_TRAB_MASK.GOBJ') AS trab_line,
+  arg_min(ok, line) FILTER (name = 'mask' AND line > coalesce(fx, -1) AND gobj = 'X_TRAB_MASK.GOBJ') AS trab_ok FROM s GROUP BY 1, 2),
+t AS (SELECT k, log, run, CASE WHEN fill_ok AND fill_in = fi THEN 'duplicate' ELSE 'none' END AS border,
+  CASE WHEN mask_line < extract_line THEN 'periosteal_first' WHEN mask_line IS NOT NULL AND extract_line IS NOT NULL THEN 'gobj_first' END AS "order",
+  CASE WHEN trab_ok THEN 'gobj' WHEN trab_line IS NOT NULL THEN 'none' END AS trab_mask, filter_line, fill_line, mask_line, extract_line, trab_line FROM a)"""
+_NAMES = VA.Commands("filter", "fill", "mask", "extract")
+
+
+def _blocks(spark, sf) -> DataFrame:
+    e, kind = _t(spark, sf, "events"), F.col("event_type")
+    name = F.when(kind == "click", "mask").when(kind == "view", "extract").when(kind == "purchase", "filter").when(kind == "signup", "fill").otherwise("other")
+    n = F.col("event_id")
+    return e.select((F.col("user_id") % 40).alias("k"), F.col("user_id").cast("string").alias("log"), (n % 3).alias("run"), n.alias("line"), name.alias("name"), (n % 5 != 0).alias("ok"), (n % 2).cast("string").alias("input"), F.when(n % 7 < 3, "X_TRAB_MASK.GOBJ").otherwise("x.gobj").alias("gobj"))
+
+
+@query(_EVENTS + " SELECT * FROM t")
+def transcript_variants(spark, sf):
+    """What each transcript says of the segmentation, with the lines that say it."""
+    return VA.transcript_variants(_blocks(spark, sf), "k", commands=_NAMES)
+
+
+@query(_EVENTS + """, r AS (SELECT user_id % 40 AS k, user_id::VARCHAR AS log, min(floor(epoch(ts)))::BIGINT AS start, min(floor(epoch(ts)))::BIGINT + 400000 AS stop FROM events GROUP BY 1, 2),
+p AS (SELECT user_id % 40 AS k, event_id % 3 = 0 AS fill, event_id % 4 = 0 AS mask, floor(epoch(ts))::BIGINT AS ts FROM events WHERE event_type = 'error'),
+v AS (SELECT k, count(*) FILTER (fill) AS fills, count(*) FILTER (mask) AS masks, count(*) AS files FROM p GROUP BY 1),
+i AS (SELECT r.k, r.log, r.start, r.stop, count(*) FILTER (ts BETWEEN r.start AND r.stop) AS inside, count(*) FILTER (ts > r.stop) AS after FROM r LEFT JOIN p ON p.k = r.k GROUP BY ALL),
+o AS (SELECT t.*, i.start, inside, after, CASE WHEN border = 'duplicate' THEN coalesce(fills, 0) ELSE coalesce(files, 0) - coalesce(fills, 0) END + CASE WHEN coalesce(trab_mask, '') = 'gobj' THEN coalesce(masks, 0) ELSE coalesce(files, 0) - coalesce(masks, 0) END AS agreements, 2 * coalesce(files, 0) AS of_all FROM t JOIN i ON i.k = t.k AND i.log = t.log LEFT JOIN v ON v.k = t.k),
+q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN after > 0 THEN 1 ELSE 0 END, 2 * agreements - of_all DESC, inside DESC, start DESC, log) AS place FROM o),
+n AS (SELECT n_nationkey + g AS k, n_nationkey % 3 = 0 AS has_seg, CASE WHEN n_nationkey % 6 = 0 THEN 'D3P_Cl_ExtractNumber_CPP' || CASE WHEN n_nationkey % 4 = 0 THEN ' D3P_GobjOrAimMaskAimPeel_OW D3P_Cl_Label_CPP' ELSE ' D3P_FillOffsetDuplicate' END END AS seg_log FROM nation, (VALUES (0), (25)) z(g))
+SELECT n.k::BIGINT AS k, CASE WHEN has_seg AND seg_log IS NOT NULL THEN CASE WHEN seg_log LIKE '%Fill%' THEN 'duplicate' ELSE 'none' END WHEN NOT has_seg AND log IS NOT NULL THEN border ELSE 'duplicate' END AS border,
+  CASE WHEN has_seg AND seg_log IS NOT NULL THEN CASE WHEN seg_log LIKE '%Mask%Label%' THEN 'periosteal_first' ELSE 'gobj_first' END WHEN NOT has_seg AND log IS NOT NULL THEN coalesce("order", 'periosteal_first') ELSE 'periosteal_first' END AS "order",
+  CASE WHEN has_seg AND seg_log IS NOT NULL THEN CASE WHEN seg_log LIKE '%Extract%Mask%' THEN 'gobj' ELSE 'none' END WHEN NOT has_seg AND log IS NOT NULL THEN coalesce(trab_mask, 'gobj') ELSE 'gobj' END AS trab_mask,
+  CASE WHEN has_seg AND seg_log IS NOT NULL THEN 'processing log' WHEN NOT has_seg AND log IS NOT NULL THEN 'evaluation log' ELSE 'default' END AS source, CASE WHEN NOT has_seg THEN log END AS log
+FROM n LEFT JOIN q ON q.k = n.k AND q.place = 1""")
+def scan_variants(spark, sf):
+    """The variant of every scan: by its segmentation's log, by the run that made its files, or by default."""
+    e = _t(spark, sf, "events").withColumns({"k": F.col("user_id") % 40, "t": F.unix_timestamp("ts")})
+    runs = e.groupBy("k", F.col("user_id").cast("string").alias("log")).agg(F.min("t").alias("start")).withColumn("end", F.col("start") + 400000)
+    products = e.where("event_type = 'error'").select("k", (F.col("event_id") % 3 == 0).alias("fill"), (F.col("event_id") % 4 == 0).alias("mask"), F.col("t").alias("ts"))
+    n = F.col("n_nationkey")
+    entry = F.concat(F.lit("D3P_Cl_ExtractNumber_CPP"), F.when(n % 4 == 0, " D3P_GobjOrAimMaskAimPeel_OW D3P_Cl_Label_CPP").otherwise(" D3P_FillOffsetDuplicate"))
+    scans = _t(spark, sf, "nation").select(F.explode(F.array(n.cast("long"), n.cast("long") + 25)).alias("k"), (n % 3 == 0).alias("has_seg"), F.when(n % 6 == 0, entry).alias("seg_log"))
+    facts = VA.transcript_variants(_blocks(spark, sf), "k", commands=_NAMES)
+    return VA.variants(scans, VA.chosen_logs(facts, runs, products, "k"), "k")
