@@ -33,6 +33,8 @@ _END = (1 << 20) - 1
 CACHE_UNITS = 200_000
 #: Rows and bytes that are encoded at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: The same where ids and decoded texts of a batch are held as well: less memory, and no more time.
+ENCODED_ROWS, ENCODED_BYTES = 250, 1 << 20
 #: Bytes of the longest piece that is merged together with others.
 LONGEST = 64
 #: Unicode white space.
@@ -419,7 +421,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
 
     def run(batches):
         own = codec(path)
-        for batch in larger(batches):
+        for batch in larger(batches, ENCODED_ROWS, ENCODED_BYTES):
             ids = own.encode_all([t or "" for t in batch.column(taken.index(text_col)).to_pylist()])
             flat = np.frombuffer(b"".join(ids), "<i4")
             out = [pa.ListArray.from_arrays(_spans([len(x) // 4 for x in ids], len(flat)), pa.array(flat, pa.int32()))]
