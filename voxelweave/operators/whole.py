@@ -105,11 +105,12 @@ def chains(voxels: DataFrame, grid: Grid, min_vertices: int = contour.MIN_VERTIC
 
 
 def nearest_contact(voxels: DataFrame, grid: Grid) -> DataFrame:
-    """``vol_id, z, y, x, vz, vy, vx``: the contact offset of each set voxel."""
+    """``vol_id, z, y, x, vz, vy, vx``: the contact offset of each set voxel; an object that fills the grid has none."""
 
     def run(key, table):
         r = raster_of(*(table.column(a) for a in AXES), table.column("v"), grid)
-        field, at = sphere.nearest_contact(r.on), np.nonzero(r.on)
+        on = r.on if not r.on.all() else np.zeros_like(r.on)
+        field, at = sphere.nearest_contact(on), np.nonzero(on)
         return pa.table({"vol_id": pa.array([key[0].as_py()] * len(at[0]), pa.string()), **{a: pa.array((p + o).astype(np.int32)) for a, p, o in zip(AXES, at, r.origin, strict=True)}, **{f"v{a}": pa.array(f[at].astype(np.int32)) for a, f in zip(AXES, field, strict=True)}})
 
     rows = crop(voxels, grid).select(*KEYS, F.col("v").cast("int").alias("v"))
@@ -117,9 +118,19 @@ def nearest_contact(voxels: DataFrame, grid: Grid) -> DataFrame:
 
 
 def sphere_map(voxels: DataFrame, region: DataFrame, grid: Grid, kind: str = "thickness", **how) -> DataFrame:
-    """Diameters in voxels: ``thickness``, ``spacing`` or ``number`` inside the region."""
+    """Diameters in voxels: ``thickness``, ``spacing`` or ``number`` inside the region.
+
+    Where nothing bounds the spheres (the object, or what it leaves, fills the grid) a volume's map is empty.
+    """
     draw = {"thickness": sphere.thickness, "spacing": sphere.spacing, "number": sphere.number}[kind]
-    return each_volume_with(voxels, region, lambda a, b: Raster(draw(a.on, b.on, **how)[0], a.origin), grid)
+
+    def run(a: Raster, b: Raster) -> Raster:
+        try:
+            return Raster(draw(a.on, b.on, **how)[0], a.origin)
+        except sphere.NoBackground:
+            return Raster(np.zeros(a.shape, np.int16), a.origin)
+
+    return each_volume_with(voxels, region, run, grid)
 
 
 def frequency_threshold(voxels: DataFrame, grid: Grid, **how) -> DataFrame:
