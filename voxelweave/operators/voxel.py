@@ -63,13 +63,13 @@ def band(voxels: DataFrame, low: float | Column, high: float | Column, value: in
 # ---- mask arithmetic
 
 
-def set_value(voxels: DataFrame, on: int, off: int = 0, grid: Grid | None = None) -> DataFrame:
-    """``on`` for what is set (a negative value is), ``off`` elsewhere; ``off`` needs the grid."""
+def set_value(voxels: DataFrame, on: int, off: int = 0, grid: Grid | None = None, volumes: DataFrame | None = None) -> DataFrame:
+    """``on`` for what is set (a negative value is), ``off`` elsewhere; ``off`` needs the grid.  Volumes without a row are those of ``volumes``."""
     if off == 0:
         return voxels.where("v <> 0").select(*KEYS, F.lit(on).alias("v")).where("v <> 0")
     if grid is None:
         raise ValueError("a value for the background needs the grid")
-    return dense(voxels, grid).select(*KEYS, F.when(F.col("v") != 0, on).otherwise(off).alias("v")).where("v <> 0")
+    return dense(voxels, grid, volumes=volumes).select(*KEYS, F.when(F.col("v") != 0, on).otherwise(off).alias("v")).where("v <> 0")
 
 
 def saturated(a: DataFrame, b: DataFrame, sign: int) -> DataFrame:
@@ -172,8 +172,9 @@ def chamfer_offsets(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def background(voxels: DataFrame, grid: Grid) -> DataFrame:
-    return lattice(voxels, grid).join(voxels.where("v <> 0").select(*KEYS), list(KEYS), "left_anti")
+def background(voxels: DataFrame, grid: Grid, volumes: DataFrame | None = None) -> DataFrame:
+    """The grid's voxels that are not set.  A volume without a row in ``voxels`` is empty, so it counts only if it is in ``volumes``."""
+    return lattice(voxels if volumes is None else volumes, grid).join(voxels.where("v <> 0").select(*KEYS), list(KEYS), "left_anti")
 
 
 #: Up to this many steps morphology is a join with a table of offsets (155 rows a voxel at 3, 13,423

@@ -188,7 +188,7 @@ def set_value(spark, sf):
 
 @query("SELECT lat.vol_id, lat.z, lat.y, lat.x, 127 AS v FROM lat ANTI JOIN mask USING (vol_id, z, y, x)")
 def invert_mask(spark, sf):
-    return V.set_value(mask(spark, sf), 0, 127, GRID)
+    return V.set_value(mask(spark, sf), 0, 127, GRID, grey(spark, sf))
 
 
 _CHAR = """~ t AS (SELECT vol_id, z, y, x, greatest(-127, least(127, coalesce(a.v, 0) {sign} coalesce(b.v, 0)))::INT AS v
@@ -368,9 +368,9 @@ _DENSE_MASK = "~ thick AS (SELECT lat.vol_id, lat.z, lat.y, lat.x FROM lat ANTI
 
 
 def _thick(spark, sf):
-    """A mask with few holes, so that something survives an erosion."""
+    """A mask with few holes, so that something survives an erosion; a volume with nothing sparse is full."""
     s = sparse(spark, sf)
-    return V.background(s, GRID).unionByName(s.where("z < 8").select(*KEYS)).withColumn("v", F.lit(127))
+    return V.background(s, GRID, grey(spark, sf)).unionByName(s.where("z < 8").select(*KEYS)).withColumn("v", F.lit(127))
 
 
 def _with_value(sql: str) -> str:
