@@ -686,9 +686,8 @@ def cylinder(spark, sf: str) -> tuple[DataFrame, DataFrame, Grid]:
     scans = _t(spark, sf, "supplier").groupBy(group).agg((9000 + F.pmod(F.floor(F.sum("s_acctbal")), F.lit(600))).cast("int").alias("rod"))
     y, x = F.col("y") - 200, F.col("x") - 100
     r2 = (2 * y - 89) * (2 * y - 89) + (2 * x - 89) * (2 * x - 89)
-    lat = G.lattice(scans, grid)
     v = F.when(r2 > 6400, 300).when(r2 >= 4096, 12000).when((r2 < 3136) & (x % 8 < 3) & (y % 8 < 3), F.col("rod")).otherwise(1000)
-    return lat.join(scans, "vol_id").select(*KEYS, v.cast("int").alias("v")), lat.where(r2 <= 6400).withColumn("v", F.lit(127)), grid
+    return G.lattice(scans, grid, "rod").select(*KEYS, v.cast("int").alias("v")), G.lattice(scans, grid).where(r2 <= 6400).withColumn("v", F.lit(127)), grid
 
 
 _SMALL = Compartments(corner_least=200, close_last=15)

@@ -1,7 +1,7 @@
 """Separation of a scan into cortical and trabecular compartments.
 
 The chain of thirty steps runs on one volume inside one task (it is sequential, and every
-step needs the whole volume), so scans run side by side: one shuffle by ``vol_id``.
+step needs the whole volume), so scans run side by side: one shuffle by ``vol_id``, of packed voxels.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from dataclasses import asdict, dataclass, fields
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import raster as R
 from ..operators.contour import render
-from ..operators.grid import AXES, KEYS, Grid, raster_of, rows_of
+from ..operators.grid import Grid, layers_of, packed, rows_of
 from ..operators.raster import SET, Raster
 
 
@@ -124,7 +123,7 @@ def compartments(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Com
         both = np.where(cort.over(low, shape) != 0, 1, np.where(trab.over(low, shape) != 0, 2, 0))
         return rows_of(key[0].as_py(), Raster(both, low))
 
-    return _layers(grey, periosteal).groupBy("vol_id").applyInArrow(labels, "vol_id string, z int, y int, x int, v int")
+    return packed(grey, periosteal).applyInArrow(labels, "vol_id string, z int, y int, x int, v int")
 
 
 def compartment_steps(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Compartments = TIBIA, calibration: Calibration | None = None, raw: bool = False) -> DataFrame:
@@ -137,19 +136,11 @@ def compartment_steps(grey: DataFrame, periosteal: DataFrame, grid: Grid, params
         names = ("vol_id", "step", "voxels", "negative", "oz", "oy", "ox", "nz", "ny", "nx")
         return pa.table({n: pa.array(list(c), pa.string() if k < 2 else pa.int64()) for k, (n, c) in enumerate(zip(names, zip(*rows, strict=True), strict=True))})
 
-    return _layers(grey, periosteal).groupBy("vol_id").applyInArrow(counts, "vol_id string, step string, voxels long, negative long, oz long, oy long, ox long, nz long, ny long, nx long")
-
-
-def _layers(grey: DataFrame, periosteal: DataFrame) -> DataFrame:
-    part = lambda df, k: df.select(*KEYS, F.col("v").cast("int").alias("v"), F.lit(k).alias("layer"))
-    return part(grey, 0).unionByName(part(periosteal, 1))
+    return packed(grey, periosteal).applyInArrow(counts, "vol_id string, step string, voxels long, negative long, oz long, oy long, ox long, nz long, ny long, nx long")
 
 
 def _runner(grid: Grid, params: Compartments, calibration: Calibration, raw: bool):
     def run(table):
-        layer = np.asarray(table.column("layer").combine_chunks())
-        columns = [np.asarray(table.column(a).combine_chunks()) for a in (*AXES, "v")]
-        grey, contour = (raster_of(*(c[layer == k] for c in columns), grid) for k in (0, 1))
-        return (from_raw if raw else separate)(grey, contour, params, calibration)
+        return (from_raw if raw else separate)(*layers_of(table, grid, 2), params, calibration)
 
     return run

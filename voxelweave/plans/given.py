@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sphere
 from ..operators.contour import render
-from ..operators.grid import AXES, KEYS, Grid, raster_of
+from ..operators.grid import Grid, layers_of, packed, tasks
 from ..operators.raster import Raster
 from ..sources import volumes
 from ..sources.shared import written
@@ -118,7 +118,7 @@ def measure_given(layers: DataFrame, maps: Maps | None = None, which: tuple[str,
         columns = zip(*out, strict=True) if out else [[] for _ in names]
         return pa.table({n: pa.array(list(c), k) for n, k, c in zip(names, kinds, columns, strict=True)})
 
-    return rows.groupBy("vol_id", "name").applyInArrow(run, RESULT)
+    return rows.repartition(tasks(rows.sparkSession), "vol_id", "name").groupBy("vol_id", "name").applyInArrow(run, RESULT)
 
 
 # ---- plane by plane
@@ -222,15 +222,12 @@ def evaluate_apart(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: E
     if (p.maps.thickness_object, p.maps.fraction_object, p.maps.cort_object) != ("seg", "seg", "cort_mask"):
         return evaluate(grey, periosteal, grid, params)
     without = replace(p, maps=replace(p.maps, which=()))
-    part = lambda df, k: df.select(*KEYS, F.col("v").cast("int").alias("v"), F.lit(k).alias("layer"))
     kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), *[pa.int32()] * 5, *[pa.float64()] * 3, pa.binary()]
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(key, table):
         vol_id = key[0].as_py()
-        layer = np.asarray(table.column("layer").combine_chunks())
-        columns = [np.asarray(table.column(a).combine_chunks()) for a in (*AXES, "v")]
-        scan, contour = (raster_of(*(c[layer == k] for c in columns), grid) for k in (0, 1))
+        scan, contour = layers_of(table, grid, 2)
         out: list[tuple] = []
         try:
             masks = find_masks(scan, contour.on, p)
@@ -247,7 +244,7 @@ def evaluate_apart(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: E
         out += [(vol_id, n, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None, *(None,) * 9) for n, v in sorted(metrics.items())]
         return pa.table({n: pa.array(list(c), k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
 
-    first = written(part(grey, 0).unionByName(part(periosteal, 1)).groupBy("vol_id").applyInArrow(run, RESULT), "scans")
+    first = written(packed(grey, periosteal).applyInArrow(run, RESULT), "scans")
     layers = first.where("data IS NOT NULL").withColumns({"layer": F.col("name"), "dtype": F.lit("i2")})
     maps = measure_given(layers, p.maps, p.maps.which).where("data IS NULL")
     own = first.where("data IS NULL")

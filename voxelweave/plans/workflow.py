@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster as R
 from ..operators.contour import render
-from ..operators.grid import AXES, KEYS, Grid, raster_of
+from ..operators.grid import Grid, layers_of, packed
 from ..functions.text import calibration as log_calibration
 from ..operators.raster import Raster
 from .compartments import TIBIA, Calibration, Compartments, separate
@@ -145,12 +145,9 @@ def _reason(e: Exception) -> str:
 def evaluate(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Evaluation | None = None) -> DataFrame:
     """``vol_id, parameter, value, note``: the metrics of each scan in long form."""
     p = params or Evaluation()
-    part = lambda df, k: df.select(*KEYS, F.col("v").cast("int").alias("v"), F.lit(k).alias("layer"))
 
     def run(key, table):
-        layer = np.asarray(table.column("layer").combine_chunks())
-        columns = [np.asarray(table.column(a).combine_chunks()) for a in (*AXES, "v")]
-        scan, contour = (raster_of(*(c[layer == k] for c in columns), grid) for k in (0, 1))
+        scan, contour = layers_of(table, grid, 2)
         try:
             metrics = measure(scan, grid.el, find_masks(scan, contour.on, p), p)[0].metrics
         except Exception as e:  # one scan's failure is a result
@@ -160,7 +157,7 @@ def evaluate(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Evaluat
         note = [metrics[n] if isinstance(metrics[n], str) else None for n in names]
         return pa.table({"vol_id": pa.array([key[0].as_py()] * len(names), pa.string()), "parameter": pa.array(names, pa.string()), "value": pa.array(number, pa.float64()), "note": pa.array(note, pa.string())})
 
-    return part(grey, 0).unionByName(part(periosteal, 1)).groupBy("vol_id").applyInArrow(run, "vol_id string, parameter string, value double, note string")
+    return packed(grey, periosteal).applyInArrow(run, "vol_id string, parameter string, value double, note string")
 
 
 # ---- scans on grids of their own
