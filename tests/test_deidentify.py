@@ -99,3 +99,26 @@ def test_functions_and_whole_parts(spark):
     out = P.apply_policy(records(spark), {"id": F.upper, "meta": "whole", "files": "drop", "inputs{}": "whole", "evidence{}": lambda v: v * 10, "spare.x": "drop", "files[].path": "drop"})
     r = out.where("id = 'A'").first().asDict(True)
     assert r == {"id": "A", "meta": {"site": "s", "name": "N"}, "inputs": {"k": {"path": "p", "n": 1}, "none": None}, "evidence": {"log": 10, "line": 20}}
+
+
+def test_terms_of_a_table(spark):
+    """Terms that are a table give what the automaton gives."""
+    rng = random.Random(4)
+    terms = list({t.translate(D._LOWER): t for t in ("".join(rng.choice("aB1_é-𝄞") for _ in range(rng.randrange(1, 5))) for _ in range(60))}.values())
+    texts = [(k, "".join(rng.choice("abAB12_é-𝄞 \n") for _ in range(rng.randrange(60)))) for k in range(300)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    table = spark.createDataFrame([(t,) for t in [*terms, "", None]], "name string")
+    rows = lambda out: sorted(map(tuple, out.select("id", "at", "term").collect()))
+    for whole in (True, False):
+        want = rows(D.find_terms(df, "text", terms, whole))
+        assert len(want) > 500 and rows(D.join_terms(df, "text", table, "name", whole)) == want
+    assert D.join_terms(df, "text", table.where("name = 'x'"), "name").count() == 0
+
+
+def test_query_keeps_terms_off_the_driver(spark, monkeypatch):
+    from voxelweave.plans import catalog_files
+
+    monkeypatch.setattr(D, "find_terms", None)
+    sf = "/root/testdata/sf0.001"
+    out = catalog_files.denylist_terms(spark, sf)
+    assert out.count() == 2 * spark.read.parquet(f"{sf}/orders.parquet").count()

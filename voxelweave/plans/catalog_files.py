@@ -416,8 +416,7 @@ def denylist_terms(spark, sf):
     name = F.col("c_name")
     text = F.concat(F.lit("first "), F.upper(name), F.lit("7; x"), name, F.lit(" and "), F.lower(name), F.lit("\n"), name)
     texts = _t(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", text.alias("text"))
-    terms = [r.c_name for r in customers.select("c_name").distinct().collect()]  # a denylist is held by the driver
-    return DL.find_terms(texts, "text", terms).select("o_orderkey", "at", "term")
+    return DL.join_terms(texts, "text", customers, "c_name").select("o_orderkey", "at", "term")
 
 
 _RECORD = """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS site, CASE WHEN c_custkey % 5 <> 0 THEN 'r' || (c_custkey % 3) END AS first_role,
