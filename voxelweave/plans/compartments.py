@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import raster as R
 from ..operators.contour import render
-from ..operators.grid import Grid, layers_of, packed, rows_of
+from ..operators.grid import Grid, packed, rows_of, unpacked
 from ..operators.raster import SET, Raster
 
 
@@ -141,6 +141,6 @@ def compartment_steps(grey: DataFrame, periosteal: DataFrame, grid: Grid, params
 
 def _runner(grid: Grid, params: Compartments, calibration: Calibration, raw: bool):
     def run(table):
-        return (from_raw if raw else separate)(*layers_of(table, grid, 2), params, calibration)
+        return (from_raw if raw else separate)(*unpacked(table, grid, 2), params, calibration)
 
     return run

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sphere
 from ..operators.contour import render
-from ..operators.grid import Grid, layers_of, packed, tasks
+from ..operators.grid import Grid, packed, tasks, unpacked
 from ..operators.raster import Raster
 from ..sources import volumes
 from ..sources.shared import written
@@ -227,7 +227,7 @@ def evaluate_apart(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: E
 
     def run(key, table):
         vol_id = key[0].as_py()
-        scan, contour = layers_of(table, grid, 2)
+        scan, contour = unpacked(table, grid, 2)
         out: list[tuple] = []
         try:
             masks = find_masks(scan, contour.on, p)

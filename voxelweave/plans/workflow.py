@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster as R
 from ..operators.contour import render
-from ..operators.grid import Grid, layers_of, packed
+from ..operators.grid import Grid, packed, unpacked
 from ..functions.text import calibration as log_calibration
 from ..operators.raster import Raster
 from .compartments import TIBIA, Calibration, Compartments, separate
@@ -147,7 +147,7 @@ def evaluate(grey: DataFrame, periosteal: DataFrame, grid: Grid, params: Evaluat
     p = params or Evaluation()
 
     def run(key, table):
-        scan, contour = layers_of(table, grid, 2)
+        scan, contour = unpacked(table, grid, 2)
         try:
             metrics = measure(scan, grid.el, find_masks(scan, contour.on, p), p)[0].metrics
         except Exception as e:  # one scan's failure is a result
