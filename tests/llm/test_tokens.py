@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -45,6 +46,26 @@ def test_many_at_once():
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [library_ids(t) for t in texts]
 
 
+def test_units_share_calls():
+    """The library's model gets many new units in a call, not one."""
+    own, calls = bpe.Codec(PATH, False), []
+    model, library = own.library.model, own.library
+    own.library = SimpleNamespace(model=SimpleNamespace(tokenize=lambda s: calls.append(s) or model.tokenize(s)))
+    words = [f" w{chr(97 + k % 26)}rd{'é' * (k % 3)}{'x' * (k // 26)}{',' * (k % 2)}"[k % 5 == 0 :] for k in range(1000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.many([w.encode() for w in words])] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(calls) < 200
+    assert own.many([]) == []
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abnrstoeT20.,'\"-|#@/çàæé×÷ªµÿʼɏɐ—…日\x00\x7f\u0301"), min_size=1, max_size=12), min_size=1, max_size=12), st.lists(st.sampled_from([" ", "", "  ", "\n"]), min_size=12, max_size=12))
+def test_units_that_meet(words, before):
+    """Ids are those of the units alone, whatever stands beside them in a call."""
+    units = [u for w, s in zip(words, before) for u in bpe._UNITS.findall(s + w)]
+    own = bpe.codec(PATH, False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.many([u.encode() for u in units])] == [library_ids(u) for u in units]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="ab. \n\t\x1cé", max_size=12), max_size=5))
 def test_tiles(texts):

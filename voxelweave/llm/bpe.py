@@ -12,6 +12,7 @@ the cache.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from array import array
@@ -42,6 +43,14 @@ _WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _ODD_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Spaces (1), letters of the alphabets that never change, below U+0250 (2), digits (3) and marks (4); the
+#: pre-tokenizer cuts wherever two of them meet, and nowhere else.  All other bytes, and the apostrophe, are 0.
+_CLASS = np.array([1 if b == 32 else 2 if 128 <= b < 202 or chr(b).isalpha() and b < 128 else 3 if 48 <= b < 58 else 4 * (33 <= b < 127 and b != 39) for b in range(256)])
+_LETTERS = np.array([[194 <= a < 202 and 128 <= b < 192 and (c := (a & 31) << 6 | b & 63) < 0x250 and chr(c).isalpha() for b in range(256)] for a in range(256)])
+#: Fixed value: no text's UTF-8 has this byte.
+_MARK = b"\xff"
+#: Units that the library's model gets in one call.
+JOINED = 50
 #: Fixed value: the pre-tokenizer's pattern inside a unit.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -282,7 +291,14 @@ class Codec:
             self.bytes_of[i] = s.encode()
         self.byte = byte
         self.first = [vocab[c] for c in sorted(byte, key=byte.get)]
-        self.letter = {b: c for c, b in byte.items()}
+        self.alphabet = "".join(sorted(byte, key=byte.get))
+        # Two bytes that stand together in no token never merge: what meets there is encoded alike, joined or apart.
+        self.sizes = np.array(list(map(len, self.bytes_of)))
+        raw, inner = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.setdiff1d(np.arange(self.sizes.sum()), np.cumsum(self.sizes) - 1)
+        self.apart = np.ones((256, 256), bool)
+        self.apart[raw[inner], raw[inner + 1]] = False
+        model = self.library.model
+        self.joins = self.apart[255].all() and self.apart[:, 255].all() and not (model.ignore_merges or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
         self.merges = Merges(self.first, self.ranks, self.made)
         self.pieces = Units(self.of_piece, CACHE_UNITS // 3)
         self.units = Units(self.by_tree if own_merges else self.by_library)
@@ -319,26 +335,53 @@ class Codec:
     def by_library(self, unit: bytes) -> list[int]:
         return self.library.encode(unit.decode(), add_special_tokens=False).ids
 
+    def letters(self, piece: bytes) -> str:
+        """The piece in the vocabulary's byte alphabet."""
+        return codecs.charmap_decode(piece, "strict", self.alphabet)[0]
+
     def many_by_library(self, units: list[bytes]) -> list[bytes]:
         """By the library's model; what is not plain Latin also by its pre-tokenizer."""
-        model, letters, out = self.library.model, self.letter, []
-        for unit in units:
-            if unit.isascii():  # a word, perhaps with one mark behind it, needs no pattern
-                body = unit[1:] if unit[0] == 32 and len(unit) > 1 else unit
-                end = body[-1:]
-                word = body if end.isalpha() or not 32 < body[-1] < 127 or end.isdigit() else body[:-1]
-                if word.isalpha():
-                    ids = [t.id for t in model.tokenize((letters[32] if body is not unit else "") + word.decode())]
-                    if word is not body:
-                        ids.append(self.first[body[-1]])
-                    out.append(array("I", ids).tobytes())
-                    continue
-            u = unit.decode()
-            if max(u) < "\u0250":
-                ids = [t.id for p in self.split(u) for t in model.tokenize(p.decode("latin-1").translate(letters))]
-            else:
-                ids = self.by_library(unit)
-            out.append(array("I", ids).tobytes())
+        model, out = self.library.model, self.joined(units) if self.joins else [b""] * len(units)
+        for i, ids in enumerate(out):
+            if not ids:
+                u = units[i].decode()
+                if max(u) < "\u0250":
+                    out[i] = array("I", [t.id for p in self.split(u) for t in model.tokenize(self.letters(p))]).tobytes()
+                else:
+                    out[i] = _packed(self.by_library(units[i]))
+        return out
+
+    def plain(self, units: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Which units are a space at most and then letters, digits and marks, where nothing can
+        merge across the pre-tokenizer's cuts nor with a space that follows."""
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        raw = np.frombuffer(b"".join(units), np.uint8)
+        kind, first = _CLASS[raw], np.zeros(len(raw), bool)
+        first[starts] = True
+        odd = (kind == 0) | (kind == 1) & ~first
+        lead = np.flatnonzero((raw >= 194) & (raw < 202))
+        odd[lead] |= ~_LETTERS[raw[lead], raw[lead + 1]]
+        odd[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 1) & ~first[1:] & ~self.apart[raw[:-1], raw[1:]]
+        out = (sizes <= LONGEST) & (kind[ends - 1] != 1) & self.apart[raw[ends - 1], 32]
+        out[np.searchsorted(ends, np.flatnonzero(odd), "right")] = False
+        return out
+
+    def joined(self, units: list[bytes]) -> list[bytes]:
+        """Ids of plain units, many in a call of the model; the tokens' lengths in bytes tell where
+        each unit's ids are.  Units without a space stand behind a mark; others have no ids here."""
+        model, ids, out = self.library.model, array("I"), [b""] * len(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        some = np.flatnonzero(self.plain(units, sizes))
+        parts = [u if u[0] == 32 else _MARK + u for u in map(units.__getitem__, some.tolist())]
+        for k in range(0, len(parts), JOINED):
+            ids.extend([t.id for t in model.tokenize(self.letters(b"".join(parts[k : k + JOINED])))])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        done = np.cumsum(self.sizes[np.frombuffer(ids, np.uint32)])
+        at = [(np.searchsorted(done, x, "right") * 4).tolist() for x in (ends - sizes[some], ends)]
+        flat = ids.tobytes()
+        for i, a, b in zip(some.tolist(), *at, strict=True):
+            out[i] = flat[a:b]
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -354,16 +397,11 @@ class Codec:
         offsets = np.append(places, len(joined)).astype(np.int32 if len(joined) < 1 << 31 else np.int64)
         kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
         coded = pa.Array.from_buffers(kind, len(places), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-        ids = self.units.all(coded.dictionary.to_pylist(), self.many)
-        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        unit = np.asarray(coded.indices)
-        n = size[unit]
-        end = np.cumsum(n)
-        at = np.repeat((np.cumsum(size) - size)[unit] - (end - n), n) + np.arange(end[-1])
-        tokens = flat[at].tobytes()
-        bounds = (np.concatenate(([0], end))[heads] * 4).tolist()
+        ids = self.units.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.many)
+        taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+        tokens, bounds = memoryview(taken.buffers()[2]), np.frombuffer(taken.buffers()[1], np.int64)[heads].tolist()
         for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
-            out[i] = tokens[a:b]
+            out[i] = tokens[a:b].tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
